@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, counts, quality, simhash, tokenfiles, winnow
+from . import bpe, counts, quality, simhash, tokenfiles, warc, winnow
 from .common import documents
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -45,6 +49,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_warc,
         op3_winnowing,
         op5_byte_bpe,
         op6_simhash,
