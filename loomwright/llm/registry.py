@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, counts, quality, simhash, tokenfiles, warc, winnow
+from . import bpe, counts, licenses, quality, simhash, tokenfiles, warc, winnow
 from .common import documents
 
 
@@ -18,6 +18,10 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op2_warc,
         op3_winnowing,
+        op4_licenses,
         op5_byte_bpe,
         op6_simhash,
         op7_quality,
