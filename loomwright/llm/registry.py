@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counts, licenses, quality, simhash, tokenfiles, toxicity, warc, winnow
+from . import bpe, counts, langid, licenses, quality, simhash, tokenfiles, toxicity, warc, winnow
 from .common import documents
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.train(documents(spark, sf_dir))
+    return langid.identify_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), model)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -68,6 +73,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_language_id,
         op2_warc,
         op3_winnowing,
         op4_licenses,

@@ -221,3 +221,19 @@ def near_duplicates(docs: DataFrame, max_distance: int = 3, id_col: str = "doc_i
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_print = materialize(rooted.join(least, "root").select("fp", "component_id"), "components")
     return prints.join(of_print, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, max_distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, with one document of each group of near-duplicates.
+
+    The row whose id is the component's stays; of rows that repeat this id the first by
+    text stays. Groups without any id keep the first by text.
+    """
+    rows = docs.withColumn("__text_hash", F.xxhash64(text_col))
+    found = near_duplicates(docs, max_distance, id_col, text_col)
+    keys = materialize(
+        found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"), F.col("fingerprint").alias("__fp")).distinct(), "kept"
+    )
+    ids = keys.select("__id").distinct()
+    kept = rows.join(broadcast_if_small(ids), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    return kept
