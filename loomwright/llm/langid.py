@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, materialize, small_batches
+from .common import broadcast_if_small, materialize, small_batches, where_last
 
 UNKNOWN = "und"
 #: Bounds of the text model: labelled documents it is fitted on, languages, trigrams of each.
@@ -290,4 +290,5 @@ def keep_documents(docs: DataFrame, model: TextModel, text_col: str = "text", la
     few = docs.select(text_col, lang_col, source_col)
     kind = {"text_col": text_col, "declared": F.col(lang_col), "host": F.col(source_col)}
     fusion = Fusion(evidence(few, model, **kind).select("__ev"), model)
-    return fusion.apply(evidence(docs, model, **kind)).where("not __rejected").select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = fusion.apply(evidence(docs, model, **kind))
+    return where_last(judged, ~F.col("__rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])

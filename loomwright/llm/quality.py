@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize
+from .common import broadcast_if_small, materialize, where_last
 
 #: The blanks that part words, and the characters counted as symbols.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -179,4 +179,4 @@ def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source
     few = with_features(docs.select(F.col(text_col), F.col(lang_col), F.col(source_col)), text_col).drop(text_col)
     bounds = materialize(limits(few, lang_col=lang_col, source_col=source_col), "limits")
     out = with_verdict(with_features(docs, text_col, "__q_"), bounds, "__q_", lang_col, source_col)
-    return out.where("__q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return where_last(out, F.col("__q_kept")).select(*[F.col(f"`{c}`") for c in docs.columns])

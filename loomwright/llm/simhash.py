@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, materialize
+from .common import broadcast_if_small, map_texts, materialize
 
 SEED = 42
 #: Reference fingerprints, made by a rule: splitmix64 of 1, 2, 3, ...
@@ -66,11 +66,16 @@ def fingerprint(text: str, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """id and ``fp``, the 64 bits of the SimHash as a long, of every whole text (null: empty)."""
-    schema = T.StructType([T.StructField("fp", T.LongType())])
+    """id, ``fp`` (the SimHash as a long) and ``text_hash`` of every whole text (null: empty)."""
+    schema = T.StructType([T.StructField("fp", T.LongType()), T.StructField("text_hash", T.LongType())])
 
     def make():
-        return lambda texts: ((f - (f >> 63 << 64),) for f in (fingerprint(t, shingle) for t in texts))
+        import xxhash
+
+        def signed(x: int) -> int:
+            return x - (x >> 63 << 64)
+
+        return lambda texts: ((signed(fingerprint(t, shingle)), signed(xxhash.xxh64_intdigest(t.encode(), SEED))) for t in texts)
 
     return map_texts(docs, id_col, text_col, make, schema)
 
@@ -204,6 +209,17 @@ def components(edges: DataFrame) -> DataFrame:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _grouped(docs: DataFrame, max_distance: int, id_col: str, text_col: str, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and ``fp``, ``root``, ``component_id`` of each distinct one."""
+    prints = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    distinct = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct-fingerprints")
+    found = components(links(distinct.select("fp"), max_distance))
+    # nodes are fingerprints; a component's id is the least of its members' first ids
+    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return prints, materialize(rooted.join(least, "root").select("fp", "root", "component_id"), "components")
+
+
 def near_duplicates(docs: DataFrame, max_distance: int = 3, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """id, ``fingerprint`` (16 hex digits) and ``component_id`` of every document.
 
@@ -213,27 +229,25 @@ def near_duplicates(docs: DataFrame, max_distance: int = 3, id_col: str = "doc_i
     null only if no document there has an id; repeated ids give repeated rows. An empty
     table gives an empty table.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct-fingerprints")
-    found = components(links(distinct.select("fp"), max_distance))
-    # nodes are fingerprints; a component's id is the least of its members' first ids
-    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = materialize(rooted.join(least, "root").select("fp", "component_id"), "components")
-    return prints.join(of_print, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    prints, groups = _grouped(docs, max_distance, id_col, text_col, shingle)
+    return prints.join(groups, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, max_distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, max_distance: int = 3, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """The rows of ``docs``, unchanged, with one document of each group of near-duplicates.
 
-    The row whose id is the component's stays; of rows that repeat this id the first by
-    text stays. Groups without any id keep the first by text.
+    The row of the least id stays (null ids last; among equal ids the one of the least
+    text hash); of wholly repeated rows one stays.
     """
-    rows = docs.withColumn("__text_hash", F.xxhash64(text_col))
-    found = near_duplicates(docs, max_distance, id_col, text_col)
-    keys = materialize(
-        found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"), F.col("fingerprint").alias("__fp")).distinct(), "kept"
-    )
-    ids = keys.select("__id").distinct()
-    kept = rows.join(broadcast_if_small(ids), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    return kept
+    prints, groups = _grouped(docs, max_distance, id_col, text_col, shingle)
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("text_hash").alias("hash")))
+    kept = prints.join(groups.select("fp", "root"), "fp").groupBy("root").agg(first.alias("row"))
+    kept = materialize(kept.select(F.col("row.id").alias("__id"), F.col("row.hash").alias("__hash")), "kept")
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.join(broadcast_if_small(kept), F.col(id_col).eqNullSafe(F.col("__id")) & (text_hash == F.col("__hash")), "left_semi")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
+    repeated = prints.join(kept, same).groupBy("__id", "__hash").count().where("count > 1").limit(1).count()
+    if not repeated:
+        return rows
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return rows.withColumn("__hash", text_hash).dropDuplicates([id_col, "__hash"]).select(*names)
