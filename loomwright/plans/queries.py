@@ -515,3 +515,15 @@ def d5_normalize_fade(spark, sf_dir):
 def p8_voice_findings(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").withColumn("rate", F.lit(100))
     return signal.voice_findings(e, "embedding", "rate").select("vec_id", F.transform("findings", lambda f: F.concat_ws(":", f["level"], f["rule"])).alias("findings"))
+
+
+@query()
+def d16_mastering(spark, sf_dir):
+    """Vectors as short clips, repeated to 0.8 s, through the mastering chain."""
+    from ..operators import mastering
+
+    clip = F.flatten(F.array_repeat("embedding", 10))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", clip.alias("pcm"), F.lit(800).alias("rate"))
+    mode = F.element_at(F.array(*[F.lit(m) for m in mastering.MODES]), (F.col("vec_id") % 4 + 1).cast("int"))
+    e = e.withColumn("mastered", mastering.on_clips(mastering.master, F.col("pcm"), F.col("rate"), mode))
+    return e.select("vec_id", F.size("mastered").alias("n_samples"), F.round(mastering.loudness_of(F.col("mastered"), F.col("rate")), 3).alias("lufs"))

@@ -17,7 +17,7 @@ from ..functions import text as X
 def read_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``path``, ``file_name`` and ``text`` of every .txt file below the paths, each path once."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,TXT}").load(path)
-    text = X.clean_text(F.decode("content", F.lit("UTF-8")))
+    text = X.clean_text(F.decode("content", "UTF-8"))
     return rows.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), text.alias("text")).dropDuplicates(["path"])
 
 
