@@ -36,6 +36,14 @@ def _upto(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
 
 
+def _short_runs(words: Column, n: Column, size: int) -> Column:
+    """Each window of ``size`` words as a run of its own."""
+    return F.transform(
+        _upto(n - size + 1),
+        lambda i: F.struct(F.lit(size).alias("size"), _gram(words, i, size).alias("fp"), i.alias("first"), i.alias("last")),
+    )
+
+
 def _with_runs(df: DataFrame, span: int, k: int, short: list[int]) -> DataFrame:
     """``df`` (with ``words``) and ``runs``: fingerprint ``fp`` of the windows ``first`` .. ``last`` of ``size`` words.
 
@@ -55,9 +63,8 @@ def _with_runs(df: DataFrame, span: int, k: int, short: list[int]) -> DataFrame:
         F.slice(at, 2, F.size(at)),
         lambda a, b: F.struct(F.lit(span).alias("size"), F.get(low, a).alias("fp"), a.alias("first"), F.coalesce(b - 1, n - span).alias("last")),
     )
-    for s in short:
-        one = F.transform(_upto(n - s + 1), lambda i, s=s: F.struct(F.lit(s).alias("size"), _gram(w, i, s).alias("fp"), i.alias("first"), i.alias("last")))
-        runs = F.concat(runs, one)
+    for size in short:
+        runs = F.concat(runs, _short_runs(w, n, size))
     return df.withColumn("runs", runs).drop("kgrams", "least", "starts")
 
 
