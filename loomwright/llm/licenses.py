@@ -196,3 +196,30 @@ def scan(
         return work
 
     return map_texts(docs, id_col, text_col, make, SCHEMA)
+
+
+def oracle() -> str:
+    """DuckDB SQL for ``scan`` over ``documents`` with the fixed phrases and templates."""
+    word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    phrases = ", ".join(f"('{p}', {len(words_of(p))}, '{label}')" for p, label in PHRASES.items())
+    rows = []
+    for label, text in TEMPLATES.items():
+        tokens = sorted(w.decode() for w in set(words_of(text)))
+        rows.append(f"('{label}', [{', '.join(repr(t) for t in tokens)}], {ceil(THRESHOLD * len(tokens))})")
+    return f"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, {word}) AS w FROM d),
+phrases(phrase, size, label) AS (VALUES {phrases}),
+templates(label, tokens, need) AS (VALUES {", ".join(rows)}),
+spots AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+places AS (SELECT doc_id, i - 1 AS place, label FROM spots, phrases WHERE array_to_string(w[i : i + size - 1], ' ') = phrase),
+lines AS (SELECT doc_id, regexp_extract_all(unnest(string_split(t, chr(10))), {word}) AS w FROM d),
+starts AS (SELECT doc_id, w, unnest(CASE WHEN len(w) <= {BLOCK_WORDS} THEN [0] ELSE range(0, len(w) - {BLOCK_WORDS // 2}, {BLOCK_WORDS // 2}) END) AS k FROM lines WHERE len(w) > 0),
+blocks AS (SELECT doc_id, list_distinct(w[k + 1 : k + {BLOCK_WORDS}]) AS b FROM starts),
+met AS (SELECT doc_id, label, max(len(list_intersect(b, tokens)) / len(tokens)) AS share FROM blocks, templates WHERE len(list_intersect(b, tokens)) >= need GROUP BY ALL),
+base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
+own AS (SELECT doc_id, max(share) AS share FROM met GROUP BY doc_id),
+labels AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM met) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels.labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE CAST(coalesce(share, 0) AS DOUBLE) END AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN own USING (doc_id) LEFT JOIN labels USING (doc_id)"""

@@ -87,5 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": warc.SQL,
     "op3_winnowing": winnow.SQL,
+    "op4_licenses": licenses.oracle(),
 }
