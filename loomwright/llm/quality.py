@@ -33,7 +33,7 @@ class Rate:
 RATES = (
     Rate("symbols_per_word", 0.05),
     Rate("upper_share", 0.05),
-    Rate("dup_line_share", 0.10),
+    Rate("dup_line_share", 0.20),
     Rate("repeat_share", 0.10),
     Rate("word_length", 1.0, True),
 )
