@@ -7,7 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Words whose full stop does not end a sentence.
@@ -133,8 +133,15 @@ def sentences_of(text: str) -> list[str]:
     return [*out, " ".join(held)] if held else out
 
 
+#: Texts that travel to a Python worker in one Arrow batch at most.
+BATCH_ROWS = 1000
+
+
 def sentences(c: Column) -> Column:
-    """Array of the sentences of a text (null: none); Arrow batches, no shuffle."""
+    """Array of the sentences of a text (null: none); small Arrow batches, no shuffle."""
+    spark = SparkSession.getActiveSession()
+    if spark and int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     @F.pandas_udf("array<string>")
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -60,8 +60,8 @@ def _response(sections: tuple) -> np.ndarray:
 
 def filtered(x: np.ndarray, *sections: tuple) -> np.ndarray:
     """``x`` through the cascade, by overlap-add in blocks; block size doesn't matter."""
-    h = _response(tuple(sections))
-    block, out = 1 << 16, np.zeros(len(x) + len(h))
+    h = _response(tuple(sections))[: max(1, len(x))]
+    block, out = min(1 << 16, max(1, len(x))), np.zeros(len(x) + len(h))
     size = 1 << (block + len(h)).bit_length()
     spectrum = np.fft.rfft(h, size)
     for k in range(0, len(x), block):
