@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Rows of at most this many are broadcast after having been counted.
 BROADCAST_ROWS = 200_000
+#: ... and so many bytes, as their values are measured.
+BROADCAST_BYTES = 32 << 20
 #: Documents that travel to a Python worker in one Arrow batch.
 BATCH_ROWS = 256
 #: Entries of a worker's memo of words; it is emptied when full, results never depend on it.
@@ -48,13 +50,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else ``df`` as it is.
+def _bytes_of(field: T.StructField) -> Column:
+    """About how many bytes a value of the column takes."""
+    c, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0))
+    if isinstance(kind, T.ArrayType):
+        return 32 * F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    return F.lit(32 * len(kind.fields) if isinstance(kind, T.StructType) else 8)
 
-    The count reads at most ``rows + 1`` rows; beyond the bound the planner
-    falls back to a shuffled join, which adaptive execution can split.
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and about ``size`` bytes, else as it is.
+
+    The check reads at most ``rows + 1`` rows; beyond the bounds the planner falls back to
+    a shuffled join, which adaptive execution can split.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    each = sum((_bytes_of(f) for f in df.schema.fields), F.lit(16))
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.sum(each)).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= size else df
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
