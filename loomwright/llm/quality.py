@@ -134,12 +134,16 @@ def limits(features: DataFrame, spread: float = 3.0, min_docs: int = 200, k: int
             out[r.name] = F.struct((q1 - width if r.two_sided else F.lit(None).cast("double")).alias("low"), (q3 + width).alias("high"))
         return df.select(*[c for c in ("lang", "source") if c in df.columns], F.col("n").alias(f"n_{level}"), F.struct(*[v.alias(k) for k, v in out.items()]).alias(level))
 
-    g, by, all_ = bounds(group, "group"), bounds(by_lang, "language").withColumnRenamed("lang", "l"), bounds(whole, "corpus")
-    joined = g.join(F.broadcast(all_), F.lit(True), "left").join(by, g["lang"].eqNullSafe(by["l"]), "left")
-    chosen = F.when(F.col("n_group") >= min_docs, F.col("group")).when(F.col("n_language") >= min_docs, F.col("language")).otherwise(F.col("corpus"))
-    return joined.select("lang", "source", chosen.alias("b")).select(
-        "lang", "source", *[F.col(f"b.{r}.{side}").alias(f"{side}_{r}") for r in rates for side in ("low", "high")]
-    )
+    g, by = bounds(group, "group"), bounds(by_lang, "language").withColumnRenamed("lang", "l")
+    corpus = bounds(whole, "corpus").select("corpus.*").first()  # one row of two numbers a rate
+    joined = g.join(by, g["lang"].eqNullSafe(by["l"]), "left")
+
+    def chosen(rate: str, side: str) -> Column:
+        own, of_lang = F.col(f"group.{rate}.{side}"), F.col(f"language.{rate}.{side}")
+        of_all = F.lit(corpus[rate][side]).cast("double")
+        return F.when(F.col("n_group") >= min_docs, own).when(F.col("n_language") >= min_docs, of_lang).otherwise(of_all).alias(f"{side}_{rate}")
+
+    return joined.select("lang", "source", *[chosen(r, side) for r in rates for side in ("low", "high")])
 
 
 def with_verdict(features: DataFrame, bounds: DataFrame, prefix: str = "", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
