@@ -527,3 +527,39 @@ def d16_mastering(spark, sf_dir):
     mode = F.element_at(F.array(*[F.lit(m) for m in mastering.MODES]), (F.col("vec_id") % 4 + 1).cast("int"))
     e = e.withColumn("mastered", mastering.on_clips(mastering.master, F.col("pcm"), F.col("rate"), mode))
     return e.select("vec_id", F.size("mastered").alias("n_samples"), F.round(mastering.loudness_of(F.col("mastered"), F.col("rate")), 3).alias("lufs"))
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, trim(left(regexp_replace(text, '\s+', ' ', 'g'), 100)) AS x FROM documents),
+w AS (SELECT doc_id, x, string_split(x, ' ') AS w FROM t),
+n AS (SELECT *, greatest(1, len(list_filter(range(1, len(w) + 1), lambda k: length(array_to_string(w[1 : k], ' ')) <= length(x) / 2))) AS n FROM w)
+SELECT doc_id, CASE WHEN length(x) <= 42 OR n >= len(w) THEN x ELSE array_to_string(w[1 : n], ' ') || chr(10) || array_to_string(w[n + 1 : len(w)], ' ') END AS lines FROM n"""
+)
+def t16_wrapped_lines(spark, sf_dir):
+    start = F.trim(F.left(F.regexp_replace("text", X.SPACE, " "), F.lit(100)))
+    return table(spark, sf_dir, "documents").select("doc_id", X.wrap_line(start).alias("lines"))
+
+
+@query(
+    f"""WITH f AS (SELECT vec_id, {_FRAMES} AS p FROM embeddings)
+SELECT vec_id, CAST(4 + list_position(p[5 : 8], list_min(p[5 : 8])) - 1 AS INT) AS frame FROM f"""
+)
+def g9_quietest_frame(spark, sf_dir):
+    peaks = table(spark, sf_dir, "embeddings").select("vec_id", signal.frame_peaks(F.col("embedding"), F.lit(8)).alias("p"))
+    return peaks.select("vec_id", signal.quietest_cut(F.col("p"), 0.5).alias("frame"))
+
+
+@query(
+    """WITH f AS (SELECT DISTINCT s_nationkey, 'V' || s_nationkey || '_' || s_suppkey % 3 || '.wav' AS file FROM supplier),
+c AS (SELECT n_nationkey, 'V' || n_nationkey AS channel, 'V' || n_nationkey || '_1' AS voice FROM nation)
+SELECT channel, voice, arg_min(file, CASE WHEN upper(voice) || '.wav' = file THEN '0' ELSE '1' END || file) AS file
+FROM c LEFT JOIN f ON c.n_nationkey = f.s_nationkey GROUP BY channel, voice"""
+)
+def s9_voice_files(spark, sf_dir):
+    from ..sources import files
+
+    key, kind = F.col("s_nationkey").cast("string"), (F.col("s_suppkey") % 3).cast("string")
+    found = table(spark, sf_dir, "supplier").select(F.concat(F.lit("V"), key, F.lit("_"), kind, F.lit(".wav")).alias("file")).distinct()
+    name = F.concat(F.lit("V"), F.col("n_nationkey").cast("string"))
+    named = table(spark, sf_dir, "nation").select(name.alias("channel"), F.concat(name, F.lit("_1")).alias("voice"))
+    return files.find_voice(named, found)

@@ -73,9 +73,11 @@ def find_voice(channels: DataFrame, files: DataFrame) -> DataFrame:
     """``channels`` (``channel``, ``voice``) with ``file``: the declared one, else the first whose name starts with the channel."""
     stem = F.upper(F.regexp_replace("file", r"\.[^.]+$", ""))
     f = files.select("file", stem.alias("__stem"), F.regexp_extract(stem, r"^([A-Z0-9]+)", 1).alias("__key"))
-    named = channels.join(f, (F.upper("voice") == f["__stem"]) | (F.upper("channel") == f["__key"]), "left")
-    rank = F.when(F.upper("voice") == F.col("__stem"), 0).otherwise(1)
-    return named.groupBy("channel", "voice").agg(F.min_by("file", F.struct(rank, "file")).alias("file"))
+    declared = channels.join(f, F.upper("voice") == f["__stem"]).select("channel", "voice", F.lit(0).alias("rank"), "file")
+    named = channels.join(f, F.upper("channel") == f["__key"]).select("channel", "voice", F.lit(1).alias("rank"), "file")
+    none = channels.select("channel", "voice", F.lit(2).alias("rank"), F.lit(None).cast("string").alias("file"))
+    every = declared.union(named).union(none)
+    return every.groupBy("channel", "voice").agg(F.min_by("file", F.struct("rank", "file")).alias("file"))
 
 
 def retry_file(failed: DataFrame) -> DataFrame:
