@@ -153,7 +153,8 @@ def text_evidence(model: TextModel, text: Column, is_html: bool = False) -> Colu
             rows = [model.score(visible_text(t or "") if is_html else t or "") for t in texts]
             yield pd.DataFrame({"n": [r[0] for r in rows], "ll": [r[1] for r in rows]})
 
-    return score(text)
+    # said not to be deterministic, so that the planner doesn't call it once for each field that is read
+    return score.asNondeterministic()(text)
 
 
 def _address(url: Column) -> tuple[Column, Column]:
