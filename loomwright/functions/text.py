@@ -148,7 +148,8 @@ def sentences(c: Column) -> Column:
         for texts in batches:
             yield texts.map(lambda t: sentences_of(t) if t else [])
 
-    return split(c)
+    # said not to be deterministic, so that the planner doesn't call it once for each use
+    return split.asNondeterministic()(c)
 
 
 def normalize_word(c: Column) -> Column:
