@@ -122,3 +122,41 @@ def spaced_starts(log: DataFrame, gap: float, by: str, order: str, at: str) -> D
     n = F.row_number().over(w)
     best = F.max(F.col(at) - gap * n).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return log.withColumn("start", best + gap * n)
+
+
+#: Reasons for which a reply without an image is final.
+BLOCKED = ("IMAGE_SAFETY", "PROHIBITED_CONTENT", "SAFETY", "BLOCKLIST", "RECITATION")
+_PART = "struct<text:string,inlineData:struct<mimeType:string,data:string>,inline_data:struct<mime_type:string,data:string>>"
+_REPLY = f"struct<candidates:array<struct<content:struct<parts:array<{_PART}>>,finishReason:string>>,promptFeedback:struct<blockReason:string>>"
+
+
+def reply_image(reply: Column) -> Column:
+    """struct(image, outcome) of a JSON reply: the first image of any candidate, else why there is none.
+
+    A blocked prompt and the reasons in ``BLOCKED`` are permanent; anything else, an
+    unreadable reply too, is transient.
+    """
+    r = F.from_json(reply, _REPLY)
+    parts = F.flatten(F.transform(r["candidates"], lambda c: F.coalesce(c["content"]["parts"], F.array().cast(f"array<{_PART}>"))))
+    kind = lambda p: F.coalesce(p["inlineData"]["mimeType"], p["inline_data"]["mime_type"])
+    found = F.get(F.filter(parts, lambda p: F.startswith(kind(p), F.lit("image/"))), F.lit(0))
+    data = F.coalesce(found["inlineData"]["data"], found["inline_data"]["data"])
+    final = F.coalesce(r["promptFeedback"]["blockReason"], F.lit("")) != ""
+    final = final | F.coalesce(F.get(r["candidates"], F.lit(0))["finishReason"].isin(*BLOCKED), F.lit(False))
+    return F.struct(F.unbase64(data).alias("image"), F.when(data.isNotNull(), "ok").when(final, "permanent").otherwise("transient").alias("outcome"))
+
+
+def request_body(prompt: Column, aspect_ratio: Column, image_size: Column, refused: Column) -> Column:
+    """The JSON request for an image; settings that are empty or in the array ``refused`` are left out."""
+    use = lambda name, value: F.when(~F.array_contains(refused, name), value)
+    ratio, size = use("aspectRatio", F.nullif(aspect_ratio, F.lit(""))), use("imageSize", F.nullif(image_size, F.lit("")))
+    image = use("imageConfig", F.when(ratio.isNotNull() | size.isNotNull(), F.struct(ratio.alias("aspectRatio"), size.alias("imageSize"))))
+    kinds = use("responseModalities", F.array(F.lit("IMAGE")))
+    config = F.when(kinds.isNotNull() | image.isNotNull(), F.struct(kinds.alias("responseModalities"), image.alias("imageConfig")))
+    said = F.array(F.struct(F.lit("user").alias("role"), F.array(F.struct(prompt.alias("text"))).alias("parts")))
+    return F.to_json(F.struct(said.alias("contents"), config.alias("generationConfig")))
+
+
+def image_accepted(content: Column, least_kb: int = 20) -> Column:
+    """Whether bytes are large enough and begin like an image."""
+    return F.coalesce((F.octet_length(content) >= least_kb * 1024) & image_kind(content).isNotNull(), F.lit(False))

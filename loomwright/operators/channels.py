@@ -69,3 +69,34 @@ def summary(results: DataFrame, by: list[str]) -> DataFrame:
     return results.groupBy(*by).agg(
         F.count_if(F.col("ok")).alias("n_ok"), F.count_if(~F.col("ok")).alias("n_failed"), F.count("*").alias("n_all"), F.sum("seconds").alias("seconds")
     )
+
+
+def upsert(channels: DataFrame, updates: DataFrame) -> DataFrame:
+    """``channels`` (``channel``, map ``settings``) with updates of the same columns merged in.
+
+    Names are compared without case and keep the case they have; only the settings given
+    are replaced, and unknown channels are added.
+    """
+    new = updates.select(F.upper("channel").alias("__key"), F.col("channel").alias("__name"), F.col("settings").alias("__set"))
+    both = channels.join(new, F.upper("channel") == F.col("__key"), "full_outer")
+    none = F.create_map().cast("map<string,string>")
+    given = F.coalesce("__set", none)
+    rest = F.map_filter(F.coalesce("settings", none), lambda k, v: ~F.map_contains_key(given, k))
+    return both.select(F.coalesce("channel", "__name").alias("channel"), F.map_concat(rest, given).alias("settings"))
+
+
+def valid_name(name: Column) -> Column:
+    """Whether a channel's name is of letters and digits only."""
+    return F.upper(name).rlike("^[A-Z0-9]+$")
+
+
+def first_given(*values: Column) -> Column:
+    """The first value that is given: command line, file, environment, default."""
+    return F.coalesce(*values)
+
+
+def add_key(keys: Column, key: Column, placeholder: str = "DAN_API_KEY") -> Column:
+    """An array of keys with one more, stripped of quotes and commas; no blanks, placeholders or repeats."""
+    clean = F.regexp_replace(F.trim(key), "^[\"',]+|[\"',]+$", "")
+    kept = F.filter(keys, lambda k: (k != "") & ~F.contains(k, F.lit(placeholder)))
+    return F.when(clean == "", kept).otherwise(F.array_distinct(F.concat(kept, F.array(clean))))

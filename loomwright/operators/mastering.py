@@ -243,3 +243,28 @@ def loudness_of(pcm: Column, rate: Column) -> Column:
         return pd.Series([None if c is None else loudness(np.asarray(c, "f8"), int(r)) for c, r in zip(clips, rates)], dtype="float64")
 
     return run(pcm, rate)
+
+
+def stand_in_voice(text: Column, rate: int = 24000) -> Column:
+    """The stand-in for a speech model: a faded 150 Hz tone as long as the length law says."""
+    seconds = F.greatest(F.lit(0.4), F.length(text) / 15.0)
+    at = F.sequence(F.lit(0), F.floor(seconds * rate).cast("int") - 1)
+    return F.transform(at, lambda i: F.lit(0.25) * F.sin(2 * math.pi * 150.0 * i / rate) * F.least(F.lit(1.0), i / rate * 20, (seconds - i / rate) * 20))
+
+
+def prepare_sample(x: np.ndarray, rate: int, start: float | None = None, end: float | None = None, most_s: float = 30.0) -> np.ndarray:
+    """A voice sample: the wanted stretch without silence at its ends, cut at a quiet frame near the limit, peak at -3 dBFS."""
+    x = np.asarray(x, "f8")[int(max(0.0, start or 0.0) * rate) : int(end * rate) if end else None]
+    frame = max(1, int(rate * 0.01))
+    if len(x) >= 2 * frame:
+        peaks = np.abs(x[: len(x) // frame * frame].reshape(-1, frame)).max(axis=1)
+        loud = np.flatnonzero(peaks > max(10 ** (-42 / 20), 0.02 * peaks.max()))
+        if len(loud):
+            x = x[max(0, int(loud[0] * frame - 0.08 * rate)) : int((loud[-1] + 1) * frame + 0.08 * rate)]
+    most, step = int(most_s * rate), max(1, int(rate * 0.02))
+    if len(x) > most:
+        tail = x[int(most * 0.85) : most]
+        frames = np.abs(tail[: len(tail) // step * step].reshape(-1, step)).max(axis=1) if len(tail) >= step else np.zeros(0)
+        x = x[: int(most * 0.85) + int(frames.argmin()) * step if len(frames) >= 5 else most]
+    top = float(np.abs(x).max(initial=0.0))
+    return x * (10 ** (-3 / 20) / top) if top >= 1e-6 else x
