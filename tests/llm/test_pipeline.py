@@ -20,3 +20,11 @@ def test_stages_keep_columns_and_shrink(spark):
 
 def test_names():
     assert len(corpus_pipeline.STAGES) == 5 and {int(n[2:].split("_")[0]) for n in registry.QUERIES} == set(range(1, 11))
+
+
+def test_stages_take_odd_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", None, "s", 0), (1, "", None, "s", 0), (2, "!" * 50_000, "xx", None, 1)], docs.schema)
+    for table in (docs.limit(0), odd):
+        for _, stage in corpus_pipeline.STAGES:
+            stage(spark, table, SF).collect()
