@@ -28,3 +28,64 @@ def test_stages_take_odd_tables(spark):
     for table in (docs.limit(0), odd):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, table, SF).collect()
+
+
+def test_run_equals_brute_force(spark):
+    """From the first stage's output on: rules with exact quantiles, all pairs, all windows, the library's tokens."""
+    import hashlib
+    import re
+    from collections import Counter
+
+    import numpy as np
+    import public_tokenizers as P
+    import tiktoken
+    import xxhash
+
+    from loomwright.llm import bpe, quality
+
+    first = corpus_pipeline.STAGES[0][1](spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    texts = {r["doc_id"]: r["text"] for r in first.collect()}
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+
+    def rates(t):
+        w = word.findall(t)
+        seen = Counter(zip(w, w[1:], w[2:]))
+        repeated = len({i + k for i, g in enumerate(zip(w, w[1:], w[2:])) if seen[g] > 1 for k in range(3)})
+        lines = [x for x in t.split("\n") if word.search(x)]
+        chars, n = sum(map(len, w)), len(w)
+        if not n:
+            return None
+        upper = sum(c.isupper() for c in t)
+        return n < 50 or 100 * repeated > 50 * n, (len(re.findall(r"[#*$%&|<>]", t)) / n, upper / chars, (len(lines) - len(set(lines))) / len(lines), repeated / n, chars / n)
+
+    of = {i: rates(t) for i, t in texts.items()}
+    values = np.array([r[1] for r in of.values() if r])
+    q1, q3 = np.quantile(values, 0.25, axis=0), np.quantile(values, 0.75, axis=0)
+    width = 3 * np.maximum(q3 - q1, [r.least_spread for r in quality.RATES])
+    low = np.where([r.two_sided for r in quality.RATES], q1 - width, -1)
+    kept = sorted(i for i, r in of.items() if r and not r[0] and (np.array(r[1]) <= q3 + width).all() and (np.array(r[1]) >= low).all())
+
+    def fingerprint(t):
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t)
+        w = word.findall(w)
+        h = [xxhash.xxh64_intdigest(" ".join(w[k : k + 3]), 42) for k in range(max(1, len(w) - 2))]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    prints = {i: fingerprint(texts[i]) for i in kept}
+    root = {i: i for i in kept}
+    for _ in range(10):
+        for i in kept:
+            for j in kept:
+                if bin(prints[i] ^ prints[j]).count("1") <= 3:
+                    root[i] = root[j] = min(root[i], root[j])
+    gap = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lower = lambda t: gap.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = lower(r["text"])
+        windows |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))} if w else set()
+    sizes = {len(x) for x in windows}
+    clean = [i for i in kept if root[i] == i and not any(tuple(w[k : k + s]) in windows for w in [lower(texts[i])] for s in sizes for k in range(len(w) - s + 1))]
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    expected = {i: hashlib.sha256(",".join(map(str, lib.encode_ordinary(texts[i]))).encode()).hexdigest() for i in clean}
+    assert {r["doc_id"]: r["ids_sha256"] for r in corpus_pipeline.run(spark, SF).collect()} == expected
