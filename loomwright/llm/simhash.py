@@ -12,7 +12,9 @@ bits are cut into ``blocks`` parts, and fingerprints with at most ``max_distance
 different bits agree in at least ``blocks - max_distance`` of them, so each choice of
 that many parts is one key. No pair within the distance is lost. Exact copies are one
 fingerprint, and in a block only links that join two groups are kept, so a group of
-copies of any size costs a linear number of links.
+copies of any size costs a linear number of links. Blocks crowded by many fingerprints
+are split on Spark: their rows agree in the key, so of ``max_distance + 1`` parts of the
+other bits one is equal in a linked pair, and the key is made longer by it.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from .common import broadcast_if_small, map_texts, materialize
 SEED = 42
 #: Reference fingerprints, made by a rule: splitmix64 of 1, 2, 3, ...
 N_PIVOTS = 16
+#: Blocks of more rows are split by longer keys; rows that a task holds before it works off their blocks.
+CROWDED, HELD = 20_000, 200_000
 
 
 def pivots(n: int = N_PIVOTS) -> np.ndarray:
@@ -80,17 +84,71 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_texts(docs, id_col, text_col, make, schema)
 
 
+def _signed(x: int) -> int:
+    return x - (x >> 63 << 64)
+
+
+def _cut(bits: list[int], parts: int) -> list[int]:
+    """Masks of bit positions, cut into parts of about equal size."""
+    edges = [len(bits) * k // parts for k in range(parts + 1)]
+    return [sum(1 << b for b in bits[x:y]) for x, y in zip(edges, edges[1:])]
+
+
 def _block_keys(fp, max_distance: int, blocks: int):
-    """Array of one key for each choice of blocks - max_distance parts of the fingerprint."""
-    edges = [64 * k // blocks for k in range(blocks + 1)]
-    part = [(((1 << b - a) - 1) << a) for a, b in zip(edges, edges[1:])]
+    """Array of one struct(key, mask) for each choice of blocks - max_distance parts of the fingerprint."""
+    part = _cut(list(range(64)), blocks)
     keys = []
     for n, chosen in enumerate(combinations(range(blocks), blocks - max_distance)):
-        mask = sum(part[c] for c in chosen)
-        keys.append(F.xxhash64(F.lit(n), fp.bitwiseAND(F.lit(mask - (mask >> 63 << 64)))))
+        mask = F.lit(_signed(sum(part[c] for c in chosen)))
+        keys.append(F.struct(F.xxhash64(F.lit(n), fp.bitwiseAND(mask)).alias("key"), mask.alias("mask")))
     return F.array(*keys)
 
 
+_KEYED = T.StructType([T.StructField("fp", T.LongType()), T.StructField("key", T.LongType()), T.StructField("mask", T.LongType())])
+
+
+def _longer_keys(rows: DataFrame, max_distance: int) -> DataFrame:
+    """The rows of crowded blocks under longer keys.
+
+    Rows of a block agree in the key's bits (``mask``), so the bits in which two linked
+    ones differ all lie outside: of ``max_distance + 1`` parts of those one is equal.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, key, mask = (batch.column(n).to_numpy() for n in ("fp", "key", "mask"))
+            for own in np.unique(mask):
+                at = np.flatnonzero(mask == own)
+                for part in _cut([b for b in range(64) if not int(own) >> b & 1], max_distance + 1):
+                    new = np.full(len(at), _signed(int(own) % (1 << 64) | part))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fp[at], key[at], new)], _KEYED.names)
+
+    longer = rows.select("fp", "key", "mask").mapInArrow(run, _KEYED)
+    return longer.select("fp", F.xxhash64("key", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "mask")
+
+
+def _bounded_blocks(keyed: DataFrame, max_distance: int, most: int) -> DataFrame:
+    """``fp`` and ``key`` of all rows, in blocks of at most ``most`` rows.
+
+    Crowded blocks are split on Spark until none is left. It ends: every round cuts the
+    bits outside the key by a part, and k bits outside hold at most 2^k fingerprints.
+    """
+    parts = []
+    while True:
+        crowded = keyed.groupBy("key").count().where(F.col("count") > most).select("key")
+        crowded = materialize(crowded, "crowded-blocks")
+        if not crowded.limit(1).count():
+            parts.append(keyed.select("fp", "key"))
+            break
+        some = broadcast_if_small(crowded)
+        parts.append(keyed.join(some, "key", "left_anti").select("fp", "key"))
+        keyed = materialize(_longer_keys(keyed.join(some, "key", "left_semi"), max_distance), "longer-keys")
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out
+
+
 def _small_block_links(prints: np.ndarray, keys: np.ndarray, refs: np.ndarray, max_distance: int):
     """Linked pairs (positions) of rows with equal keys, rows being sorted by key."""
     table = pivot_table(prints, refs).astype("i1")
@@ -131,20 +189,24 @@ def _large_block_links(prints: np.ndarray, refs: np.ndarray, max_distance: int):
                 left = np.delete(left, some)
 
 
-def links(distinct: DataFrame, max_distance: int = 3, blocks: int = 5, n_pivots: int = N_PIVOTS, large: int = 64) -> DataFrame:
+def links(
+    distinct: DataFrame, max_distance: int = 3, blocks: int = 5, n_pivots: int = N_PIVOTS, large: int = 64, most: int = CROWDED
+) -> DataFrame:
     """Links (``a``, ``b``) between the distinct fingerprints of column ``fp``.
 
     Within a block of more than ``large`` rows only links that span its groups are
     returned, else all; either way the connected components are those of all links.
     A block's rows pass through one task, whole partitions of blocks at a time; keys are
-    64 / blocks * (blocks - max_distance) bits wide, and a block crowded by near copies
-    is worked off in linear time.
+    64 / blocks * (blocks - max_distance) bits wide. Blocks of more than ``most`` rows are
+    first split by longer keys, so what a task holds at once is bounded whatever the rows.
     """
     if not 0 < max_distance < blocks:
         raise ValueError("blocks must exceed max_distance")
+    if most < 1 << max_distance + 1:
+        raise ValueError("blocks of so few rows may not be split further")
     refs = pivots(n_pivots)
-    keyed = distinct.select("fp", F.explode(_block_keys(F.col("fp"), max_distance, blocks)).alias("key"))
-    rows = keyed.repartition("key").sortWithinPartitions("key", "fp")
+    keyed = distinct.select("fp", F.inline(_block_keys(F.col("fp"), max_distance, blocks)))
+    rows = _bounded_blocks(keyed, max_distance, most).repartition("key").sortWithinPartitions("key", "fp")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def emit(prints, pairs):
@@ -162,15 +224,17 @@ def links(distinct: DataFrame, max_distance: int = 3, blocks: int = 5, n_pivots:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        count = 0
+        count, full = 0, HELD
         for batch in batches:
             held.append((batch.column("key").to_numpy(), batch.column("fp").to_numpy().view("u8")))
             count += len(batch)
-            if count >= 200_000:
+            if count >= full:
                 keys, prints = (np.concatenate(x) for x in zip(*held))
                 cut = int(np.searchsorted(keys, keys[-1]))  # the last block may go on
-                yield from work(keys[:cut], prints[:cut])
+                if cut:
+                    yield from work(keys[:cut], prints[:cut])
                 held, count = [(keys[cut:], prints[cut:])], len(keys) - cut
+                full = max(HELD, 2 * count)
         if count:
             yield from work(*(np.concatenate(x) for x in zip(*held)))
 

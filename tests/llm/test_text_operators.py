@@ -260,6 +260,50 @@ def test_block_links_are_complete(spark):
         assert parts(mine) == parts(group)
 
 
+def test_crowded_blocks_are_split(spark):
+    """A block of more than 200,000 fingerprints: planted links are found, and no wrong ones."""
+    rng = np.random.default_rng(1)
+    shift = np.uint64(25)  # two whole parts of the 64 bits are equal
+    centres = rng.integers(0, 1 << 39, 210_000, dtype="u8")
+    near = centres[:3000].copy()
+    for _ in range(3):
+        near ^= np.uint64(1) << rng.integers(0, 39, len(near), dtype="u8")
+    assert len(np.unique(np.r_[centres, near])) > 200_000
+    values = np.unique(np.r_[centres, near]) << shift
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/crowded"
+    spark.createDataFrame(__import__("pandas").DataFrame({"fp": values.view("i8")})).write.parquet(path)
+    found = simhash.links(spark.read.parquet(path)).toPandas()
+    a, b = found["a"].to_numpy().view("u8"), found["b"].to_numpy().view("u8")
+    assert (np.bitwise_count(a ^ b) <= 3).all()
+    parent = {}
+
+    def root(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        parent[root(x)] = root(y)
+    for x, y in zip((centres[:3000] << shift).tolist(), (near << shift).tolist()):
+        assert root(x) == root(y)
+
+
+def test_split_blocks_are_complete(spark):
+    """Splitting again and again leaves the components as they are."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 62, 3, dtype="u8")
+    values = {int(b) for b in base}
+    for b in base.tolist():
+        for _ in range(300):
+            x = b
+            for k in rng.integers(0, 64, rng.integers(1, 9)):
+                x ^= 1 << int(k)
+            values.add(x)
+    df = spark.createDataFrame([(v - (v >> 63 << 64),) for v in sorted(values)], "fp long")
+    whole = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, most=1_000_000)).collect()}
+    assert whole and {r["node"]: r["root"] for r in simhash.components(simhash.links(df, most=16)).collect()} == whole
+
+
 def test_licenses(spark):
     texts = [
         "Released under the MIT License.", "mit-license MIT license", "cc by x CC-BY", "GNU general\npublic LICENSE", "nothing here", "",
