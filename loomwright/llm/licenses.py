@@ -50,7 +50,8 @@ TEMPLATES = {
     "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
 THRESHOLD = Fraction(4, 5)
-#: A block is a line, or of a longer line each run of this many words, begun every half of it.
+#: A block is a line, or of a longer line each run of this many words, begun every half of it;
+#: so are the words of the whole text taken, for notices that are wrapped over lines.
 BLOCK_WORDS = 64
 
 #: Byte table: A-Z become lower case, gaps become blanks, line ends stay.
@@ -64,16 +65,20 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(_TABLE).split()
 
 
+def runs_of(words: list[bytes]) -> Iterator[list[bytes]]:
+    """All words if they are few, else overlapping runs; half a block always lies within one."""
+    if len(words) <= BLOCK_WORDS:
+        if words:
+            yield words
+    else:
+        for k in range(0, len(words) - BLOCK_WORDS // 2, BLOCK_WORDS // 2):
+            yield words[k : k + BLOCK_WORDS]
+
+
 def blocks_of(text: str) -> Iterator[list[bytes]]:
-    """The words of each text block."""
+    """The words of each text block within a line."""
     for line in text.encode().translate(_TABLE).split(b"\n"):
-        words = line.split()
-        if len(words) <= BLOCK_WORDS:
-            if words:
-                yield words
-        else:
-            for k in range(0, len(words) - BLOCK_WORDS // 2, BLOCK_WORDS // 2):
-                yield words[k : k + BLOCK_WORDS]
+        yield from runs_of(line.split())
 
 
 class TemplateIndex:
@@ -155,7 +160,8 @@ def scan(
     ``n_base`` counts all places of phrases, ``first_word`` and ``last_word`` are the
     least and greatest start (words from 0, null without places). ``labels`` holds the
     phrases' labels and those of the templates that a block of the text contains to the
-    threshold. ``score`` is 1 with a phrase, else the best containment, else 0. Null and
+    threshold: a block of a line, or, for templates that no line holds, of the words of
+    the whole text. ``score`` is 1 with a phrase, else the best containment, else 0. Null and
     empty texts have no words. One row comes back for each row, whatever its id.
     """
     vocabulary = frozenset(w for t in templates.values() for w in words_of(t))
@@ -183,6 +189,13 @@ def scan(
                         if not index.prefix_words.isdisjoint(block):
                             for label, share in index.match(block).items():
                                 best[label] = max(share, best.get(label, 0))
+                    wrapped: dict = {}
+                    for block in runs_of(words) if "\n" in text else ():
+                        if not index.prefix_words.isdisjoint(block):
+                            for label, share in index.match(block).items():
+                                if label not in best:  # else it stands in a line, whose share counts
+                                    wrapped[label] = max(share, wrapped.get(label, 0))
+                    best |= wrapped
                 yield (
                     len(words),
                     len(starts),

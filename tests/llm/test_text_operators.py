@@ -316,6 +316,20 @@ def test_licenses(spark):
     assert "gpl-3-notice" in got[6][5] and "apache-2.0-notice" in got[7][5] and got[8][5] == "mit-permission"
 
 
+def test_wrapped_licenses(spark):
+    """Notices wrapped as usual, also behind other text and in comments."""
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\n"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that\n"
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3\n"
+    notices = {"mit-permission": mit, "bsd-conditions": bsd, "isc-permission": isc, "gpl-program-notice": gpl}
+    fill = [0, 5, 31, 40, 63, 64, 100, 1000]
+    texts = [" ".join(["x"] * n) + "\n\n" + t + "\n" + "y z\n" * n for t in notices.values() for n in fill]
+    got = by_id(licenses.scan(frame(spark, texts)), "labels", "score")
+    for k, label in enumerate(x for x in notices for _ in fill):
+        assert label in got[k][0].split(",") and got[k][1] >= 0.8, (label, k)
+
+
 def test_containment_join_is_exact():
     random.seed(4)
     vocabulary = [f"t{k}" for k in range(25)]
