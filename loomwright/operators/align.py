@@ -2,45 +2,96 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 #: Scores of equal words, equal beginnings, unlike words and a gap.
 SAME, START, UNLIKE, GAP = 2.0, 0.6, -1.2, -1.0
-MOST_CELLS = 4_000_000
+#: Tables of at most so many bytes of steps are worked off once instead of twice; results don't depend on it.
+SMALL = 1 << 20
 
 
-def pair_scores(a: list[str], b: list[str]) -> np.ndarray:
-    """Score of each word of ``a`` against each of ``b``; empty words match nothing."""
-    x, y = np.array(a, dtype=object)[:, None], np.array(b, dtype=object)[None, :]
-    heads_x, heads_y = np.array([w[:3] for w in a], dtype=object)[:, None], np.array([w[:3] for w in b], dtype=object)[None, :]
-    some = (x != "") & (y != "")
-    return np.where(some & (x == y), SAME, np.where(some & (heads_x == heads_y), START, UNLIKE))
+def _numbers(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word of both lists, equal for equal words; empty words match nothing."""
+    known: dict[str, int] = {}
+    x = [known.setdefault(w, len(known)) if w else -1 for w in a]
+    y = [known.setdefault(w, len(known)) if w else -2 for w in b]
+    return np.array(x, "i8"), np.array(y, "i8")
 
 
 def align(a: list[str], b: list[str]) -> list[int]:
-    """For each word of ``a`` the place of its partner in ``b``, or -1; diagonal steps win ties, then up."""
+    """For each word of ``a`` the place of its partner in ``b``, or -1; diagonal steps win ties, then up.
+
+    Cells are worked off by anti-diagonals (i + j = d). Two in every sqrt(n + m) are kept, and
+    on the way back the steps of one such run at a time are found again: memory grows with
+    min(n, m) * sqrt(n + m), and lists of any length are aligned.
+    """
+    return _align(a, b, rows=len(a) <= len(b))  # arrays go by the shorter side
+
+
+
+def _align(a: list[str], b: list[str], rows: bool) -> list[int]:
+    """``rows``: arrays are indexed by the place in ``a``, else in ``b``."""
     n, m = len(a), len(b)
     got = [-1] * n
-    if not n or not m or n * m > MOST_CELLS:
+    if not n or not m:
         return got
-    s = pair_scores(a, b)
-    best = np.zeros((n + 1, m + 1))
-    best[:, 0], best[0, :] = GAP * np.arange(n + 1), GAP * np.arange(m + 1)
-    for i in range(1, n + 1):
-        diagonal, above, row = best[i - 1, :-1] + s[i - 1], best[i - 1, 1:] + GAP, best[i]
-        here = np.maximum(diagonal, above)
-        left = row[0]
-        for j in range(m):
-            left = row[j + 1] = max(here[j], left + GAP)
-    i, j = n, m
+    p, q = (a, b) if rows else (b, a)
+    (word_p, word_q), (head_p, head_q) = _numbers(p, q), _numbers([w[:3] for w in p], [w[:3] for w in q])
+    size, other = len(p), len(q)
+
+    def scores(lo: int, hi: int, d: int) -> np.ndarray:
+        """Scores of the pairs that the cells lo..hi of diagonal d end on."""
+        mine, theirs = slice(lo - 1, hi), slice(d - hi - 1, d - lo)
+        same, start = word_p[mine] == word_q[theirs][::-1], head_p[mine] == head_q[theirs][::-1]
+        return np.where(same, SAME, np.where(start, START, UNLIKE))
+
+    def step(d: int, before: np.ndarray, last: np.ndarray, steps: np.ndarray | None) -> np.ndarray:
+        """Diagonal d from the two before it; ``steps`` takes 0 (diagonal), 1 (up) or 2 (left)."""
+        here = np.empty(size + 1)
+        lo, hi = max(1, d - other), min(size, d - 1)
+        if lo <= hi:
+            both = before[lo - 1 : hi] + scores(lo, hi, d)
+            along, across = last[lo - 1 : hi] + GAP, last[lo : hi + 1] + GAP
+            up, left = (along, across) if rows else (across, along)
+            best = np.maximum(np.maximum(both, up), left)
+            here[lo : hi + 1] = best
+            if steps is not None:
+                steps[lo : hi + 1] = np.where(best == both, 0, np.where(best == up, 1, 2))
+        if d <= other:
+            here[0] = GAP * d
+        if d <= size:
+            here[d] = GAP * d
+        return here
+
+    few = (size + 1) * (n + m) <= SMALL  # then the steps of all diagonals are kept at once
+    every = n + m if few else isqrt(n + m) + 1
+    found = np.empty((n + m - 1, size + 1), "i1") if few else None
+    before, last = np.zeros(size + 1), np.zeros(size + 1)
+    last[:2] = GAP
+    kept = {}
+    for d in range(2, n + m + 1):
+        if (d - 2) % every == 0:
+            kept[d] = before, last
+        before, last = last, step(d, before, last, found[d - 2] if few else None)
+    i, j, first = n, m, 2 if few else n + m + 1
     while i and j:
-        if best[i, j] == best[i - 1, j - 1] + s[i - 1, j - 1]:
+        d = i + j
+        if d < first:  # the run of diagonals that holds this cell
+            first = d - (d - 2) % every
+            before, last = kept.pop(first)
+            found = np.empty((d - first + 1, size + 1), "i1")
+            for k in range(first, d + 1):
+                before, last = last, step(k, before, last, found[k - first])
+        move = found[d - first, i if rows else j]
+        if move == 0:
             i, j = i - 1, j - 1
-            if s[i, j] > 0:
+            if a[i] and b[j] and a[i][:3] == b[j][:3]:
                 got[i] = j
-        elif best[i, j] == best[i - 1, j] + GAP:
+        elif move == 1:
             i -= 1
         else:
             j -= 1

@@ -3,6 +3,7 @@ import math
 import tempfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomwright.operators import align, mastering, signal
@@ -55,6 +56,45 @@ def test_mastering():
     assert np.allclose(mastering._unframe(spectrum, len(x)), x, atol=1e-9)
 
 
+@pytest.mark.parametrize("small", [align.SMALL, 0])
+def test_align_equals_whole_table(small, monkeypatch):
+    """Any shape, against the plain table, ties and empty words included."""
+    import random
+
+    monkeypatch.setattr(align, "SMALL", small)
+    random.seed(8)
+
+    def slow(a, b):
+        s = lambda x, y: 2.0 if x and x == y else 0.6 if x and y and x[:3] == y[:3] else -1.2
+        t = [[-1.0 * (i + j) if not i or not j else 0.0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                t[i][j] = max(t[i - 1][j - 1] + s(a[i - 1], b[j - 1]), t[i - 1][j] - 1.0, t[i][j - 1] - 1.0)
+        got, i, j = [-1] * len(a), len(a), len(b)
+        while i and j:
+            if t[i][j] == t[i - 1][j - 1] + s(a[i - 1], b[j - 1]):
+                i, j = i - 1, j - 1
+                got[i] = j if s(a[i], b[j]) > 0 else -1
+            elif t[i][j] == t[i - 1][j] - 1.0:
+                i -= 1
+            else:
+                j -= 1
+        return got
+
+    words = ["", "a", "b", "abcd", "abce", "abcf", "x", "yy"]
+    for _ in range(400):
+        a, b = ([random.choice(words) for _ in range(random.randint(0, 30))] for _ in "ab")
+        assert align.align(a, b) == slow(a, b), (a, b)
+
+
+def test_align_long_segments():
+    """More than 4,000,000 cells: one word in ten isn't heard, and every other one finds its place."""
+    a = [f"{k:04d}" for k in range(3000)]
+    b = [w for k, w in enumerate(a) if k % 10]
+    got = align.align(a, b)
+    assert len(a) * len(b) > 4_000_000 and sum(g >= 0 and b[g] == x for x, g in zip(a, got)) == len(b)
+
+
 def test_align():
     assert align.align(["a", "b", "c"], ["a", "c"]) == [0, -1, 1]
     assert align.align(["hello"], ["help"]) == [0] and align.align(["x"], ["y"]) == [-1]
