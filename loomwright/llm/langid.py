@@ -103,21 +103,40 @@ class TextModel:
         return n, (total[:-1] * (min(n, GRAM_WEIGHT) / n)).tolist()
 
 
+def _share(sizes: list[int], total: int) -> int:
+    """The greatest n for which the first n of each group are ``total`` together at most; 1 at least."""
+    left, rest = total, sorted(sizes)
+    for k, size in enumerate(rest):
+        n = left // (len(rest) - k)
+        if size > n:
+            return max(1, n)
+        left -= size
+    return max(1, total)
+
+
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE_DOCS) -> TextModel:
-    """A text model from at most ``sample`` labelled documents, in the order of a hash of their ids.
+    """A text model from at most ``sample`` labelled documents, the first of each language in the order of a hash of their ids.
 
-    Languages beyond ``MAX_LANGUAGES`` and trigrams beyond ``MAX_GRAMS`` of a language, the
-    rarest each, aren't in the model. Rows with a null label or id are left out.
+    All languages have the same share of the sample; what the rarer ones leave goes to the
+    others, so none is lost in a large table. Languages beyond ``MAX_LANGUAGES`` (those of
+    the fewest documents) and trigrams beyond ``MAX_GRAMS`` of a language, the rarest,
+    aren't in the model. Rows with a null or empty label or a null id are left out.
     """
+    from pyspark.sql import Window
+
     small_batches(labelled.sparkSession)
-    some = (
-        labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("_id"))
-        .distinct()
-        .orderBy(F.xxhash64("_id"), "_id")
-        .limit(sample)
-    )
-    rows = labelled.join(F.broadcast(some), labelled[id_col] == F.col("_id"), "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    known = labelled.where((F.col(lang_col) != "") & F.col(id_col).isNotNull())
+    ids = known.select(F.col(lang_col).alias("_lang"), F.col(id_col).alias("_id"))
+    sizes = ids.groupBy("_lang").agg(F.approx_count_distinct("_id").alias("n")).orderBy(F.desc("n"), "_lang").limit(MAX_LANGUAGES).collect()
+    each = _share([r["n"] for r in sizes], sample)
+    # the hashes that give about twice the share: what is ranked is bounded too
+    upto = {r["_lang"]: min(1.0, (2 * each + 100) / max(1, r["n"])) for r in sizes}
+    hashed = F.xxhash64("_id")
+    bounds = labelled.sparkSession.createDataFrame([(k, min(2**63 - 1, int(p * 2**64) - 2**63)) for k, p in upto.items()], "_lang string, _upto long")
+    some = ids.join(F.broadcast(bounds), "_lang").where(hashed <= F.col("_upto")).select("_lang", "_id").distinct()
+    some = some.withColumn("_k", F.row_number().over(Window.partitionBy("_lang").orderBy(hashed, "_id"))).where(F.col("_k") <= each)
+    same = (known[id_col] == F.col("_id")) & (known[lang_col] == F.col("_lang"))
+    rows = known.join(F.broadcast(some), same, "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.StringType()), T.StructField("n", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,8 +151,6 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
         flat = [(lang, g, n) for lang, c in found.items() for g, n in c.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in flat], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], schema.names)
 
-    from pyspark.sql import Window
-
     counted = rows.mapInArrow(run, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = counted.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("k") <= MAX_GRAMS)
     counts: dict[str, dict[str, int]] = {}

@@ -391,6 +391,19 @@ def test_language_evidence(spark):
     assert langid.identify_pages(pages.limit(0), model).count() == 0
 
 
+def test_rare_languages_are_in_the_model(spark):
+    """A language of 3 in 3,000 documents, fitted on 100: it has its texts in the model, and none is rejected."""
+    rows = [(i, "wort und satz sind hier lang" if i % 2 else "the words of this text are here", "de" if i % 2 else "en") for i in range(3000)]
+    rows += [(3000 + i, "kuukausi yksi talossa pöydällä", "fi") for i in range(3)] + [(1, "wort", "de"), (None, "x", "xx"), (5000, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, sample=100)
+    assert model.languages == ["de", "en", "fi", "und"] and "kuu" in model.gram
+    kept = langid.keep_documents(docs.withColumn("source", F.lit("s")), model)
+    assert {r["doc_id"] for r in kept.where("lang = 'fi'").collect()} == {3000, 3001, 3002}
+    assert langid._share([5, 10, 100], 45) == 30 and langid._share([5, 3], 45) == 45 and langid._share([], 9) == 9
+    assert langid.train(docs.limit(0)).languages == ["und"]
+
+
 def test_read_ranks():
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     with open(path, "rb") as f:
