@@ -48,8 +48,11 @@ def cover_crop(width: Column, height: Column, to_w: int = 1920, to_h: int = 1080
     return F.struct(w.alias("w"), h.alias("h"), F.floor((w - to_w) / 2).alias("x"), F.floor((h - to_h) / 2).alias("y"))
 
 
-def backoff(log: DataFrame, by: str = "user_id", order: str = "event_id") -> DataFrame:
-    """``log`` (``ok``) with ``k``, waits since the last success, and ``wait``, 60 * 2^k s up to 900."""
+def backoff(log: DataFrame, by: str = "user_id", order: str = "event_id", cooling: Column | None = None) -> DataFrame:
+    """``log`` (``ok``) with ``k``, waits since the last success, and ``wait``, 60 * 2^k s up to 900.
+
+    ``cooling``: seconds from the call until the first living key is free; a longer one is waited for.
+    """
     w = Window.partitionBy(by).orderBy(order)
     upto = w.rowsBetween(Window.unboundedPreceding, -1)
     run = F.coalesce(F.sum(F.col("ok").cast("int")).over(upto), F.lit(0))
@@ -57,6 +60,8 @@ def backoff(log: DataFrame, by: str = "user_id", order: str = "event_id") -> Dat
     inside = Window.partitionBy(by, "__run").orderBy(order)
     k = F.row_number().over(inside) - 1
     wait = F.when(~F.col("ok"), F.least(BACKOFF_FIRST * F.pow(F.lit(2.0), F.least(k, F.lit(10))), F.lit(float(BACKOFF_MOST))))
+    if cooling is not None:
+        wait = F.when(~F.col("ok"), F.greatest(wait, cooling))
     return rows.withColumn("k", k).withColumn("wait", wait).drop("__run")
 
 

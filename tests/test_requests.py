@@ -52,3 +52,12 @@ def test_voice_sample(spark):
     assert len(mastering.prepare_sample(x, rate, 2.0, 5.0)) == 3 * rate
     row = spark.range(1).select(mastering.stand_in_voice(F.lit("x" * 30), 1000).alias("v")).first()
     assert len(row["v"]) == 2000 and abs(row["v"][0]) < 1e-9 and max(row["v"]) <= 0.25
+
+
+def test_backoff_waits_for_cooling_keys(spark):
+    """The longer of the back-off and the earliest end of cooling, as the reference has it."""
+    rows = [(1, 1, False, 10.0), (1, 2, False, 500.0), (1, 3, True, 500.0), (1, 4, False, 2000.0), (1, 5, False, -5.0), (1, 6, False, None)]
+    log = spark.createDataFrame(rows, "user_id long, event_id long, ok boolean, until double")
+    got = attempts.backoff(log, cooling=F.col("until")).orderBy("event_id").collect()
+    assert [r["wait"] for r in got] == [60.0, 500.0, None, 2000.0, 120.0, 240.0]
+    assert [r["wait"] for r in attempts.backoff(log).orderBy("event_id").collect()] == [60.0, 120.0, None, 60.0, 120.0, 240.0]
