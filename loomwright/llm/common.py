@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,8 +17,9 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 200_000
 #: ... and so many bytes, as their values are measured.
 BROADCAST_BYTES = 32 << 20
-#: Documents that travel to a Python worker in one Arrow batch.
-BATCH_ROWS = 256
+#: Documents, and about so many bytes of text, that a Python worker takes up at once. (Arrow
+#: batches themselves are bounded in bytes by Spark's own setting, which isn't changed.)
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 #: Entries of a worker's memo of words; it is emptied when full, results never depend on it.
 MEMO_WORDS = 500_000
 
@@ -29,7 +32,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which driver and executors share.
 
     Where the setting is absent a temporary folder is taken, but only in local
-    mode; on a cluster that would be a folder of one machine, so it is refused.
+    mode; on a cluster that would be a folder of one machine, so it is refused. What a
+    lazy result reads stays there until the caller removes it (see ``scratch``).
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -39,7 +43,34 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         spark.conf.set("spark.checkpoint.dir", base)
     if "://" not in base:
         base = f"file://{base}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for made in _SCRATCH:
+        made.append(path)
+    return path
+
+
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Folders made by ``shared_dir`` within the block are deleted after it, but for those taken from the list.
+
+    Results that still read such folders must have been written elsewhere before.
+    """
+    made: list[str] = []
+    _SCRATCH.append(made)
+    try:
+        yield made
+    finally:
+        _SCRATCH.remove(made)
+        for path in made:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -47,7 +78,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of materialized tables that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._shared_folder)
 
 
 def _bytes_of(field: T.StructField) -> Column:
@@ -71,10 +110,17 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BR
     return F.broadcast(df) if n <= rows and (total or 0) <= size else df
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches of whole texts small: 10,000 long texts would not fit a worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def pieces(batch: pa.RecordBatch, text: int = 1, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most ``rows`` rows whose texts have about ``size`` bytes at most, one row at least."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    first = total = 0
+    for k, n in enumerate(lengths.tolist()):
+        if k > first and (k - first == rows or total + n > size):
+            yield batch.slice(first, k - first)
+            first, total = k, 0
+        total += n
+    if first < len(lengths):
+        yield batch.slice(first)
 
 
 def map_texts(
@@ -89,7 +135,6 @@ def map_texts(
     ``make`` is called once a task and returns a function from a list of texts
     (null: empty) to one tuple a text. Other columns aren't read.
     """
-    small_batches(df.sparkSession)
     out = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *schema.fields])
     names = [f.name for f in schema.fields]
 
@@ -98,7 +143,7 @@ def map_texts(
 
         types = [to_arrow_type(f.dataType) for f in schema.fields]
         work = make()
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b)):
             rows = list(work([x or "" for x in batch.column(1).to_pylist()]))
             columns = [pa.array([r[k] for r in rows], types[k]) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, *names])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, small_batches
+from .common import map_texts
 
 #: Phrases and their labels.
 PHRASES = {
@@ -121,7 +121,6 @@ class TemplateIndex:
 def token_counts(docs: DataFrame, vocabulary: frozenset[bytes], text_col: str = "text") -> dict[bytes, int]:
     """How often each word of a fixed vocabulary stands in all texts; at most that many rows reach the driver."""
     schema = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())])
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()

@@ -10,9 +10,10 @@ File format (a valid zstandard file)::
         decompressed bytes (uint32 each); then the number of frames (uint32), a
         descriptor byte 0x80 (checksums present) and 0x8F92EAB1
 
-Documents are range-partitioned and sorted by id, each partition writes files of a
-bounded size, and a manifest of files (not of documents) gives every file its offset
-in the whole token stream.
+Documents are encoded and compressed where they are read. The finished frames, less than
+the texts, go to ranges of ids, whose limits are quantiles of the ids alone, and are sorted
+there; each partition copies them into files of a bounded size, and a manifest of files
+(not of documents) gives every file its offset in the whole token stream.
 """
 
 from __future__ import annotations
@@ -25,16 +26,21 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MEMO_WORDS, materialize, shared_dir, small_batches
+from .common import MEMO_WORDS, broadcast_if_small, materialize, pieces, shared_dir
 
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 #: The split pattern of the vocabulary's byte-level pre-tokenizer (a fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A byte that UTF-8 never has.
+NO_TEXT = b"\xc0"
+#: Ranges of ids are at most so many; what null ids count as where ranges are found.
+MOST_RANGES, LEAST_ID = 20_000, -(1 << 63)
 #: Compressed bytes after which a writer starts its next file.
 FILE_BYTES = 64 << 20
 
@@ -47,6 +53,15 @@ MANIFEST = T.StructType(
         T.StructField("n_tokens", T.LongType()),
     ]
 )
+FRAME = T.StructType(
+    [
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("range", T.IntegerType()),
+        T.StructField("size", T.LongType()),
+        T.StructField("check", T.LongType()),
+        T.StructField("frame", T.BinaryType()),
+    ]
+)
 READ = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -60,10 +75,10 @@ READ = T.StructType(
 class LibraryEncoder:
     """Ids of whole texts from a byte-level ``tokenizers`` file, as little-endian uint32 bytes.
 
-    Texts are cut at single spaces; a part that is met for the first time is split by the
-    vocabulary's pattern, and the library's model encodes each new word. A part that ends
-    in white space could belong together with the next one, and special strings are the
-    library's business: such texts go to the library whole.
+    Texts are cut at single spaces; the parts that a batch brings for the first time are
+    split by the vocabulary's pattern together, and the library's model encodes each new
+    word. Texts in which a part ends in white space (which could belong together with the
+    next one) are split whole; texts with special strings go to the library as they are.
     """
 
     def __init__(self, path: str, pattern: str = SPLIT, memo: int = MEMO_WORDS):
@@ -78,57 +93,71 @@ class LibraryEncoder:
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.find = regex.compile(pattern).findall
         self.to_chars = {b: c for b, c in enumerate(byte_chars())}
-        self.parts: dict[str, bytes | bool] = {}
+        self.parts: dict[str, bytes | None] = {}
         self.words: dict[str, bytes] = {}
+        self.long: list[str] = []  # words too long to be kept after their batch
         self.memo = memo
         self.plain = True
-        for probe in ("a b c\n d, e!f 1 2\u3000x it's été", "x" * 40 + " \U0001f600\u0301 y"):
-            self.plain = self.plain and next(self.encode_batch([probe])) == self._whole(probe)
+        for probe in ("a b c\n d, e!f 1 2\u3000x it's été", "x" * 40 + " \U0001f600\u0301 y", "a  b\n\n c \td "):
+            self.plain = self.plain and next(self.encode_batch([probe])) == self._by_library(probe)
 
-    def _whole(self, text: str) -> bytes:
+    def _by_library(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            chars = word.encode().decode("latin-1").translate(self.to_chars)
-            ids = [t.id for t in self.lib.model.tokenize(chars)]
-            got = struct.pack(f"<{len(ids)}I", *ids)
-            if len(word) < 100:
-                self.words[word] = got
-        return got
-
-    def _part(self, part: str) -> bytes:
-        return b"".join(map(self._word, self.find(part)))
+    def _learn_words(self, words: set[str]) -> None:
+        """Encode the words that aren't known; a byte that no text has stands between them."""
+        new = list(words.difference(self.words))
+        if new:
+            tokenize, chars = self.lib.model.tokenize, NO_TEXT.join([w.encode() for w in new]).decode("latin-1").translate(self.to_chars)
+            for word, c in zip(new, chars.split(self.to_chars[NO_TEXT[0]])):
+                ids = [t.id for t in tokenize(c)]
+                self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
+                if len(word) > 100:
+                    self.long.append(word)
+
+    def _learn_parts(self, parts: set[str]) -> None:
+        """Encode the parts that aren't known, each with the space before it; null for those that end in white space."""
+        unknown = parts.difference(self.parts)
+        new = [p for p in unknown if p and not p[-1].isspace()]
+        self.parts.update(dict.fromkeys(unknown.difference(new)))
+        if new:
+            words = self.find(" " + " ".join(new))
+            self._learn_words(set(words))
+            ids = list(map(self.words.__getitem__, words))
+            # no part has a space within, so the words that begin with one begin the parts
+            starts = [k for k, w in enumerate(words) if w[0] == " "]
+            for part, a, b in zip(new, starts, [*starts[1:], len(words)], strict=True):
+                self.parts[part] = ids[a] if b == a + 1 else b"".join(ids[a:b])
+
+    def _split_whole(self, text: str) -> bytes:
+        words = self.find(text)
+        self._learn_words(set(words))
+        return b"".join(map(self.words.__getitem__, words))
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text."""
-        if len(self.parts) > self.memo:
-            self.parts.clear()
-        if len(self.words) > self.memo:
-            self.words.clear()
-        parts, get = self.parts, self.parts.get
-        for text in texts:
-            if not self.plain or any(s in text for s in self.special):
-                yield self._whole(text)
+        for memo in (self.parts, self.words):
+            if len(memo) > self.memo:
+                memo.clear()
+        cut = [None if not self.plain or any(s in t for s in self.special) else t.split(" ") for t in texts]
+        need: set[str] = set().union(*[c[1:] for c in cut if c])
+        self._learn_parts(need)
+        get = self.parts.__getitem__
+        for text, parts in zip(texts, cut):
+            if parts is None:
+                yield self._by_library(text)
                 continue
-            first, *rest = text.split(" ")
-            ids = list(map(get, rest))
-            if None in ids:
-                long = {}
-                for k, part in enumerate(rest):
-                    if ids[k] is None:
-                        made = get(part, long.get(part))
-                        if made is None:
-                            made = bool(part) and not part[-1].isspace() and self._part(" " + part)
-                            (parts if len(part) < 100 else long)[part] = made
-                        ids[k] = made
-            if rest and (not first or first[-1].isspace() or False in ids[:-1]):
-                yield self._whole(text)
-            elif rest and ids[-1] is False:  # white space at the end
-                yield self._part(first) + b"".join(ids[:-1]) + self._part(" " + rest[-1])
-            else:
-                yield self._part(first) + b"".join(ids)
+            first, joined = parts[0], None
+            if len(parts) == 1 or first and not first[-1].isspace():
+                try:
+                    joined = b"".join(map(get, parts[1:]))
+                except TypeError:  # null: a part ends in white space
+                    pass
+            yield self._split_whole(text) if joined is None else self._split_whole(first) + joined
+        for memo, long in ((self.parts, [p for p in need if len(p) > 100]), (self.words, self.long)):
+            for x in long:
+                memo.pop(x, None)
+        self.long.clear()
 
 
 def byte_chars() -> list[str]:
@@ -151,22 +180,18 @@ def encoder(path: str) -> LibraryEncoder:
 class FrameWriter:
     """Writes one file to an Arrow output stream."""
 
-    def __init__(self, out, level: int):
-        import xxhash
-        import zstandard
-
-        self.out, self.hash = out, xxhash.xxh64_intdigest
-        self.zstd = zstandard.ZstdCompressor(level=level, write_content_size=True)
+    def __init__(self, out):
+        self.out = out
         self.ids: list[int | None] = []
         self.table: list[bytes] = []
-        self.size = 0
+        self.size = self.tokens = 0
 
-    def add(self, doc_id: int | None, payload: bytes) -> None:
-        frame = self.zstd.compress(payload)
+    def add(self, doc_id: int | None, frame: bytes, size: int, check: int) -> None:
         self.out.write(frame)
         self.size += len(frame)
+        self.tokens += size // 4
         self.ids.append(doc_id)
-        self.table.append(struct.pack("<III", len(frame), len(payload), self.hash(payload) & 0xFFFFFFFF))
+        self.table.append(struct.pack("<III", len(frame), size, check & 0xFFFFFFFF))
 
     def close(self) -> None:
         index = struct.pack(f"<{len(self.ids)}q", *[x or 0 for x in self.ids]) + bytes(x is None for x in self.ids)
@@ -215,6 +240,63 @@ class FrameReader:
         return data
 
 
+def id_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
+    """Ids that part the documents into ranges of about equal numbers; an id of many rows comes several times.
+
+    Ranges hold about 128 MB of text in large tables, and there are at most ``MOST_RANGES``
+    of them (beyond that they grow). Null ids count as the smallest.
+    """
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length(text_col))).first()
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    n = min(MOST_RANGES, max((size or 0) >> 27, min(8 * cores, (size or 0) >> 21), 1), max(1, rows))
+    if n == 1:
+        return []
+    ids = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID))
+    return docs.select(F.percentile_approx(ids, [k / n for k in range(1, n)], 100_000)).first()[0] or []
+
+
+def ranges_of(ids: np.ndarray, checks: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """The range of each row; where several limits equal its id, the row's hash decides between theirs."""
+    low, high = np.searchsorted(limits, ids, "left"), np.searchsorted(limits, ids, "right")
+    part = (checks.astype("i8").view("u8") >> np.uint64(32)).astype("f8") / 2**32
+    # signed hashes are sorted, so the upper half of the unsigned ones comes first
+    return low + np.floor((high - low + 1) * ((part + 0.5) % 1.0)).astype("i8")
+
+
+def encode_frames(
+    docs: DataFrame, tokenizer_path: str, end_id: int = 0, level: int = 1, id_col: str = "doc_id", text_col: str = "text", limits: list[int] = ()
+) -> DataFrame:
+    """``doc_id``, its ``range``, and the ``frame`` of every whole text's ids with ``end_id``; ``size`` and ``check`` (XXH64) of what it holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gc
+
+        import xxhash
+        import zstandard
+
+        lib, end = encoder(tokenizer_path), struct.pack("<I", end_id)
+        zstd = zstandard.ZstdCompressor(level=level, write_content_size=True)
+        bounds = np.array(limits, "i8")
+        gc.disable()  # memos hold a million objects, none in a cycle
+        try:
+            for batch in (p for b in batches for p in pieces(b)):
+                made = [ids + end for ids in lib.encode_batch([x or "" for x in batch.column(1).to_pylist()])]
+                checks = np.array([xxhash.xxh64_intdigest(x) for x in made], "u8").view("i8")
+                doc_ids = pc.fill_null(batch.column(0), LEAST_ID).to_numpy()
+                columns = [
+                    batch.column(0),
+                    pa.array(ranges_of(doc_ids, checks, bounds), pa.int32()),
+                    pa.array([len(x) for x in made], pa.int64()),
+                    pa.array(checks),
+                    pa.array(map(zstd.compress, made), pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, FRAME.names)
+        finally:
+            gc.enable()
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, FRAME)
+
+
 def write_tokens(
     docs: DataFrame, tokenizer_path: str, end_id: int = 0, level: int = 1, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES
 ) -> DataFrame:
@@ -222,37 +304,36 @@ def write_tokens(
 
     Returns the manifest: ``path``, ``n_docs``, ``n_tokens`` and ``first_token`` (tokens
     of all files before) of each file. Null and empty texts have the end id only; null
-    ids come first; rows of one id follow each other in the order of their texts. An
-    empty table gives an empty manifest. A repeated task writes new names, and only the
-    files of the attempts that succeeded are in the manifest.
+    ids come first; rows of one id follow each other in the order of their tokens' hashes,
+    so an id of any number of rows is spread over partitions. Ids must be integers (others
+    raise ValueError). An empty table gives an empty manifest. A repeated task writes new
+    names, and only the files of the attempts that succeeded are in the manifest.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise ValueError(f"{id_col} must be an integer column: the files' order is that of numbers")
     folder = shared_dir(spark, "tokens")
-    ordered = (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
-    )
+    limits = id_ranges(docs, id_col, text_col)
+    frames = encode_frames(docs, tokenizer_path, end_id, level, id_col, text_col, limits)
+    ordered = frames.repartitionById(len(limits) + 1, F.col("range")).sortWithinPartitions("doc_id", "check")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        lib, end = encoder(tokenizer_path), struct.pack("<I", end_id)
         part, done, writer = TaskContext.get().partitionId(), [], None
 
         def close():
             writer.close()
-            done.append((part, len(done), name, len(writer.ids), sum(t[1] for t in map(struct.Struct("<III").unpack, writer.table)) // 4))
+            done.append((part, len(done), name, len(writer.ids), writer.tokens))
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), lib.encode_batch([x or "" for x in batch.column(1).to_pylist()])):
+            for row in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "frame", "size", "check"))):
                 if writer is None:
                     name = f"{part:06d}-{uuid.uuid4().hex}.zst"
-                    writer = FrameWriter(store.open_output_stream(f"{root}/{name}", compression=None), level)
-                writer.add(doc_id, ids + end)
+                    writer = FrameWriter(store.open_output_stream(f"{root}/{name}", compression=None))
+                writer.add(*row)
                 if writer.size >= file_bytes:
                     close()
                     writer = None
@@ -264,12 +345,17 @@ def write_tokens(
         )
 
     files = materialize(ordered.mapInArrow(run, MANIFEST), "token-files")
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return files.select(
+    # offsets in two steps, so that no task meets all files: within blocks of parts, and over the blocks
+    blocked = files.withColumn("block", F.floor(F.col("part") / 1000))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocked.groupBy("block").agg(F.sum("n_tokens").alias("n"))
+    offsets = sums.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    within = Window.partitionBy("block").orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    return blocked.join(broadcast_if_small(offsets), "block").select(
         F.concat(F.lit(folder + "/"), "path").alias("path"),
         "n_docs",
         "n_tokens",
-        F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("first_token"),
+        (F.col("offset") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).alias("first_token"),
     )
 
 

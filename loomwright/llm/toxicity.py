@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, small_batches
+from .common import map_texts
 
 #: At most so many labelled documents of each class are fitted on, in the order of a hash of their ids.
 SAMPLE_EACH = 3000
@@ -107,7 +107,6 @@ def train(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH, id
     label. If an id has several labels the greatest counts; of several texts the first in
     order. The model has at most ``FEATURES`` + 1 rows, which the driver collects.
     """
-    small_batches(docs.sparkSession)
     rows = (
         labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 4 != fold))
         .groupBy(F.col(id_col).alias("_id"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, materialize, shared_dir, small_batches
+from .common import broadcast_if_small, materialize, shared_dir
 
 #: Fixed values of the formats.
 DICT_FRAME, ZSTD_FRAME = 0x184D2A5D, 0xFD2FB528
@@ -233,7 +233,6 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         F.col(id_col).cast("string"), url_col, payload_col, F.col("__refers_to").cast("string")
     )
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("n_records", T.LongType())])
-    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
