@@ -14,7 +14,8 @@ that many parts is one key. No pair within the distance is lost. Exact copies ar
 fingerprint, and in a block only links that join two groups are kept, so a group of
 copies of any size costs a linear number of links. Blocks crowded by many fingerprints
 are split on Spark: their rows agree in the key, so of ``max_distance + 1`` parts of the
-other bits one is equal in a linked pair, and the key is made longer by it.
+other bits one is equal in a linked pair, and the key is made longer by it. A block that
+is left has at most ``CROWDED`` rows, so the comparisons of a row are bounded.
 """
 
 from __future__ import annotations
@@ -23,18 +24,19 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, map_texts, materialize
+from .common import broadcast_if_small, discard, materialize
 
 SEED = 42
 #: Reference fingerprints, made by a rule: splitmix64 of 1, 2, 3, ...
 N_PIVOTS = 16
 #: Blocks of more rows are split by longer keys; rows that a task holds before it works off their blocks.
-CROWDED, HELD = 20_000, 200_000
+CROWDED, HELD = 3_000, 100_000
 
 
 def pivots(n: int = N_PIVOTS) -> np.ndarray:
@@ -51,6 +53,10 @@ def pivot_table(prints: np.ndarray, refs: np.ndarray) -> np.ndarray:
     return np.bitwise_count(prints[:, None] ^ refs[None, :])
 
 
+def _signed(x: int) -> int:
+    return x - (x >> 63 << 64)
+
+
 def fingerprint(text: str, shingle: int = 3) -> int:
     """The SimHash of one text (0 if it has no words)."""
     import xxhash
@@ -69,23 +75,18 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """id, ``fp`` (the SimHash as a long) and ``text_hash`` of every whole text (null: empty)."""
-    schema = T.StructType([T.StructField("fp", T.LongType()), T.StructField("text_hash", T.LongType())])
+def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = 3) -> Column:
+    """struct(fp, text_hash): the SimHash and the XXH64 of every whole text (null: empty), as longs."""
 
-    def make():
+    @F.pandas_udf(T.StructType([T.StructField("fp", T.LongType()), T.StructField("text_hash", T.LongType())]))
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        def signed(x: int) -> int:
-            return x - (x >> 63 << 64)
-
-        return lambda texts: ((signed(fingerprint(t, shingle)), signed(xxhash.xxh64_intdigest(t.encode(), SEED))) for t in texts)
+        for texts in batches:
+            made = [(_signed(fingerprint(t or "", shingle)), _signed(xxhash.xxh64_intdigest((t or "").encode(), SEED))) for t in texts]
+            yield pd.DataFrame(made, columns=["fp", "text_hash"], dtype="int64")
 
-    return map_texts(docs, id_col, text_col, make, schema)
-
-
-def _signed(x: int) -> int:
-    return x - (x >> 63 << 64)
+    return both.asNondeterministic()(docs[text_col])
 
 
 def _cut(bits: list[int], parts: int) -> list[int]:
@@ -138,6 +139,7 @@ def _bounded_blocks(keyed: DataFrame, max_distance: int, most: int) -> DataFrame
         crowded = keyed.groupBy("key").count().where(F.col("count") > most).select("key")
         crowded = materialize(crowded, "crowded-blocks")
         if not crowded.limit(1).count():
+            discard(crowded)
             parts.append(keyed.select("fp", "key"))
             break
         some = broadcast_if_small(crowded)
@@ -264,24 +266,28 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         after = materialize(small, "edges")
+        discard(current)
         # a star forest: each node has one edge, and no centre is itself a leaf
         leaves = after.groupBy("u").count()
         many = leaves.where("count > 1").limit(1).count()
         deep = 0 if many else after.join(leaves.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
         current = after
         if not many and not deep:
-            return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = current.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out._shared_folder = current._shared_folder
+            return out
 
 
-def _grouped(docs: DataFrame, max_distance: int, id_col: str, text_col: str, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """The fingerprints of all rows, and ``fp``, ``root``, ``component_id`` of each distinct one."""
-    prints = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct-fingerprints")
+def _grouped(prints: DataFrame, max_distance: int) -> DataFrame:
+    """``fp``, ``root`` and ``component_id`` (least ``id`` of the component) of each distinct fingerprint of ``prints``."""
+    distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
     found = components(links(distinct.select("fp"), max_distance))
     # nodes are fingerprints; a component's id is the least of its members' first ids
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints, materialize(rooted.join(least, "root").select("fp", "root", "component_id"), "components")
+    out = materialize(rooted.join(least, "root").select("fp", "root", "component_id"), "components")
+    discard(distinct, found)
+    return out
 
 
 def near_duplicates(docs: DataFrame, max_distance: int = 3, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -293,25 +299,27 @@ def near_duplicates(docs: DataFrame, max_distance: int = 3, id_col: str = "doc_i
     null only if no document there has an id; repeated ids give repeated rows. An empty
     table gives an empty table.
     """
-    prints, groups = _grouped(docs, max_distance, id_col, text_col, shingle)
-    return prints.join(groups, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    prints = materialize(docs.select(docs[id_col].alias("id"), with_fingerprint(docs, text_col, shingle)["fp"].alias("fp")), "fingerprints")
+    groups = _grouped(prints, max_distance)
+    return prints.join(groups, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, max_distance: int = 3, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """The rows of ``docs``, unchanged, with one document of each group of near-duplicates.
 
     The row of the least id stays (null ids last; among equal ids the one of the least
-    text hash); of wholly repeated rows one stays.
+    text hash); of wholly repeated rows one stays. Rows are written once with their
+    fingerprint and a number; the numbers of those that go are then taken out, which
+    shuffles texts only if they outgrow a broadcast.
     """
-    prints, groups = _grouped(docs, max_distance, id_col, text_col, shingle)
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("text_hash").alias("hash")))
-    kept = prints.join(groups.select("fp", "root"), "fp").groupBy("root").agg(first.alias("row"))
-    kept = materialize(kept.select(F.col("row.id").alias("__id"), F.col("row.hash").alias("__hash")), "kept")
-    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.join(broadcast_if_small(kept), F.col(id_col).eqNullSafe(F.col("__id")) & (text_hash == F.col("__hash")), "left_semi")
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
-    repeated = prints.join(kept, same).groupBy("__id", "__hash").count().where("count > 1").limit(1).count()
-    if not repeated:
-        return rows
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return rows.withColumn("__hash", text_hash).dropDuplicates([id_col, "__hash"]).select(*names)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    marked = docs.select(row, docs[id_col].alias("id"), with_fingerprint(docs, text_col, shingle).alias("print"))
+    rows = materialize(marked.select("row", "id", "print.*", F.monotonically_increasing_id().alias("number")), "fingerprints")
+    prints = rows.select("id", "fp", "text_hash", "number")
+    groups = _grouped(prints, max_distance)
+    placed = prints.join(groups.select("fp", "root"), "fp").select("root", "number", F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "number").alias("order"))
+    first = placed.groupBy("root").agg(F.min("order").alias("first"), F.count("*").alias("n")).where("n > 1").select("root", F.col("first.number").alias("stays"))
+    first = materialize(first, "group-heads")
+    gone = materialize(placed.join(broadcast_if_small(first), "root").where("number <> stays").select("number"), "duplicates")
+    discard(first, groups)
+    return rows.join(broadcast_if_small(gone), "number", "left_anti").select("row.*")
