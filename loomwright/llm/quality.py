@@ -2,9 +2,9 @@
 
 Features of a text are arrays and strings worked on by built-in functions in one
 projection: no shuffle, no Python. Quantile sketches (KLL) of the rates are built per
-language and source and merged upwards to languages and to the corpus; a group's
-sketch decides where it has seen enough documents, else its language's, else the
-corpus's. The limits are a small table that is joined back.
+language and source and merged upwards to languages and to the corpus; a group's limits
+are drawn towards its language's, and those towards the corpus's, the more the fewer
+documents it has. The limits are a small table that is joined back.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, where_last
+from .common import broadcast_if_small, materialize
 
 #: The blanks that part words, and the characters counted as symbols.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -37,6 +37,8 @@ RATES = (
     Rate("repeat_share", 0.10),
     Rate("word_length", 1.0, True),
 )
+#: Documents that a parent's limits count as beside a group's own.
+PARENT_DOCS = 100.0
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -110,13 +112,14 @@ def with_features(docs: DataFrame, text_col: str = "text", prefix: str = "") ->
     return counted.withColumns(rates).drop(w, n, grams, places, "__at", "__lines", f"{p}n_lines", f"{p}n_upper")
 
 
-def limits(features: DataFrame, spread: float = 3.0, min_docs: int = 200, k: int = 200, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def limits(features: DataFrame, spread: float = 3.0, weight: float = PARENT_DOCS, k: int = 200, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """``lang``, ``source`` and for each rate ``low_*`` and ``high_*``, from sketches merged upwards.
 
     High is the upper quartile plus ``spread`` times the quartiles' distance (at least
-    the rate's least spread), low likewise. Groups of fewer than ``min_docs`` documents
-    with words take their language's sketch, and languages of fewer the corpus's.
-    Nulls are a language and a source of their own.
+    the rate's least spread), low likewise. A group's limits are drawn towards its
+    language's as if by ``weight`` documents of that, and those towards the corpus's, so
+    small groups lean on what is known of larger ones and no size is a threshold. Nulls
+    are a language and a source of their own.
     """
     rates = [r.name for r in RATES]
     group = features.groupBy(F.col(lang_col).alias("lang"), F.col(source_col).alias("source")).agg(
@@ -138,10 +141,13 @@ def limits(features: DataFrame, spread: float = 3.0, min_docs: int = 200, k: int
     corpus = bounds(whole, "corpus").select("corpus.*").first()  # one row of two numbers a rate
     joined = g.join(by, g["lang"].eqNullSafe(by["l"]), "left")
 
+    def drawn(own: Column, n: Column, parent: Column) -> Column:
+        return F.coalesce((own * n + parent * weight) / (n + weight), own, parent)
+
     def chosen(rate: str, side: str) -> Column:
-        own, of_lang = F.col(f"group.{rate}.{side}"), F.col(f"language.{rate}.{side}")
         of_all = F.lit(corpus[rate][side]).cast("double")
-        return F.when(F.col("n_group") >= min_docs, own).when(F.col("n_language") >= min_docs, of_lang).otherwise(of_all).alias(f"{side}_{rate}")
+        of_lang = drawn(F.col(f"language.{rate}.{side}"), F.col("n_language"), of_all)
+        return drawn(F.col(f"group.{rate}.{side}"), F.col("n_group"), of_lang).alias(f"{side}_{rate}")
 
     return joined.select("lang", "source", *[chosen(r, side) for r in rates for side in ("low", "high")])
 
@@ -177,10 +183,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, unchanged, that the rules keep.
 
-    Counts are computed twice, once for the sketches and once beside the row, rather than
-    joined back by an id that may repeat or be null.
+    Texts are read once: rows are written with their counts and rates, which are sketched,
+    and filtered when they are read again.
     """
-    few = with_features(docs.select(F.col(text_col), F.col(lang_col), F.col(source_col)), text_col).drop(text_col)
-    bounds = materialize(limits(few, lang_col=lang_col, source_col=source_col), "limits")
-    out = with_verdict(with_features(docs, text_col, "__q_"), bounds, "__q_", lang_col, source_col)
-    return where_last(out, F.col("__q_kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    few = docs.select(row, F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
+    rows = materialize(with_features(few, "text").drop("text"), "features")
+    return with_verdict(rows, limits(rows)).where("kept").select("row.*")
