@@ -59,11 +59,24 @@ def test_run_equals_brute_force(spark):
         return n < 50 or 100 * repeated > 50 * n, (len(re.findall(r"[#*$%&|<>]", t)) / n, upper / chars, (len(lines) - len(set(lines))) / len(lines), repeated / n, chars / n)
 
     of = {i: rates(t) for i, t in texts.items()}
-    values = np.array([r[1] for r in of.values() if r])
-    q1, q3 = np.quantile(values, 0.25, axis=0), np.quantile(values, 0.75, axis=0)
-    width = 3 * np.maximum(q3 - q1, [r.least_spread for r in quality.RATES])
-    low = np.where([r.two_sided for r in quality.RATES], q1 - width, -1)
-    kept = sorted(i for i, r in of.items() if r and not r[0] and (np.array(r[1]) <= q3 + width).all() and (np.array(r[1]) >= low).all())
+    place = {r["doc_id"]: (r["lang"], r["source"]) for r in first.collect()}
+
+    def limits(some):
+        values = np.array([of[i][1] for i in some if of[i]])
+        q1, q3 = np.quantile(values, [0.25, 0.75], axis=0, method="inverted_cdf")
+        width = 3 * np.maximum(q3 - q1, [r.least_spread for r in quality.RATES])
+        return len(values), np.array([np.where([r.two_sided for r in quality.RATES], q1 - width, -9), q3 + width])
+
+    def fits(i):
+        """Limits of the group, drawn towards the language's, and those towards the corpus's."""
+        lang, source = place[i]
+        bounds = limits(of)[1]
+        for some in ([j for j in of if place[j][0] == lang], [j for j in of if place[j] == (lang, source)]):
+            n, own = limits(some)
+            bounds = (own * n + bounds * quality.PARENT_DOCS) / (n + quality.PARENT_DOCS)
+        return (np.array(of[i][1]) <= bounds[1]).all() and (np.array(of[i][1]) >= bounds[0]).all()
+
+    kept = sorted(i for i, r in of.items() if r and not r[0] and fits(i))
 
     def fingerprint(t):
         w = re.sub("[A-Z]", lambda m: m[0].lower(), t)
