@@ -2,9 +2,13 @@
 
 Templates are few and fixed, so their index goes to every task with the code. Tokens are
 ordered by how often they occur in all documents, rare ones first (a grouped count over
-the whole table, of the templates' vocabulary only: other tokens can't be shared). A block
-B meets a template T if it holds at least ``threshold`` of T's tokens, so both must share
-``need = ceil(threshold * |T|)`` of them:
+the whole table, of the templates' vocabulary only: other tokens can't be shared). A
+template T stands in a text where some run of consecutive words, a quarter longer than T,
+holds at least ``threshold`` of T's distinct tokens.
+
+Candidates come from blocks: of a text's words, runs twice as long as that, begun every
+half of it, so each such run lies within a block. A block B that holds one must share
+``need = ceil(threshold * |T|)`` tokens with T:
 
 * prefix filter: the first ``|T| - need + 1`` tokens of T and the first ``|B| - need + 1``
   of B have one in common;
@@ -12,7 +16,8 @@ B meets a template T if it holds at least ``threshold`` of T's tokens, so both m
 * positional filter: the common token and what follows it on both sides can still give
   ``need`` tokens.
 
-Survivors are verified by counting. No pair that meets the threshold is lost.
+Survivors are verified by counting, first in the block and then in every run of the text.
+No template that meets the threshold is lost, however long it is and wherever lines end.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_texts
+from .license_texts import TEMPLATES
 
 #: Phrases and their labels.
 PHRASES = {
@@ -36,28 +42,9 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Sentences of public license notices, by the label they give.
-TEMPLATES = {
-    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0",
-    "bsd-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0",
-    "gpl-3-notice": "This work is licensed under the GNU General Public License, version 3",
-    "gpl-program-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "isc-permission": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
-    "mit-notice": "Released under the MIT License",
-    "mit-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-}
 THRESHOLD = Fraction(4, 5)
-#: A block is a line, or of a longer line each run of this many words, begun every half of it;
-#: so are the words of the whole text taken, for notices that are wrapped over lines.
-BLOCK_WORDS = 64
-
-#: Byte table: A-Z become lower case, gaps become blanks, line ends stay.
-_TABLE = bytes(
-    b + 32 if 65 <= b <= 90 else b if b == 10 or b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
-)
+#: Byte table: A-Z become lower case, gaps become blanks.
+_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
 def words_of(text: str) -> list[bytes]:
@@ -65,44 +52,29 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(_TABLE).split()
 
 
-def runs_of(words: list[bytes]) -> Iterator[list[bytes]]:
-    """All words if they are few, else overlapping runs; half a block always lies within one."""
-    if len(words) <= BLOCK_WORDS:
-        if words:
-            yield words
-    else:
-        for k in range(0, len(words) - BLOCK_WORDS // 2, BLOCK_WORDS // 2):
-            yield words[k : k + BLOCK_WORDS]
-
-
-def blocks_of(text: str) -> Iterator[list[bytes]]:
-    """The words of each text block within a line."""
-    for line in text.encode().translate(_TABLE).split(b"\n"):
-        yield from runs_of(line.split())
+def run_words(template: str) -> int:
+    """Consecutive words within which a template must stand."""
+    return -(-5 * len(words_of(template)) // 4)
 
 
 class TemplateIndex:
-    """Finds every template that a block contains to at least the threshold."""
+    """Finds every template that a block of words contains to at least the threshold."""
 
-    def __init__(self, templates: Mapping[str, str], counts: Mapping[bytes, int], threshold: Fraction = THRESHOLD):
-        sets = {label: set(words_of(text)) for label, text in templates.items()}
-        if not all(sets.values()):
+    def __init__(self, templates: Mapping[str, str], rank: Mapping[bytes, int], threshold: Fraction = THRESHOLD):
+        self.rank = rank
+        self.tokens = {label: sorted({rank[w] for w in words_of(text)}) for label, text in templates.items()}
+        if not all(self.tokens.values()):
             raise ValueError("a template has no words")
-        vocabulary = sorted(set().union(*sets.values()), key=lambda w: (counts.get(w, 0), w))
-        self.rank = {w: k for k, w in enumerate(vocabulary)}
-        self.tokens = {label: sorted(map(self.rank.__getitem__, s)) for label, s in sets.items()}
-        self.need = {label: max(1, ceil(threshold * len(s))) for label, s in sets.items()}
+        self.need = {label: max(1, ceil(threshold * len(t))) for label, t in self.tokens.items()}
         self.least = min(self.need.values())
         self.prefix: dict[int, list[tuple[str, int]]] = {}
         for label, tokens in self.tokens.items():
             for i, t in enumerate(tokens[: len(tokens) - self.need[label] + 1]):
                 self.prefix.setdefault(t, []).append((label, i))
-        self.prefix_words = frozenset(vocabulary[t] for t in self.prefix)
 
-    def match(self, block: list[bytes]) -> dict[str, Fraction]:
-        """label -> containment of each template that the block meets."""
-        rank = self.rank
-        tokens = sorted({rank[w] for w in block if w in rank})
+    def match(self, block: set[int]) -> dict[str, int]:
+        """label -> shared tokens of each template that the block (its words' ranks) meets."""
+        tokens = sorted(block)
         n, found, tried = len(tokens), {}, set()
         for j, t in enumerate(tokens[: n - self.least + 1] if n >= self.least else ()):
             for label, i in self.prefix.get(t, ()):
@@ -112,9 +84,63 @@ class TemplateIndex:
                 tried.add(label)  # this is their first common token: earlier ones would have led here before
                 if min(len(template) - i, n - j) < need:
                     continue
-                shared = len(set(template).intersection(tokens))
+                shared = len(block.intersection(template))
                 if shared >= need:
-                    found[label] = Fraction(shared, len(template))
+                    found[label] = shared
+        return found
+
+
+def ranks_of(templates: Mapping[str, str], counts: Mapping[bytes, int]) -> dict[bytes, int]:
+    """The templates' words in the order of their frequency, the rarest first."""
+    vocabulary = {w for t in templates.values() for w in words_of(t)}
+    return {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
+
+
+class Scanner:
+    """All templates, in one index for each size of blocks."""
+
+    def __init__(self, templates: Mapping[str, str], counts: Mapping[bytes, int], threshold: Fraction = THRESHOLD):
+        self.rank = ranks_of(templates, counts)
+        self.run = {label: run_words(text) for label, text in templates.items()}
+        sizes: dict[int, dict[str, str]] = {}
+        for label, text in templates.items():
+            sizes.setdefault(1 << (self.run[label] - 1).bit_length(), {})[label] = text
+        self.indexes = {half: TemplateIndex(some, self.rank, threshold) for half, some in sorted(sizes.items())}
+        first = set().union(*[i.prefix for i in self.indexes.values()])
+        self.prefix_words = frozenset(w for w, k in self.rank.items() if k in first)
+
+    def _best(self, places: list[int], ranks: list[int], run: int) -> int:
+        """The most distinct tokens within ``run`` consecutive words, of tokens at sorted places."""
+        best, a, within = 0, 0, Counter()
+        for place, r in zip(places, ranks):
+            within[r] += 1
+            while place - places[a] >= run:
+                within[ranks[a]] -= 1
+                if not within[ranks[a]]:
+                    del within[ranks[a]]
+                a += 1
+            best = max(best, len(within))
+        return best
+
+    def match(self, words: list[bytes]) -> dict[str, Fraction]:
+        """label -> best containment of each template that stands in the words."""
+        if self.prefix_words.isdisjoint(words):
+            return {}
+        at = [(k, r) for k, w in enumerate(words) if (r := self.rank.get(w)) is not None]
+        found = {}
+        for half, index in self.indexes.items():
+            blocks: dict[int, set[int]] = {}
+            for k, r in at:
+                blocks.setdefault(k // half, set()).add(r)
+            candidates: set[str] = set()
+            for b, mine in blocks.items():  # a block is two halves
+                candidates.update(index.match(mine | blocks[b + 1] if b + 1 in blocks else mine))
+            for label in candidates:
+                tokens = frozenset(index.tokens[label])
+                places, ranks = zip(*[x for x in at if x[1] in tokens])
+                shared = self._best(places, ranks, self.run[label])
+                if shared >= index.need[label]:
+                    found[label] = Fraction(shared, len(tokens))
         return found
 
 
@@ -158,23 +184,22 @@ def scan(
 
     ``n_base`` counts all places of phrases, ``first_word`` and ``last_word`` are the
     least and greatest start (words from 0, null without places). ``labels`` holds the
-    phrases' labels and those of the templates that a block of the text contains to the
-    threshold: a block of a line, or, for templates that no line holds, of the words of
-    the whole text. ``score`` is 1 with a phrase, else the best containment, else 0. Null and
-    empty texts have no words. One row comes back for each row, whatever its id.
+    phrases' labels and those of the templates that stand in the text. ``score`` is 1 with
+    a phrase, else the best containment, else 0. Null and empty texts have no words. One
+    row comes back for each row, whatever its id.
     """
     vocabulary = frozenset(w for t in templates.values() for w in words_of(t))
     counts = token_counts(docs, vocabulary, text_col)
     wanted = [(tuple(words_of(p)), label) for p, label in phrases.items()]
 
     def make():
-        index = TemplateIndex(templates, counts, threshold)
+        scanner = Scanner(templates, counts, threshold)
         firsts = frozenset(p[0] for p, _ in wanted)
 
         def work(texts):
             for text in texts:
                 words = words_of(text)
-                starts, base, best = [], set(), {}
+                starts, base = [], set()
                 if not firsts.isdisjoint(words):
                     for phrase, label in wanted:
                         k = -1
@@ -183,18 +208,7 @@ def scan(
                             if tuple(words[k : k + len(phrase)]) == phrase:
                                 starts.append(k)
                                 base.add(label)
-                if not index.prefix_words.isdisjoint(words):
-                    for block in blocks_of(text):
-                        if not index.prefix_words.isdisjoint(block):
-                            for label, share in index.match(block).items():
-                                best[label] = max(share, best.get(label, 0))
-                    wrapped: dict = {}
-                    for block in runs_of(words) if "\n" in text else ():
-                        if not index.prefix_words.isdisjoint(block):
-                            for label, share in index.match(block).items():
-                                if label not in best:  # else it stands in a line, whose share counts
-                                    wrapped[label] = max(share, wrapped.get(label, 0))
-                    best |= wrapped
+                best = scanner.match(words)
                 yield (
                     len(words),
                     len(starts),
@@ -211,24 +225,27 @@ def scan(
 
 
 def oracle() -> str:
-    """DuckDB SQL for ``scan`` over ``documents`` with the fixed phrases and templates."""
+    """DuckDB SQL for ``scan`` over ``documents``: every run of words is looked at, without blocks."""
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     phrases = ", ".join(f"('{p}', {len(words_of(p))}, '{label}')" for p, label in PHRASES.items())
     rows = []
     for label, text in TEMPLATES.items():
         tokens = sorted(w.decode() for w in set(words_of(text)))
-        rows.append(f"('{label}', [{', '.join(repr(t) for t in tokens)}], {ceil(THRESHOLD * len(tokens))})")
+        rows.append(f"('{label}', [{', '.join(repr(t) for t in tokens)}], {ceil(THRESHOLD * len(tokens))}, {run_words(text)})")
     return f"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(t, {word}) AS w FROM d),
 phrases(phrase, size, label) AS (VALUES {phrases}),
-templates(label, tokens, need) AS (VALUES {", ".join(rows)}),
+templates(label, tokens, need, run) AS (VALUES {", ".join(rows)}),
 spots AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
 places AS (SELECT doc_id, i - 1 AS place, label FROM spots, phrases WHERE array_to_string(w[i : i + size - 1], ' ') = phrase),
-lines AS (SELECT doc_id, regexp_extract_all(unnest(string_split(t, chr(10))), {word}) AS w FROM d),
-starts AS (SELECT doc_id, w, unnest(CASE WHEN len(w) <= {BLOCK_WORDS} THEN [0] ELSE range(0, len(w) - {BLOCK_WORDS // 2}, {BLOCK_WORDS // 2}) END) AS k FROM lines WHERE len(w) > 0),
-blocks AS (SELECT doc_id, list_distinct(w[k + 1 : k + {BLOCK_WORDS}]) AS b FROM starts),
-met AS (SELECT doc_id, label, max(len(list_intersect(b, tokens)) / len(tokens)) AS share FROM blocks, templates WHERE len(list_intersect(b, tokens)) >= need GROUP BY ALL),
+tokens AS (SELECT label, need, run, len(tokens) AS size, unnest(tokens) AS token FROM templates),
+near AS (SELECT doc_id, label FROM (SELECT doc_id, unnest(list_distinct(w)) AS token FROM w) JOIN tokens USING (token) GROUP BY doc_id, label, need HAVING count(*) >= need),
+words AS (SELECT doc_id, unnest(w) AS token, unnest(range(1, len(w) + 1)) AS i FROM w WHERE doc_id IN (SELECT doc_id FROM near)),
+spot AS (SELECT doc_id, label, need, run, size, token, i FROM words JOIN tokens USING (token) SEMI JOIN near USING (doc_id, label)),
+runs AS (SELECT a.doc_id, a.label, a.i, a.need, a.size, count(DISTINCT b.token) AS shared
+  FROM spot a JOIN spot b ON a.doc_id = b.doc_id AND a.label = b.label AND b.i BETWEEN a.i AND a.i + a.run - 1 GROUP BY ALL),
+met AS (SELECT doc_id, label, max(shared / size) AS share FROM runs WHERE shared >= need GROUP BY ALL),
 base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
 own AS (SELECT doc_id, max(share) AS share FROM met GROUP BY doc_id),
 labels AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM met) GROUP BY doc_id)

@@ -354,18 +354,44 @@ def test_wrapped_licenses(spark):
 
 
 def test_containment_join_is_exact():
+    """Against every run of words: short and long templates, texts of any length."""
     random.seed(4)
-    vocabulary = [f"t{k}" for k in range(25)]
-    templates = {f"T{k}": " ".join(random.sample(vocabulary, random.randint(1, 12))) for k in range(20)}
-    index = licenses.TemplateIndex(templates, {w.encode(): random.randint(0, 50) for w in vocabulary})
-    for _ in range(500):
-        block = [random.choice(vocabulary).encode() for _ in range(random.randint(0, 25))]
+    vocabulary = [f"t{k}" for k in range(60)]
+    templates = {f"T{k}": " ".join(random.choice(vocabulary) for _ in range(random.choice([1, 2, 5, 12, 40, 90]))) for k in range(24)}
+    scanner = licenses.Scanner(templates, {w.encode(): random.randint(0, 50) for w in vocabulary})
+    hits = 0
+    for _ in range(150):
+        words = [random.choice(vocabulary + ["x", "y", "z"] * 30) for _ in range(random.choice([0, 3, 30, 200]))]
+        for _ in range(random.randint(0, 2)):
+            words[random.randint(0, len(words)) : 0] = [w for w in templates[random.choice(list(templates))].split() if random.random() < 0.9]
         expected = {}
         for label, text in templates.items():
-            t = set(text.encode().split())
-            if len(t & set(block)) >= licenses.THRESHOLD * len(t):
-                expected[label] = licenses.Fraction(len(t & set(block)), len(t))
-        assert index.match(block) == expected
+            t, run = set(text.split()), -(-5 * len(text.split()) // 4)
+            share = max((len(t & set(words[k : k + run])) for k in range(len(words))), default=0)
+            if share >= licenses.THRESHOLD * len(t):
+                expected[label] = licenses.Fraction(share, len(t))
+        hits += len(expected)
+        assert scanner.match([w.encode() for w in words]) == expected
+    assert hits > 100
+
+
+def test_whole_license_texts(spark):
+    """Every template is found in its own text, in one line, wrapped at nine words, and begun at any place; not in half of it."""
+    texts, labels = [], []
+    for label, text in licenses.TEMPLATES.items():
+        w = text.split()
+        for n in (0, 7, 300):
+            texts += [" ".join(["x"] * n + w + ["y"] * n), "\n".join(["x"] * n + [" ".join(w[k : k + 9]) for k in range(0, len(w), 9)]), " ".join(w[: len(w) // 2])]
+            labels += [label, label, None]
+    got = by_id(licenses.scan(frame(spark, texts)), "labels", "score")
+    halves = {label: " ".join(t.split()[: len(t.split()) // 2]) for label, t in licenses.TEMPLATES.items()}
+    for k, label in enumerate(labels):
+        if label:
+            assert label in got[k][0].split(",") and got[k][1] == 1.0, label
+        else:
+            assert next(x for x, h in halves.items() if h == texts[k]) not in got[k][0].split(",")
+    long = licenses.scan(frame(spark, ["word " * 400_000 + licenses.TEMPLATES["mit"] + " word" * 400_000]))
+    assert "mit" in by_id(long, "labels")[0].split(",")
 
 
 def test_toxicity_held_out(spark):
