@@ -61,7 +61,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model).select(
         "doc_id",
-        (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"),
+        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"),
         "score",
         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
         "n_offending",

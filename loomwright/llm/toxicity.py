@@ -14,16 +14,18 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts
+from .common import broadcast_if_small, map_texts
 
 #: At most so many labelled documents of each class are fitted on, in the order of a hash of their ids.
 SAMPLE_EACH = 3000
-#: Features kept by screening, and the documents of class 1 that must hold one.
-FEATURES, LEAST_DOCS = 4000, 5
+#: ... and of at most so many characters of text together, and of one document.
+SAMPLE_CHARS, LONGEST = 64 << 20, 1 << 20
+#: Documents of class 1 that must hold a feature.
+LEAST_DOCS = 5
 PREFIXES = (4, 5, 6, 7)
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _EDGE = " \t\r\x0b\x0c\"'()[]{}<>,;:*#$%&|-_/\\«»„“”‘’¿¡"
@@ -51,11 +53,24 @@ def noisy_or(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n))
 
 
-def fit(texts: list[str], labels: list[int], steps: int = 200, l2: float = 5e-5) -> dict[str, float]:
+def gradient(w: np.ndarray, b: float, rows: np.ndarray, cols: np.ndarray, docs: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Of the weighted mean log-likelihood of the documents' labels ``y`` under the noisy-or of their sentences.
+
+    Sentence k belongs to document ``docs[k]``; ``rows`` and ``cols`` list the features of sentences.
+    """
+    p = 1 / (1 + np.exp(-np.clip(b + np.bincount(rows, w[cols], len(docs)), -60, 60)))
+    whole = np.clip(noisy_or(p, docs, len(y)), 1e-9, 1 - 1e-9)
+    dz = p * np.where(y[docs] > 0, (1 - whole[docs]) / whole[docs], -1.0) * weight[docs]
+    return np.bincount(cols, dz[rows], len(w)), float(dz.sum())
+
+
+def fit(texts: list[str], labels: list[int], steps: int = 200, l2: float = 5e-5, share: float | None = None) -> dict[str, float]:
     """Weights of features, and the bias under the empty key; empty if a class is missing.
 
-    Screening keeps the features that are most over-represented in documents of class 1.
+    Screening keeps the features that are over-represented in documents of class 1.
     Sentences without any of them score 0, so clean text of any length adds nothing.
+    ``share``: that of class 1 among all labelled documents (default: as in the sample),
+    by which documents are weighted, so that a sample of equal classes means the same.
     """
     y = np.array(labels, "f8")
     if not len(y) or y.min() == y.max():
@@ -64,14 +79,13 @@ def fit(texts: list[str], labels: list[int], steps: int = 200, l2: float = 5e-5)
     for text, label in zip(texts, labels):
         seen[label].update({f for t in set(text.lower().replace("\n", " ").replace(".", " ").replace("!", " ").replace("?", " ").split()) for f in features_of(t)})
     n1, n0 = y.sum(), len(y) - y.sum()
-    gain = {}
+    names = []
     for f, c in seen[1].items():
         if c >= LEAST_DOCS:
             p1, p0 = (c + 0.5) / (n1 + 1), (seen[0][f] + 0.5) / (n0 + 1)
-            z = np.log(p1 / p0) / np.sqrt(1 / (c + 0.5) + 1 / (seen[0][f] + 0.5))
-            if z > 2:
-                gain[f] = z
-    names = sorted(sorted(gain, key=lambda f: (-gain[f], f))[:FEATURES])
+            if np.log(p1 / p0) / np.sqrt(1 / (c + 0.5) + 1 / (seen[0][f] + 0.5)) > 2:
+                names.append(f)
+    names.sort()
     column = {f: k for k, f in enumerate(names)}
     rows, cols, docs = [], [], []
     for d, text in enumerate(texts):
@@ -84,14 +98,13 @@ def fit(texts: list[str], labels: list[int], steps: int = 200, l2: float = 5e-5)
     if not docs:
         return {}
     rows, cols, docs = np.array(rows), np.array(cols), np.array(docs)
+    share = n1 / len(y) if share is None else share
+    weight = np.where(y > 0, share / n1, (1 - share) / n0)
     w, b = np.zeros(len(names)), -2.0
     m1, m2, mb1, mb2 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, steps + 1):  # Adam on the mean log-likelihood
-        p = 1 / (1 + np.exp(-np.clip(b + np.bincount(rows, w[cols], len(docs)), -60, 60)))
-        whole = np.clip(noisy_or(p, docs, len(y)), 1e-9, 1 - 1e-9)
-        dz = p * np.where(y[docs] > 0, (1 - whole[docs]) / whole[docs], -1.0) / len(y)
-        g = np.bincount(cols, dz[rows], len(names)) - l2 * w
-        gb = dz.sum()
+        g, gb = gradient(w, b, rows, cols, docs, y, weight)
+        g -= l2 * w
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         mb1, mb2 = 0.9 * mb1 + 0.1 * gb, 0.999 * mb2 + 0.001 * gb * gb
         c1, c2 = 1 - 0.9**step, 1 - 0.999**step
@@ -101,21 +114,29 @@ def fit(texts: list[str], labels: list[int], steps: int = 200, l2: float = 5e-5)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: int = 2) -> dict[str, float]:
-    """The model, fitted in one task on at most 2 * ``sample_each`` documents.
+    """The model, fitted in one task on at most 2 * ``sample_each`` documents and ``SAMPLE_CHARS`` characters.
 
     Rows whose crc32(id as text) mod 4 is ``fold`` are never used, nor rows with a null
-    label. If an id has several labels the greatest counts; of several texts the first in
-    order. The model has at most ``FEATURES`` + 1 rows, which the driver collects.
+    label, nor documents longer than ``LONGEST``. If an id has several labels the greatest
+    counts; of several texts the first in order. What the driver collects, the weights of
+    the sample's over-represented features, is bounded by the sample.
     """
     rows = (
         labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 4 != fold))
         .groupBy(F.col(id_col).alias("_id"))
         .agg(F.max(label_col).alias("_label"))
     )
+    counted = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().collect()}
+    if len(counted) < 2:
+        return {}
+    share = counted[1] / (counted[0] + counted[1])
     order = [F.xxhash64("_id"), F.col("_id")]
     some = rows.where("_label = 1").orderBy(*order).limit(sample_each).union(rows.where("_label = 0").orderBy(*order).limit(sample_each))
-    sample = docs.join(F.broadcast(some), docs[id_col] == F.col("_id")).groupBy("_id", "_label").agg(F.min(text_col).alias("_text"))
-    schema = MODEL
+    short = docs.where(F.coalesce(F.length(text_col), F.lit(0)) <= LONGEST)
+    sample = short.join(broadcast_if_small(some), docs[id_col] == F.col("_id")).groupBy("_id", "_label").agg(F.min(text_col).alias("_text"))
+    # the sample is some thousand rows; each class is cut where its texts reach half of the characters
+    upto = Window.partitionBy("_label").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sample = sample.withColumn("_chars", F.sum(F.coalesce(F.length("_text"), F.lit(0))).over(upto)).where(F.col("_chars") <= SAMPLE_CHARS // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, got_labels, texts = [], [], []
@@ -124,10 +145,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH, id
             got_labels += batch.column(1).to_pylist()
             texts += [t or "" for t in batch.column(2).to_pylist()]
         order = sorted(range(len(ids)), key=lambda k: ids[k])
-        model = fit([texts[k] for k in order], [int(got_labels[k]) for k in order])
+        model = fit([texts[k] for k in order], [int(got_labels[k]) for k in order], share=share)
         yield pa.RecordBatch.from_arrays([pa.array(list(model), pa.string()), pa.array(list(model.values()), pa.float64())], ["feature", "weight"])
 
-    return {r["feature"]: r["weight"] for r in sample.select("_id", "_label", "_text").coalesce(1).mapInArrow(run, schema).collect()}
+    return {r["feature"]: r["weight"] for r in sample.select("_id", "_label", "_text").coalesce(1).mapInArrow(run, MODEL).collect()}
 
 
 class _Weights(dict):

@@ -421,6 +421,54 @@ def test_toxicity_held_out(spark):
     assert found == sum(1 for v in got.values() if v[1])
 
 
+def test_noisy_or_by_brute_force():
+    """The likelihood's gradient against differences, and a fitted model's scores by plain loops."""
+    rng = np.random.default_rng(3)
+    docs = np.sort(rng.integers(0, 12, 40))
+    rows = np.repeat(np.arange(40), 3)
+    cols, y, weight = rng.integers(0, 9, 120), rng.integers(0, 2, 12).astype("f8"), rng.random(12)
+    w, b = rng.normal(size=9), -0.7
+
+    def likelihood(w, b):
+        total = 0.0
+        for d in range(12):
+            clean = 1.0
+            for s in np.flatnonzero(docs == d):
+                clean *= 1 - 1 / (1 + np.exp(-(b + sum(w[c] for c in cols[rows == s]))))
+            if (docs == d).any():
+                total += weight[d] * (np.log(1 - clean) if y[d] else np.log(clean))
+        return total
+
+    g, gb = toxicity.gradient(w, b, rows, cols, docs, y, weight)
+    for k in range(9):
+        e = np.eye(9)[k] * 1e-5
+        assert abs((likelihood(w + e, b) - likelihood(w - e, b)) / 2e-5 - g[k]) < 1e-4
+    assert abs((likelihood(w, b + 1e-5) - likelihood(w, b - 1e-5)) / 2e-5 - gb) < 1e-4
+
+    words = "fine good calm vile mean cruel".split()
+    texts = [". ".join(" ".join(random.choice(words[: 3 + 3 * (k % 2)]) for _ in range(3)) for _ in range(4)) for k in range(60)]
+    model = toxicity.fit(texts, [k % 2 for k in range(60)])
+    assert model
+    for text in texts:
+        clean = 1.0
+        for sentence in text.split("."):
+            known = [model[f] for t in sentence.split() for f in toxicity.features_of(t) if f in model]
+            if known:
+                clean *= 1 - 1 / (1 + np.exp(-(model[""] + sum(known))))
+        assert abs(toxicity.Scorer(model).document(text)[0] - (1 - clean)) < 1e-9
+
+
+def test_toxicity_query(spark):
+    """The query's columns over the given tables, held-out accuracy, and null ids."""
+    from loomwright.llm import registry
+
+    rows = {r["doc_id"]: r for r in registry.op10_toxicity(spark, "/root/testdata/sf0.01").collect()}
+    marks = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    held = [i for i in marks if i in rows and zlib.crc32(str(i).encode()) % 4 == 2]
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in rows.items())
+    assert sum(rows[i]["predicted"] == marks[i] for i in held) >= 0.9 * len(held) > 0
+
+
 def test_language_evidence(spark):
     random.seed(7)
     sounds = {"en": "th he in er an re".split(), "de": "ei ch sch ung en ü".split()}
