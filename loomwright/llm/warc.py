@@ -15,6 +15,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,6 +55,10 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def page_uri(page: str | None) -> str:
+    return "<urn:nopage>" if page is None else f"<urn:page:{quote(page, safe='')}>"
+
+
 def make_record(record_id: str, uri: str, payload: bytes, refers_to: str | None = None, date: str = "1970-01-01T00:00:00Z") -> bytes:
     """A response record, or a revisit record (no payload, but its digest) if ``refers_to`` is given."""
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", uri)
@@ -223,9 +228,10 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """Write one record for each row of ``pages`` and return the manifest (``path``, ``n_records``).
 
     Of rows with equal payloads those with the largest id are responses, the others
-    revisit it. Null payloads are empty, null urls are ``urn:none``, null ids
-    ``<urn:page:none>``. A repeated task writes new names; the manifest lists the files
-    of the attempts that succeeded. An empty table writes no file.
+    revisit it. Null payloads are empty, null urls are ``urn:none``; ids of any type are
+    written percent-encoded (``<urn:page:...>``), null ones as ``<urn:nopage>``. A repeated
+    task writes new names; the manifest lists the files of the attempts that succeeded.
+    An empty table writes no file.
     """
     spark = pages.sparkSession
     folder = shared_dir(spark, "warc")
@@ -247,10 +253,10 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
                     writer = ArchiveWriter(store.open_output_stream(f"{root}/{name}", compression=None), level)
                 writer.add(
                     make_record(
-                        f"<urn:page:{page or 'none'}>",
+                        page_uri(page),
                         url or "urn:none",
                         (payload or "").encode(),
-                        refers_to and f"<urn:page:{refers_to}>",
+                        refers_to if refers_to is None else page_uri(refers_to),
                     )
                 )
                 if writer.size >= file_bytes:
@@ -331,16 +337,18 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     ``payload_bytes`` of a revisit record is that of the response it refers to, looked
     up among the records that were read. The responses that are referred to have one row
-    an id, so a payload that a third of all pages share is a small side of the join.
+    an id, so a payload that a third of all pages share is a small side of the join. Ids
+    come back in their own type, whatever characters they hold; a null id stays null.
     """
     records = materialize(read_archives(write_archives(pages, id_col, url_col, payload_col), payload=False), "records")
 
     def page(c):
-        return F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
+        own = F.when(F.col(c).startswith("<urn:page:"), F.url_decode(F.regexp_extract(c, r"^<urn:page:([^>]*)>$", 1)))
+        return own.cast(pages.schema[id_col].dataType)
 
     of = records.select(
-        F.nullif(page("record_id"), F.lit("")).cast("long").alias(id_col),
-        F.nullif(page("refers_to"), F.lit("")).cast("long").alias("refers_to"),
+        page("record_id").alias(id_col),
+        page("refers_to").alias("refers_to"),
         "record_type",
         "payload_bytes",
         "payload_digest",

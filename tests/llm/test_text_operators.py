@@ -79,6 +79,19 @@ def test_counts_equal_library(spark):
         assert row == (len(text.encode()), n, n > 50), repr(text)
 
 
+def test_long_texts_equal_libraries(spark):
+    """Texts of some megabytes, in words, in one word and in one line of blanks."""
+    import sentencepiece
+
+    texts = ["some words, and more.\n" * 100_000, "é" * 300_000, " " * 200_000 + "x", "ab" * 200_000]
+    name, model = "byte_bpe_multi_50k.tiktoken", public_tokenizers.path("piece_bpe_32k.model")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lib, sp = tiktoken_of(name), sentencepiece.SentencePieceProcessor(model_file=model)
+    got = by_id(bpe.encode_documents(docs, public_tokenizers.path(name), public_tokenizers.PATTERN, ("n_tokens", "decoded_sha256")), "n_tokens", "decoded_sha256")
+    assert got == {k: (len(lib.encode_ordinary(t)), hashlib.sha256(t.encode()).hexdigest()) for k, t in enumerate(texts)}
+    assert by_id(counts.count_tokens(docs, model), "n_tokens") == {k: len(sp.encode(t)) for k, t in enumerate(texts)}
+
+
 def test_token_files_round_trip(spark):
     from tokenizers import Tokenizer
 

@@ -34,6 +34,15 @@ def test_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_ids_of_any_text(spark):
+    ids = ["a b", "", "none", "<x>", "é/ü%20+&", "7", None]
+    pages = spark.createDataFrame([(i, None, f"page {k // 2}") for k, i in enumerate(ids)], "page_id string, url string, html string")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()}
+    assert set(got) == set(ids)
+    assert got["a b"] == ("response", None) and got[""] == ("revisit", "a b") and got["none"] == ("response", None) and got["<x>"] == ("revisit", "none")
+    assert got["é/ü%20+&"] == ("response", None) and got["7"] == ("revisit", "é/ü%20+&") and got[None] == ("response", None)
+
+
 def test_payloads_come_back(spark):
     pages = spark.createDataFrame([(i, "http://x", "y" * i) for i in range(50)], "page_id long, url string, html string")
     got = warc.read_archives(warc.write_archives(pages, file_bytes=500)).collect()
