@@ -75,14 +75,13 @@ def _windows(words: Column, first: Column, last: Column, size: Column) -> Column
     )
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """For each row of ``docs``: ``id``, ``text_hash``, ``n_words``, ``n_hit`` and ``items`` (sorted strings).
+def _hit_rows(
+    docs: DataFrame, benchmark: DataFrame, span: int, k: int, id_col: str, text_col: str, item_col: str, item_text_col: str
+) -> tuple[DataFrame, DataFrame]:
+    """(a row for each of ``docs``: ``id``, ``text_hash``, ``n_words``, ``n_hit`` and ``classes``; ``class`` -> ``items``).
 
-    A window is ``span`` consecutive words of an item, or all words of a shorter one; a
-    document word inside an occurrence of a window is hit. Null and empty texts have no
-    words and hit nothing; items without words have no windows; items without an id hit
-    but aren't named. Rows are told apart by id and text, so repeated and null ids are
-    safe. An empty benchmark hits nothing.
+    A class is a set of items that have some windows in common: documents meet windows, of
+    which there is one row each, however many items hold them.
     """
     if not 1 <= k <= span:
         raise ValueError("k must be at most span")
@@ -93,12 +92,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, id
     # a short size only counts for items that are that short
     runs = runs.where((F.col("run.size") == span) | (F.col("run.size") == F.size("words")))
     prints = materialize(runs.select("run.size", "run.fp").distinct(), "item-prints")
-    windows = materialize(
-        runs.withColumn("win", F.explode_outer(_windows(F.col("words"), F.col("run.first"), F.col("run.last"), F.col("run.size"))))
-        .select("win.size", "win.window", "item")
-        .distinct(),
-        "item-windows",
-    )
+    windows = runs.withColumn("win", F.explode_outer(_windows(F.col("words"), F.col("run.first"), F.col("run.last"), F.col("run.size")))).select("win.size", "win.window", "item")
+    windows = windows.groupBy("size", "window").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    windows = materialize(windows.withColumn("class", F.sha2(F.array_join("items", "\0"), 256)), "item-windows")
+    classes = windows.groupBy("class").agg(F.first("items").alias("items"))
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), words_of(F.col(text_col)).alias("words"))
     found = (
@@ -121,36 +118,55 @@ def hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, id
         checked.where("wins is not null")
         .select("id", "text_hash", F.explode("wins").alias("win"))
         .select("id", "text_hash", "win.*")
-        .join(broadcast_if_small(windows), ["size", "window"])
+        .join(broadcast_if_small(windows.select("size", "window", "class")), ["size", "window"])
         .groupBy(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"))
-        .agg(F.collect_set(F.struct("at", "size")).alias("at"), F.array_sort(F.collect_set("item")).alias("items"))
+        .agg(F.collect_set(F.struct("at", "size")).alias("at"), F.array_sort(F.collect_set("class")).alias("classes"))
     )
     same = checked["id"].eqNullSafe(F.col("_id")) & (checked["text_hash"] == F.col("_hash"))
     places = F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["at"], x["at"] + x["size"] - 1))))
-    return checked.join(shared, same, "left").select(
+    n_hit = F.when(F.col("at").isNull(), 0).otherwise(F.size(places)).cast("long")
+    return checked.join(shared, same, "left").select("id", "text_hash", "n_words", n_hit.alias("n_hit"), "classes"), classes
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """For each row of ``docs``: ``id``, ``text_hash``, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256`` and ``items`` (sorted strings).
+
+    A window is ``span`` consecutive words of an item, or all words of a shorter one; a
+    document word inside an occurrence of a window is hit. Null and empty texts have no
+    words and hit nothing; items without words have no windows; items without an id hit
+    but aren't named. Rows are told apart by id and text, so repeated and null ids are
+    safe. An empty benchmark hits nothing. Sets of items are made and digested once for
+    each combination of classes, not for each document.
+    """
+    rows, classes = _hit_rows(docs, benchmark, span, k, id_col, text_col, item_col, item_text_col)
+    rows = materialize(rows.withColumn("key", F.sha2(F.array_join("classes", ","), 256)), "hit-rows")
+    sets = rows.where("key is not null").groupBy("key").agg(F.first("classes").alias("classes"))
+    sets = sets.select("key", F.explode("classes").alias("class")).join(classes, "class")
+    sets = sets.groupBy(F.col("key").alias("_key")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    digest = lambda items: F.sha2(F.array_join(items, ","), 256)
+    sets = materialize(sets.select("_key", "items", F.size("items").cast("long").alias("n_items"), digest("items").alias("items_sha256")), "item-sets")
+    none = F.array().cast("array<string>")
+    return rows.join(broadcast_if_small(sets), F.col("key") == F.col("_key"), "left").select(
         "id",
         "text_hash",
         "n_words",
-        F.when(F.col("at").isNull(), 0).otherwise(F.size(places)).cast("long").alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        "n_hit",
+        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items_sha256", digest(none)).alias("items_sha256"),
+        F.coalesce("items", none).alias("items"),
     )
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
     """id, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256`` and ``contaminated`` of every document (see ``hits``)."""
-    return hits(docs, benchmark, id_col=id_col, **kw).select(
-        F.col("id").alias(id_col),
-        "n_words",
-        "n_hit",
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
-    )
+    return hits(docs, benchmark, id_col=id_col, **kw).select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, k: int = K, item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
     """The rows of ``docs``, unchanged, that share no window with the benchmark."""
-    bad = hits(docs, benchmark, id_col=id_col, text_col=text_col, **kw).where("n_hit > 0")
+    bad = _hit_rows(docs, benchmark, span, k, id_col, text_col, item_col, item_text_col)[0].where("n_hit > 0")
     bad = materialize(bad.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "contaminated")
     return docs.join(
         broadcast_if_small(bad), docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left_anti"
