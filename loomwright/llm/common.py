@@ -18,8 +18,10 @@ BROADCAST_ROWS = 200_000
 #: ... and so many bytes, as their values are measured.
 BROADCAST_BYTES = 32 << 20
 #: Documents, and about so many bytes of text, that a Python worker takes up at once. (Arrow
-#: batches themselves are bounded in bytes by Spark's own setting, which isn't changed.)
+#: batches themselves are bounded in bytes by Spark's own setting, 64 MB.)
 BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
+#: ... and by this one in the jobs that are run here.
+ARROW_BYTES = 4 << 20
 #: Entries of a worker's memo of words; it is emptied when full, results never depend on it.
 MEMO_WORDS = 500_000
 
@@ -73,11 +75,23 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+_BYTES_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there."""
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there.
+
+    Arrow batches are kept small while the job runs, since a batch of whole texts is held
+    by the JVM and by a Python worker at once; the session's setting is put back after it.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    bound = spark.conf.get(_BYTES_SETTING)
+    spark.conf.set(_BYTES_SETTING, str(ARROW_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BYTES_SETTING, bound)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_folder = path
     return out
@@ -99,12 +113,13 @@ def _bytes_of(field: T.StructField) -> Column:
     return F.lit(32 * len(kind.fields) if isinstance(kind, T.StructType) else 8)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows and about ``size`` bytes, else as it is.
+def broadcast_if_small(df: DataFrame, rows: int | None = None, size: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` (``BROADCAST_ROWS``) rows and about ``size`` (``BROADCAST_BYTES``) bytes, else as it is.
 
     The check reads at most ``rows + 1`` rows; beyond the bounds the planner falls back to
     a shuffled join, which adaptive execution can split.
     """
+    rows, size = BROADCAST_ROWS if rows is None else rows, BROADCAST_BYTES if size is None else size
     each = sum((_bytes_of(f) for f in df.schema.fields), F.lit(16))
     n, total = df.limit(rows + 1).agg(F.count("*"), F.sum(each)).first()
     return F.broadcast(df) if n <= rows and (total or 0) <= size else df

@@ -20,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -51,7 +52,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 _HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.S | re.I)
 _TAG = re.compile(r"<[^<>]*>")
 #: Numbers that a worker keeps of known words; results don't depend on it.
-MEMO_CELLS = 3_000_000
+MEMO_CELLS = 1_500_000
+#: Words of texts of more characters are cut one after another rather than at once.
+LONG_TEXT = 1 << 20
 #: Posteriors of less than this aren't counted.
 LEAST_SHARE = 1e-9
 
@@ -119,11 +122,10 @@ class TextModel:
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Trigrams of each whole text, tempered log-likelihoods, and the text's own posteriors (zeros without letters)."""
         known, rows = self.memo
-        cut = [_WORD.findall(t.lower()) for t in texts]
         n, ll = np.zeros(len(texts), "i8"), np.zeros((len(texts), len(self.languages)))
-        for k, words in enumerate(cut):
-            for a in range(0, len(words), 50_000):
-                part = Counter(words[a : a + 50_000])
+        for k, text in enumerate(texts):
+            words = (m[0] for m in _WORD.finditer(text.lower())) if len(text) > LONG_TEXT else iter(_WORD.findall(text.lower()))
+            while part := Counter(islice(words, 10_000)):  # a very long text keeps to bounded memory
                 new = [w for w in part if w not in known]
                 if len(known) + len(new) > len(rows):
                     known.clear()

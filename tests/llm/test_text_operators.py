@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from loomwright.llm import bpe, counts, langid, licenses, quality, simhash, tokenfiles, toxicity, winnow  # noqa: E402
+from loomwright.llm import bpe, common, counts, langid, licenses, quality, simhash, tokenfiles, toxicity, winnow  # noqa: E402
 
 PIECES = "aab \n\t\r\x0b\x0c\x1c\x85\xa0 éß  ''s don't 12³½ 你好 😀 é ​　 ..!? ABC the ing aaaa ▁ﬁ <s> <|endoftext|> "
 random.seed(5)
@@ -229,7 +229,20 @@ def test_winnowing_finds_all_windows(spark):
     assert winnow.contamination(frame(spark, docs), bench.limit(0)).where("contaminated").count() == 0
 
 
-def test_simhash_components(spark):
+def test_common_windows(spark):
+    """A window of 400 items in 400 documents: one class of items, digested once, and no rows for each pair."""
+    common = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    bench = spark.createDataFrame([(i, f"{common} item{i % 3}") for i in range(400)] + [(400, "one two"), (None, common)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"start {common} end {'one two' if i % 2 else 'item0'}") for i in range(400)], "doc_id long, text string")
+    got = by_id(winnow.contamination(docs, bench), "n_hit", "n_items", "items_sha256")
+    every = [str(i) for i in range(400)]
+    for i in range(400):
+        items = sorted(every + ["400"] * (i % 2))
+        assert got[i] == (10 + 2 * (i % 2), len(items), hashlib.sha256(",".join(items).encode()).hexdigest())
+    assert {len(r["items"]) for r in winnow.hits(docs, bench).collect()} == {400, 401}
+
+
+def test_simhash_components(spark, monkeypatch):
     import xxhash
 
     random.seed(3)
@@ -260,7 +273,11 @@ def test_simhash_components(spark):
                     root[i] = root[j] = min(root[i], root[j])
     assert [got[i][1] for i in range(len(texts))] == root
     kept = simhash.keep_one(frame(spark, texts))
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root)) and kept.columns == frame(spark, texts).columns
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)  # what the tables of large inputs take: joins that shuffle
+    shuffled = simhash.keep_one(frame(spark, texts))
+    assert sorted(r["doc_id"] for r in shuffled.collect()) == sorted(set(root))
+    assert "BroadcastHashJoin" not in shuffled._jdf.queryExecution().optimizedPlan().toString()
     assert simhash.near_duplicates(frame(spark, texts).limit(0)).count() == 0
 
 
