@@ -7,7 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words whose full stop does not end a sentence.
@@ -102,7 +102,8 @@ def plain(c: Column) -> Column:
     return trim_space(F.regexp_replace(F.regexp_replace(c, TAG, " "), SPACE, " "))
 
 
-_END = re.compile(r"([.!?…]+)[\"'”’)\]]*$")
+#: What ends a sentence, what may stand behind it, and what may stand before a word.
+_END = re.compile(r"([.!?…]+)[\"'”’)\]]*(?= |$)")
 _OPENERS = re.compile(r"[\s(\[\"'“‘]")
 _STRIP = ".!?…\"'”’)]"
 
@@ -112,36 +113,32 @@ def _base(word: str) -> str:
 
 
 def sentences_of(text: str) -> list[str]:
-    """Sentences of a text, token by token: a token that ends in a terminator closes the sentence unless it looks like an abbreviation."""
-    tokens = text.split()
+    """Sentences of a text: a token that ends in a terminator closes the sentence unless it looks like an abbreviation.
+
+    Only tokens with a terminator are looked at; a token without letters stands for the
+    word before it in the same sentence.
+    """
+    text = " ".join(text.split())
     out: list[str] = []
-    held: list[str] = []
-    word = ""  # the last word of the sentence so far, without what may follow it
-    for k, token in enumerate(tokens):
-        held.append(token)
-        pieces = [p for p in _OPENERS.split(token.rstrip(_STRIP)) if p]
-        word = pieces[-1] if pieces else word
-        end = _END.search(token)
-        if not end:
-            continue
+    begin = 0
+    for end in _END.finditer(text):
+        stop = end.end()
         if not any(c in "!?" for c in end[1]):
-            last, following = _base(word), tokens[k + 1] if k + 1 < len(tokens) else ""
-            if len(last) <= 1 or last in ABBREVIATIONS or following[:1].islower() or (last.isdigit() and following[:1].isdigit()):
+            word, until = "", stop
+            while not word and until > begin:
+                at = text.rfind(" ", begin, until) + 1 or begin
+                pieces = [p for p in _OPENERS.split(text[at:until].rstrip(_STRIP)) if p]
+                word, until = pieces[-1] if pieces else "", at - 1
+            last, following = _base(word), text[stop + 1 : stop + 2]
+            if len(last) <= 1 or last in ABBREVIATIONS or following.islower() or (last.isdigit() and following.isdigit()):
                 continue
-        out.append(" ".join(held))
-        held, word = [], ""
-    return [*out, " ".join(held)] if held else out
-
-
-#: Texts that travel to a Python worker in one Arrow batch at most.
-BATCH_ROWS = 1000
+        out.append(text[begin:stop])
+        begin = stop + 1
+    return [*out, text[begin:]] if begin < len(text) else out
 
 
 def sentences(c: Column) -> Column:
-    """Array of the sentences of a text (null: none); small Arrow batches, no shuffle."""
-    spark = SparkSession.getActiveSession()
-    if spark and int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Array of the sentences of a text (null: none); no shuffle, and Arrow batches bounded in bytes by Spark's own setting."""
 
     @F.pandas_udf("array<string>")
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -181,13 +178,16 @@ def srt_time(seconds: Column) -> Column:
 def wrap_line(c: Column, width: int = LINE_CHARS) -> Column:
     """Text of more than ``width`` characters as two lines, the first as long as fits half of it."""
     words = F.array_remove(F.split(c, SPACE), "")
-    half = F.length(c) / 2
-    taken = F.aggregate(
-        words,
-        F.struct(F.lit(0).alias("n"), F.lit(0).alias("size"), F.lit(False).alias("full")),
-        lambda s, w: F.when(s["full"] | ((s["size"] > 0) & (s["size"] + 1 + F.length(w) > half)), F.struct(s["n"].alias("n"), s["size"].alias("size"), F.lit(True).alias("full"))).otherwise(
-            F.struct((s["n"] + 1).alias("n"), (s["size"] + F.when(s["n"] > 0, 1).otherwise(0) + F.length(w)).alias("size"), F.lit(False).alias("full"))
-        ),
-    )["n"]
+
+    def step(s, w):
+        # half the length travels in the state: within the fold the text would be measured again for each word
+        over = s["full"] | ((s["size"] > 0) & (s["size"] + 1 + F.length(w) > s["half"]))
+        size = s["size"] + F.when(s["n"] > 0, 1).otherwise(0) + F.length(w)
+        return F.struct(
+            F.when(over, s["n"]).otherwise(s["n"] + 1).alias("n"), F.when(over, s["size"]).otherwise(size).alias("size"), over.alias("full"), s["half"].alias("half")
+        )
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("size"), F.lit(False).alias("full"), (F.length(c) / 2).alias("half"))
+    taken = F.aggregate(words, start, step)["n"]
     two = F.concat(F.array_join(F.slice(words, 1, taken), " "), F.lit("\n"), F.array_join(F.slice(words, taken + 1, F.size(words)), " "))
     return F.when((F.length(c) > width) & (taken > 0) & (taken < F.size(words)), two).otherwise(c)

@@ -37,6 +37,25 @@ def resolve(items: DataFrame, channels: DataFrame, defaults: dict[str, object],
     return out.drop("__channel", "settings")
 
 
+def resolve_images(items: DataFrame, channels: DataFrame, key_col: str = "key", folder: str = "ANH_RA") -> DataFrame:
+    """``items`` with the ``model``, ``no_fallback`` and ``output`` folder of their image channel, and whether it is ``known``.
+
+    An unknown model is ``auto``; without a setting of its own only a forced first engine
+    forbids falling back; without a folder the channel's key below ``folder`` is taken.
+    """
+    joined = items.join(channels.select(F.upper("channel").alias("__channel"), F.col("settings").alias("__set")), F.upper(key_col) == F.col("__channel"), "left")
+    model = F.lower(F.trim(F.col("__set")["model"]))
+    model = F.when(model.isin("auto", "gemini", "pollinations"), model).otherwise("auto")
+    given = F.nullif(F.trim(F.col("__set")["thu_muc_ra"]), F.lit(""))
+    return joined.select(
+        *[items[f"`{c}`"] for c in items.columns],
+        model.alias("model"),
+        F.coalesce(F.lower(F.col("__set")["cam_du_phong"]) == "true", model == "gemini").alias("no_fallback"),
+        F.coalesce(given, F.concat_ws("/", F.lit(folder), F.upper(key_col))).alias("output"),
+        F.col("__channel").isNotNull().alias("known"),
+    )
+
+
 def by_model(items: DataFrame) -> DataFrame:
     """Rows dealt out by model and sorted by model and name, so that each model is loaded once a task."""
     return items.repartition("model").sortWithinPartitions("model", "name")
@@ -85,6 +104,28 @@ def upsert(channels: DataFrame, updates: DataFrame) -> DataFrame:
     return both.select(F.coalesce("channel", "__name").alias("channel"), F.map_concat(rest, given).alias("settings"))
 
 
+#: Settings saved from the page, and the places after the point that they keep.
+SAVED = {"toc_do": 3, "cao_do": 2, "nghi_ngan": 3, "nghi_dai": 3}
+
+
+def checked_updates(updates: DataFrame, models: tuple[str, ...], modes: tuple[str, ...] = ("tat", "nhe", "chuan", "manh")) -> DataFrame:
+    """``channel``, ``settings`` (a map of strings, for ``upsert``) and ``error`` of settings sent from the page.
+
+    ``updates``: ``channel``, ``model``, ``giong``, ``hau_ky`` and the numbers of ``SAVED``.
+    Names are trimmed and upper-cased; a bad name, model or mode is an error (the first of
+    them; then there are no settings). Numbers are rounded; an empty voice isn't set.
+    """
+    name = F.upper(F.trim("channel"))
+    error = (
+        F.when(~F.coalesce(valid_name(name), F.lit(False)), "name")
+        .when(~F.coalesce(F.col("model").isin(*models), F.lit(False)), "model")
+        .when(~F.coalesce(F.col("hau_ky").isin(*modes), F.lit(False)), "hau_ky")
+    )
+    numbers = [x for k, places in SAVED.items() for x in (F.lit(k), F.bround(F.col(k).cast("double"), places).cast("string"))]
+    every = F.create_map(F.lit("model"), F.col("model"), F.lit("voice"), F.nullif(F.col("giong"), F.lit("")), F.lit("hau_ky"), F.col("hau_ky"), *numbers)
+    return updates.select(name.alias("channel"), F.when(error.isNull(), F.map_filter(every, lambda k, v: v.isNotNull())).alias("settings"), error.alias("error"))
+
+
 def valid_name(name: Column) -> Column:
     """Whether a channel's name is of letters and digits only."""
     return F.upper(name).rlike("^[A-Z0-9]+$")

@@ -75,11 +75,11 @@ def route(prompts: DataFrame) -> DataFrame:
     return rows.withColumns(
         {
             "engine": F.when(open_, F.col("model")).when(F.col("tagged") | F.col("__who").isNotNull() | F.col("__may").isNotNull(), "gemini").otherwise("pollinations"),
-            "reason": F.when(open_, F.concat(F.lit("kenh ep "), "model"))
-            .when(F.col("tagged"), "co tag [P]")
-            .when(F.col("__who").isNotNull(), F.concat(F.lit("tu khoa nguoi '"), "__who", F.lit("'")))
-            .when(F.col("__may").isNotNull(), F.concat(F.lit("phan van vi '"), "__may", F.lit("' -> chon gemini")))
-            .otherwise("khong thay nguoi"),
+            "reason": F.when(open_, F.concat(F.lit("forced: "), "model"))
+            .when(F.col("tagged"), "tagged")
+            .when(F.col("__who").isNotNull(), F.concat(F.lit("person: "), "__who"))
+            .when(F.col("__may").isNotNull(), F.concat(F.lit("maybe: "), "__may"))
+            .otherwise("nobody"),
         }
     ).drop("__norm", "__who", "__may")
 

@@ -21,12 +21,13 @@ def timeline(segments: DataFrame, rate: int = RATE) -> DataFrame:
     """``segments`` with ``s0`` and ``s1``, the samples at which each starts and ends.
 
     A running sum per script of what came before; segments whose ``samples`` are 0 (or
-    null) are dropped first and take no time. Without that column the length law applies.
+    null) are dropped first and take no time; a null pause is none. Without that column
+    the length law applies.
     """
     rows = segments if "samples" in segments.columns else segments.withColumn("samples", spoken_samples(F.col("text"), rate))
     rows = rows.where("samples > 0")
     before = Window.partitionBy("script_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.col("samples") + F.floor(F.col("pause") * rate)).over(before), F.lit(0))
+    start = F.coalesce(F.sum(F.col("samples") + F.floor(F.coalesce("pause", F.lit(0.0)) * rate)).over(before), F.lit(0))
     return rows.withColumn("s0", start.cast("long")).withColumn("s1", (F.col("s0") + F.col("samples")).cast("long")).drop("samples")
 
 

@@ -64,8 +64,9 @@ k AS (SELECT * FROM (SELECT *, """
     + r""" AS kind FROM l) WHERE kind NOT IN ('comment', 'direction')),
 f AS (SELECT *, kind = 'content' AND coalesce(lag(kind) OVER w, '') <> 'content' AS first FROM k WINDOW w AS (PARTITION BY script_id ORDER BY pos)),
 b AS (SELECT *, sum(CAST(first AS INT)) OVER (PARTITION BY script_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS block FROM f),
-g AS (SELECT script_id, block, string_agg(line, ' ' ORDER BY pos) FILTER (kind = 'content') AS text,
-  max(CASE kind WHEN 'blank' THEN 0.85 WHEN 'rule' THEN 1.6 END) AS pause FROM b WHERE block > 0 GROUP BY script_id, block),
+v AS (SELECT *, CASE kind WHEN 'blank' THEN 0.85 WHEN 'rule' THEN 1.6 WHEN 'pause' THEN CAST(replace(regexp_extract(line, '[0-9]+(?:[.,][0-9]+)?'), ',', '.') AS DOUBLE) END AS v,
+  max(CASE WHEN kind = 'pause' THEN pos END) OVER (PARTITION BY script_id, block) AS forced FROM b WHERE block > 0),
+g AS (SELECT script_id, block, string_agg(line, ' ' ORDER BY pos) FILTER (kind = 'content') AS text, max(v) FILTER (forced IS NULL OR pos >= forced) AS pause FROM v GROUP BY script_id, block),
 blocks AS (SELECT script_id, block, text, coalesce(greatest(pause, CASE WHEN block = max(block) OVER (PARTITION BY script_id) THEN 0.5 END), 0.5) AS pause FROM g)"""
 )
 
@@ -115,6 +116,45 @@ def t9_segments(spark, sf_dir):
     return segment.segments(scripts(spark, sf_dir))
 
 
+def marked_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as scripts whose turns are parted by blank lines, rules, pause markers and break tags, in turn."""
+    after = F.element_at(F.array(*[F.lit(x) for x in _MARKS]), (F.col("turn") % len(_MARKS) + 1).cast("int"))
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.concat("text", after).alias("text"))))
+    return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("script_id")).agg(F.array_join(F.transform(turns, lambda t: t["text"]), "").alias("text"))
+
+
+#: What follows a turn, by its number: the separators, markers and tags of the script format.
+_MARKS = (
+    "\n\n", "\n---\n", "\n[pause: 1,5 s]\n", ' <break time="700ms"/> ', "\n# note\n[loud]\n\n[nghi=0.2]\n\n",
+    ' <break/> <break strength="strong"/> ', "\n[nghỉ 2]\n***\n", " <b>bold</b> ",
+)
+_MARKED_SQL = (
+    _BLOCKS_SQL.replace(
+        _SCRIPTS_SQL,
+        "scripts AS (SELECT conv_id AS script_id, string_agg(text || [" + ", ".join("'" + m.replace("\n", "' || chr(10) || '") + "'" for m in _MARKS) + f"][1 + turn % {len(_MARKS)}], '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id)",
+    )
+    + r""", cut AS (SELECT *, string_split_regex(text, '<break[^>]*>') AS pieces, regexp_extract_all(text, '<break[^>]*>') AS tags FROM blocks),
+fr AS (SELECT script_id, block, pause, len(pieces) AS n, unnest(range(1, len(pieces) + 1)) AS frag, unnest(pieces) AS piece, tags FROM cut),
+fs AS (SELECT script_id, block, pause, frag, frag = n AS last, script_id * 10000000 + block * 1000 + frag AS id,
+  trim(regexp_replace(regexp_replace(piece, '</?[a-zA-Z][^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text,
+  CASE WHEN tags[frag] LIKE '%700ms%' THEN 0.7 WHEN tags[frag] LIKE '%strong%' THEN 0.9 WHEN tags[frag] IS NOT NULL THEN 0.5 END AS break_s FROM fr),
+src AS (SELECT id, text FROM fs), """
+    + _sentences_sql("src")
+    + r""", rw AS (SELECT fs.*, s.seq AS i, s.sentence, CASE WHEN s.seq < max(s.seq) OVER (PARTITION BY fs.id) THEN 0.3 ELSE coalesce(break_s, CASE WHEN last THEN pause END, 0.3) END AS own FROM fs LEFT JOIN sents s USING (id)),
+nm AS (SELECT *, count(sentence) OVER (PARTITION BY script_id ORDER BY block, frag, i ROWS UNBOUNDED PRECEDING) AS seq FROM rw),
+gp AS (SELECT script_id, seq, max(sentence) AS text, max(own) FILTER (sentence IS NOT NULL) AS own, arg_max(break_s, block * 1000 + frag) FILTER (sentence IS NULL AND break_s IS NOT NULL) AS over FROM nm WHERE seq > 0 GROUP BY ALL)"""
+)
+
+
+@query(
+    f"""WITH {_MARKED_SQL} SELECT script_id, CAST(seq AS INT) AS seq, text,
+  CAST(CASE WHEN seq = max(seq) OVER (PARTITION BY script_id) THEN 0.5 ELSE coalesce(over, own) END AS DOUBLE) AS pause FROM gp"""
+)
+def t9_marked_segments(spark, sf_dir):
+    """Segments of scripts with every kind of separator, marker, direction, comment and tag."""
+    return segment.segments(marked_scripts(spark, sf_dir))
+
+
 _TIMELINE_SQL = (
     _SEGMENTS_SQL
     + r""", smp AS (SELECT *, CAST(floor(greatest(0.4, length(text) / 15.0) * 24000) AS BIGINT) AS samples FROM segments),
@@ -145,16 +185,74 @@ def l5_word_times(spark, sf_dir):
     return rows.select("script_id", "seq", "pos", "word", *[F.floor(F.col(t) * 1e4 + 0.5).alias(f"{t}_e4") for t in ("t0", "t1")])
 
 
-@query()
+_CUES_SQL = (
+    _TIMELINE_SQL
+    + r""", sp AS (SELECT script_id, seq, s0 / 24000 AS a, (s0 + samples) / 24000 AS b, string_split(text, ' ') AS w FROM tl),
+wd AS (SELECT script_id, seq, a, b, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM sp),
+cum AS (SELECT *, sum(greatest(length(word), 1)) OVER (PARTITION BY script_id, seq) AS total,
+  sum(greatest(length(word), 1)) OVER (PARTITION BY script_id, seq ORDER BY pos ROWS UNBOUNDED PRECEDING) AS upto FROM wd),
+timed AS (SELECT script_id, seq, pos, word, a, b, a + (b - a) * (upto - greatest(length(word), 1)) / total AS t0, a + (b - a) * upto / total AS t1 FROM cum),
+held AS (SELECT script_id, seq, pos, word, b, least(greatest(t0, a), b) AS t0, least(greatest(t1, least(greatest(t0, a), b) + 0.05), b) AS t1 FROM timed WHERE pos = 0
+UNION ALL SELECT x.script_id, x.seq, x.pos, x.word, x.b, least(greatest(x.t0, h.t1), x.b), least(greatest(x.t1, least(greatest(x.t0, h.t1), x.b) + 0.05), x.b)
+  FROM held h JOIN timed x ON x.script_id = h.script_id AND x.seq = h.seq AND x.pos = h.pos + 1),
+packed AS (SELECT script_id, seq, pos, word, t0, t1, 0 AS k, t0 AS began, length(word) + 1 AS chars, regexp_matches(word, '[,;:—–]$') AND length(word) > 50.4 AS shut FROM held WHERE pos = 0
+UNION ALL SELECT x.script_id, x.seq, x.pos, x.word, x.t0, x.t1, p.k + CAST(fresh AS INT), CASE WHEN fresh THEN x.t0 ELSE p.began END,
+  CASE WHEN fresh THEN 0 ELSE p.chars END + length(x.word) + 1, regexp_matches(x.word, '[,;:—–]$') AND planned > 50.4
+  FROM (SELECT *, pos + 1 AS next FROM packed) p JOIN held x ON x.script_id = p.script_id AND x.seq = p.seq AND x.pos = p.next,
+  LATERAL (SELECT CASE WHEN p.shut THEN 0 ELSE p.chars END + length(x.word) AS planned), LATERAL (SELECT p.shut OR planned > 84 OR x.t1 - p.began > 6.0 AS fresh)),
+lined AS (SELECT script_id, seq, k, min(t0) AS t0, max(t1) AS t1, string_agg(word, ' ' ORDER BY pos) AS x, list(word ORDER BY pos) AS w FROM packed GROUP BY ALL),
+half AS (SELECT *, greatest(1, len(list_filter(range(1, len(w) + 1), lambda k: length(array_to_string(w[1 : k], ' ')) <= length(x) / 2))) AS n FROM lined),
+wrapped AS (SELECT *, CASE WHEN length(x) <= 42 OR n >= len(w) THEN x ELSE array_to_string(w[1 : n], ' ') || chr(10) || array_to_string(w[n + 1 : len(w)], ' ') END AS text,
+  lead(t0) OVER (PARTITION BY script_id ORDER BY seq, k) AS next FROM half),
+cues AS (SELECT script_id, CAST(row_number() OVER (PARTITION BY script_id ORDER BY seq, k) AS INT) AS cue_no, t0,
+  CASE WHEN t1 - t0 < 0.9 THEN greatest(t1, least(t0 + 0.9, coalesce(next - 0.04, t1 + 0.9))) ELSE t1 END AS t1, text FROM wrapped)"""
+)
+
+
+@query(
+    f"""WITH RECURSIVE {_CUES_SQL}
+SELECT script_id, cue_no, CAST(floor(t0 * 1e4 + 0.5) AS BIGINT) AS t0_e4, CAST(floor(t1 * 1e4 + 0.5) AS BIGINT) AS t1_e4, text FROM cues"""
+)
 def l7_cues(spark, sf_dir):
-    return timeline.cues(_spans(spark, sf_dir))
+    rows = timeline.cues(_spans(spark, sf_dir))
+    return rows.select("script_id", "cue_no", *[F.floor(F.col(t) * 1e4 + 0.5).alias(f"{t}_e4") for t in ("t0", "t1")], "text")
 
 
-@query()
+def _stamp_sql(t: str) -> str:
+    ms = f"CAST(round_even(greatest({t}, 0) * 1000, 0) AS BIGINT)"
+    return f"printf('%02d:%02d:%02d,%03d', {ms} // 3600000, {ms} // 60000 % 60, {ms} // 1000 % 60, {ms} % 1000)"
+
+
+@query(
+    f"""WITH RECURSIVE {_CUES_SQL}
+SELECT script_id, string_agg(cue_no || chr(10) || {_stamp_sql("t0")} || ' --> ' || {_stamp_sql("t1")} || chr(10) || text || chr(10), chr(10) ORDER BY cue_no) AS srt FROM cues GROUP BY script_id"""
+)
 def k2_subtitles(spark, sf_dir):
     return timeline.srt(timeline.cues(_spans(spark, sf_dir)))
 
 
+@query()
+def l10_speech_timing(spark, sf_dir):
+    """From recognized words to cues: words meet their segments, are aligned, gaps are filled, and cues packed.
+
+    The recognizer is played by the spoken words a tenth of a second late, each seventh
+    missing; words lie in a segment that they overlap within 0.25 s.
+    """
+    spans = _spans(spark, sf_dir)
+    words = timeline.word_times(spans).withColumn("norm", X.normalize_word(F.col("word")))
+    heard = words.where("pos % 7 <> 3").select("script_id", F.col("norm").alias("h"), (F.col("t0") + 0.1).alias("h0"), (F.col("t1") + 0.1).alias("h1"))
+    near = spans.select("script_id", "seq", (F.col("t0") - 0.25).alias("a0"), (F.col("t1") + 0.25).alias("b0"))
+    met = timeline.interval_join(heard, near, ["script_id"], ("h0", "h1"), ("a0", "b0"), 10.0)
+    met = met.groupBy("script_id", "seq").agg(F.array_sort(F.collect_list(F.struct("h0", "h1", "h"))).alias("some"))
+    said = words.groupBy("script_id", "seq").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "norm"))).alias("all"))
+    pairs = said.join(met, ["script_id", "seq"], "left").select(
+        "script_id", "seq", F.col("all.word").alias("words"), F.col("all.norm").alias("norms"),
+        *[F.coalesce(F.col(f"some.{c}"), F.array().cast(f"array<{kind}>")).alias(name) for c, name, kind in (("h", "heard", "string"), ("h0", "t0", "double"), ("h1", "t1", "double"))],
+    )
+    timed = align.aligned_times(pairs).join(spans.select("script_id", "seq", F.col("t0").alias("a"), F.col("t1").alias("b")), ["script_id", "seq"])
+    return timeline.cues(spans, timeline.fill_times(timed))
+
+
 @query()
 def l4_alignment(spark, sf_dir):
     """Script words against what a recognizer would hear that drops each seventh word."""
@@ -186,12 +284,12 @@ def t6_break_seconds(spark, sf_dir):
 
 @query(
     r"""WITH w AS (SELECT lang, regexp_replace(strip_accents(lower(unnest(string_split_regex(text, '\s+')))), '[^0-9a-z]', '', 'g') AS word FROM documents)
-SELECT lang, word, count(*) AS n FROM w WHERE word <> '' GROUP BY ALL HAVING count(*) >= 5"""
+SELECT lang, word, count(*) AS n FROM w WHERE word <> '' GROUP BY ALL"""
 )
 def t13_normalized_words(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     words = docs.select("lang", F.explode(F.split("text", X.SPACE)).alias("w")).select("lang", X.normalize_word(F.col("w")).alias("word"))
-    return words.where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n")).where("n >= 5")
+    return words.where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -259,8 +357,8 @@ texts AS (SELECT DISTINCT t FROM e),
 hit AS (SELECT t, arg_min(kw, grp * 1000 + ord) AS kw, min(grp) AS grp FROM texts, kw
   WHERE regexp_matches(regexp_replace(t, '{deny}' || kw || '($|[^a-z0-9])', '|', 'g'), '(^|[^a-z0-9])' || kw || '($|[^a-z0-9])') GROUP BY t)
 SELECT event_id, CASE WHEN model <> 'auto' THEN model WHEN tagged OR kw IS NOT NULL THEN 'gemini' ELSE 'pollinations' END AS engine,
-  CASE WHEN model <> 'auto' THEN 'kenh ep ' || model WHEN tagged THEN 'co tag [P]' WHEN grp = 1 THEN 'tu khoa nguoi ''' || kw || ''''
-  WHEN grp = 2 THEN 'phan van vi ''' || kw || ''' -> chon gemini' ELSE 'khong thay nguoi' END AS reason
+  CASE WHEN model <> 'auto' THEN 'forced: ' || model WHEN tagged THEN 'tagged' WHEN grp = 1 THEN 'person: ' || kw
+  WHEN grp = 2 THEN 'maybe: ' || kw ELSE 'nobody' END AS reason
 FROM e LEFT JOIN hit USING (t)"""
 
 
@@ -287,16 +385,18 @@ def c1_channel_keys(spark, sf_dir):
 @query(
     """SELECT c_custkey, CASE WHEN n_nationkey % 3 = 0 THEN 'spanish' WHEN n_nationkey % 3 = 1 THEN NULL ELSE 'english' END AS model,
   CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey AS VARCHAR) ELSE '1.0' END AS speed, n_nationkey IS NOT NULL AS known
-FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) n ON c_nationkey = n_nationkey"""
+FROM customer LEFT JOIN nation ON CASE WHEN c_custkey % 5 = 0 THEN -1 ELSE c_nationkey END = n_nationkey"""
 )
 def c3_settings(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").where("n_nationkey < 20")
+    """Every fifth item belongs to a channel that is not declared."""
+    n = table(spark, sf_dir, "nation")
     k = F.col("n_nationkey")
     text = "map<string,string>"
     model = F.when(k % 3 == 0, F.create_map(F.lit("model"), F.lit("spanish"))).when(k % 3 == 1, F.create_map(F.lit("model"), F.lit(None).cast("string"))).otherwise(F.create_map().cast(text))
     speed = F.when(k % 2 == 0, F.create_map(F.lit("speed"), k.cast("string"))).otherwise(F.create_map().cast(text))
     dimension = n.select(k.cast("string").alias("channel"), F.map_concat(model, speed).alias("settings"))
-    items = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("key"))
+    key = F.when(F.col("c_custkey") % 5 == 0, -1).otherwise(F.col("c_nationkey")).cast("string")
+    items = table(spark, sf_dir, "customer").select("c_custkey", key.alias("key"))
     out = channels.resolve(items, dimension, {"model": "english", "speed": "1.0"})
     return out.select("c_custkey", "config.model", "config.speed", "known")
 
@@ -371,14 +471,20 @@ def l3_interval_join(spark, sf_dir):
 
 
 @query(
-    """WITH e AS (SELECT *, event_type <> 'error' AS ok FROM events),
-r AS (SELECT *, coalesce(sum(CAST(ok AS INT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM e),
+    """WITH e AS (SELECT *, event_type <> 'error' AS ok, epoch_us(ts) / 1e6 AS t FROM events),
+r AS (SELECT *, coalesce(sum(CAST(ok AS INT)) OVER w, 0) AS run, greatest(0.0, max(t + 30 * value) OVER w - t) AS cooling
+  FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 k AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY event_id) - 1 AS k FROM r)
-SELECT event_id, CAST(k AS INT) AS k, CASE WHEN NOT ok THEN CAST(least(60 * pow(2, k), 900) AS DOUBLE) END AS wait FROM k"""
+SELECT event_id, CAST(k AS INT) AS k, CASE WHEN NOT ok THEN round(greatest(CAST(least(60 * pow(2, k), 900) AS DOUBLE), coalesce(cooling, 0)), 3) END AS wait FROM k"""
 )
 def x3_backoff(spark, sf_dir):
-    log = table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("event_type") != "error").alias("ok"))
-    return attempts.backoff(log).select("event_id", "k", "wait")
+    """Failed calls wait by their number since the last success, or until the key is free that earlier calls heat up."""
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "value", (F.col("event_type") != "error").alias("ok"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    before = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    log = e.withColumn("cooling", F.greatest(F.lit(0.0), F.max(F.col("t") + 30 * F.col("value")).over(before) - F.col("t")))
+    return attempts.backoff(log, cooling=F.coalesce("cooling", F.lit(0.0))).select("event_id", "k", F.round("wait", 3).alias("wait"))
 
 
 @query(
@@ -434,14 +540,24 @@ def x1_key_ring(spark, sf_dir):
     return attempts.key_ring(e.select(F.col("user_id").alias("ring"), F.col("event_id").alias("call"), at.alias("at"), outcome.alias("outcome"), F.col("value").alias("wait_s")))
 
 
+def _job_events(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("event"), F.col("event_type").alias("state"))
+
+
 @query(
-    """SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, user_id AS job, arg_max(event_type, ts) AS state, count(*) AS n FROM events GROUP BY ALL"""
+    """SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, user_id AS job, last(event_type ORDER BY ts, event_id) AS state, count(*) AS n FROM events GROUP BY ALL"""
 )
 def x7_job_states(spark, sf_dir):
     from ..streaming import jobs
 
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("state"))
-    return jobs.job_states(e).select(F.col("hour").cast("timestamp_ntz").alias("hour"), "job", "state", "n")
+    return jobs.job_states(_job_events(spark, sf_dir)).select(F.col("hour").cast("timestamp_ntz").alias("hour"), "job", "state", "n")
+
+
+@query("SELECT user_id AS job, last(event_type ORDER BY ts, event_id) AS state, CAST(max(ts) AS TIMESTAMP) AS since FROM events GROUP BY user_id")
+def x7_latest_states(spark, sf_dir):
+    from ..streaming import jobs
+
+    return jobs.latest_states(_job_events(spark, sf_dir)).withColumn("since", F.col("since").cast("timestamp_ntz"))
 
 
 @query(
@@ -511,10 +627,19 @@ def d5_normalize_fade(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", total(signal.normalize_peak(pcm)).alias("total"), total(signal.fade(pcm, F.lit(8))).alias("faded"))
 
 
-@query()
+@query(
+    """WITH f AS (SELECT vec_id, list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) AS top,
+  len(list_filter(embedding, lambda x: abs(CAST(x AS DOUBLE)) >= 0.999)) AS clipped,
+  list_sort(list_transform(range(0, 32), lambda k: greatest(abs(CAST(embedding[2 * k + 1] AS DOUBLE)), abs(CAST(embedding[2 * k + 2] AS DOUBLE))))) AS p FROM embeddings),
+q AS (SELECT *, list_aggregate(p, 'quantile_cont', 0.1) AS lo, list_aggregate(p, 'quantile_cont', 0.9) AS hi FROM f)
+SELECT vec_id, array_to_string(list_filter(['error:too short', 'warning:low rate', CASE WHEN top < 1e-6 THEN 'error:silent' END, CASE WHEN top >= 1e-6 AND clipped > 0.064 THEN 'warning:clipping' END,
+  CASE WHEN top >= 1e-6 AND top < 0.05 THEN 'warning:quiet' END,
+  CASE WHEN top >= 1e-6 AND hi > 1e-6 THEN CASE WHEN lo <= 1e-9 THEN 'ok:clean' WHEN 20 * log10(hi / lo) < 12 THEN 'warning:noise' ELSE 'ok:signal to noise' END END,
+  CASE WHEN top >= 1e-6 AND len(list_filter(p, lambda x: x < greatest(lo * 2, hi * 0.08))) / 32 > 0.45 THEN 'warning:pauses' END], lambda x: x IS NOT NULL), ',') AS findings FROM q"""
+)
 def p8_voice_findings(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").withColumn("rate", F.lit(100))
-    return signal.voice_findings(e, "embedding", "rate").select("vec_id", F.transform("findings", lambda f: F.concat_ws(":", f["level"], f["rule"])).alias("findings"))
+    return signal.voice_findings(e, "embedding", "rate").select("vec_id", F.array_join(F.transform("findings", lambda f: F.concat_ws(":", f["level"], f["rule"])), ",").alias("findings"))
 
 
 @query()
@@ -530,14 +655,17 @@ def d16_mastering(spark, sf_dir):
 
 
 @query(
-    r"""WITH t AS (SELECT doc_id, trim(left(regexp_replace(text, '\s+', ' ', 'g'), 100)) AS x FROM documents),
-w AS (SELECT doc_id, x, string_split(x, ' ') AS w FROM t),
-n AS (SELECT *, greatest(1, len(list_filter(range(1, len(w) + 1), lambda k: length(array_to_string(w[1 : k], ' ')) <= length(x) / 2))) AS n FROM w)
-SELECT doc_id, CASE WHEN length(x) <= 42 OR n >= len(w) THEN x ELSE array_to_string(w[1 : n], ' ') || chr(10) || array_to_string(w[n + 1 : len(w)], ' ') END AS lines FROM n"""
+    r"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x FROM documents),
+w AS (SELECT doc_id, length(x) AS size, unnest(string_split(x, ' ')) AS word, generate_subscripts(string_split(x, ' '), 1) AS k FROM t),
+c AS (SELECT *, sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) - 1 AS upto, count(*) OVER (PARTITION BY doc_id) AS all_words FROM w),
+n AS (SELECT doc_id, greatest(1, count(*) FILTER (upto <= size / 2)) AS n, any_value(all_words) AS all_words FROM c GROUP BY doc_id),
+l AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) FILTER (k <= n) || chr(10) || string_agg(word, ' ' ORDER BY k) FILTER (k > n) AS two FROM c JOIN n USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN length(x) <= 42 OR n >= n.all_words THEN x ELSE two END AS lines FROM t JOIN n USING (doc_id) JOIN l USING (doc_id)"""
 )
 def t16_wrapped_lines(spark, sf_dir):
-    start = F.trim(F.left(F.regexp_replace("text", X.SPACE, " "), F.lit(100)))
-    return table(spark, sf_dir, "documents").select("doc_id", X.wrap_line(start).alias("lines"))
+    """Whole texts as two lines."""
+    whole = F.trim(F.regexp_replace("text", X.SPACE, " "))
+    return table(spark, sf_dir, "documents").select("doc_id", X.wrap_line(whole).alias("lines"))
 
 
 @query(

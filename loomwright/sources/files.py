@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import wave
 from collections.abc import Iterator
 
@@ -31,8 +32,34 @@ def read_channels(spark: SparkSession, path: str, section: str = "kenh") -> Data
     return text.select(F.explode(parsed[section]).alias("channel", "settings")).select(F.upper("channel").alias("channel"), "settings")
 
 
+def merged_config(document: Column, defaults: dict[str, dict[str, object] | object], whole: tuple[str, ...] = ("kenh",)) -> Column:
+    """struct(sections, values) of a JSON document laid over defaults; one that can't be parsed fails the query.
+
+    Sections (objects in the defaults) are merged key by key, but those in ``whole`` are
+    taken as the document has them; everything else is replaced. ``sections`` maps names to
+    maps of texts, ``values`` names to texts (JSON where they aren't strings).
+    """
+    texts = "map<string,string>"
+    none = F.create_map().cast(texts)
+    given = F.coalesce(F.from_json(F.regexp_replace(document, "^\ufeff", ""), texts, {"mode": "FAILFAST"}), none)
+    merged = [F.lit(k) for k, v in defaults.items() if isinstance(v, dict)]
+    sections = []
+    for name, value in defaults.items():
+        if isinstance(value, dict):
+            flat = [F.lit(x if isinstance(x, str) else json.dumps(x)) for kv in value.items() for x in kv]
+            own = F.create_map(*flat) if flat else none
+            user = F.from_json(given[name], texts)
+            kept = F.when(F.lit(name in whole) & user.isNotNull(), none).otherwise(F.map_filter(own, lambda k, _: ~F.map_contains_key(F.coalesce(user, none), k)))  # noqa: B023
+            sections += [F.lit(name), F.map_concat(kept, F.coalesce(user, none))]
+    plain = [F.lit(x if isinstance(x, str) else json.dumps(x)) for kv in defaults.items() if not isinstance(kv[1], dict) for x in kv]
+    base = F.create_map(*plain) if plain else none
+    own = F.map_filter(given, lambda k, _: ~F.array_contains(F.array(*merged).cast("array<string>"), k))
+    values = F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(own, k)), own)
+    return F.struct((F.create_map(*sections) if sections else F.create_map().cast(f"map<string,{texts}>")).alias("sections"), values.alias("values"))
+
+
 def read_wav(spark: SparkSession, path: str) -> DataFrame:
-    """``path``, ``rate``, ``seconds`` and ``pcm`` (mono, -1 to 1) of every 16-bit .wav file."""
+    """``path``, ``rate``, ``seconds`` and ``pcm`` (mono, -1 to 1) of every .wav file of 8, 16, 24 or 32 bits a sample."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -40,15 +67,24 @@ def read_wav(spark: SparkSession, path: str) -> DataFrame:
             out = []
             for p, content in zip(pdf["path"], pdf["content"]):
                 with wave.open(io.BytesIO(content)) as w:
-                    if w.getsampwidth() != 2:
-                        raise ValueError(f"{p}: only 16-bit samples are read")
-                    raw = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels())
-                    out.append((p, w.getframerate(), len(raw) / w.getframerate(), (raw.astype("f4") / 32768).mean(axis=1)))
+                    raw = samples_of(w.readframes(w.getnframes()), w.getsampwidth()).reshape(-1, w.getnchannels())
+                    out.append((p, w.getframerate(), len(raw) / w.getframerate(), raw.mean(axis=1)))
             yield pd.DataFrame(out, columns=["path", "rate", "seconds", "pcm"])
 
     return rows.select("path", "content").mapInPandas(run, "path string, rate int, seconds double, pcm array<float>")
 
 
+def samples_of(data: bytes, width: int) -> np.ndarray:
+    """Samples from -1 to 1 of little-endian PCM of ``width`` bytes; one byte is unsigned."""
+    if width == 1:
+        return (np.frombuffer(data, "u1").astype("f4") - 128) / 128
+    if width == 3:  # each in the upper bytes of a 32-bit number
+        wide = np.zeros((len(data) // 3, 4), "u1")
+        wide[:, 1:] = np.frombuffer(data, "u1").reshape(-1, 3)
+        data, width = wide.tobytes(), 4
+    return np.frombuffer(data, f"<i{width}").astype("f4") / (1 << 8 * width - 1)
+
+
 def wav_bytes(pcm: Column, rate: Column) -> Column:
     """A mono 16-bit WAV file: samples clipped to 1, scaled by 32767 and cut to integers; NaN and infinite ones are 0."""
 

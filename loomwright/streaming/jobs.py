@@ -1,4 +1,4 @@
-"""Streams: the script queue, the latest state of jobs, and frame peaks of a sample stream."""
+"""Streams: the script queue, the states of jobs, and the key ring."""
 
 from __future__ import annotations
 
@@ -19,16 +19,26 @@ def script_queue(spark: SparkSession, folder: str, archive: str | None = None) -
 
 
 def job_states(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """The latest state of each job within each hour; late events beyond the watermark are dropped.
+    """The last state of each job within each hour; late events beyond the watermark are dropped.
 
-    ``events``: ``job``, ``ts`` (timestamp), ``state``. Works on batches and streams alike.
+    ``events``: ``job``, ``ts`` (timestamp), ``event`` and ``state``; of events at one time
+    the one of the greatest ``event`` counts. Works on batches and streams alike.
     """
     rows = events.withWatermark("ts", delay) if events.isStreaming else events
-    return rows.groupBy(F.window("ts", "1 hour").alias("w"), "job").agg(F.max_by("state", "ts").alias("state"), F.count("*").alias("n")).select(
+    return rows.groupBy(F.window("ts", "1 hour").alias("w"), "job").agg(F.max_by("state", F.struct("ts", "event")).alias("state"), F.count("*").alias("n")).select(
         F.col("w.start").alias("hour"), "job", "state", "n"
     )
 
 
+def latest_states(events: DataFrame) -> DataFrame:
+    """``job``, its latest ``state`` and ``since`` when, over all events (see ``job_states``).
+
+    On a stream write it in ``update`` mode; its state is one row a job.
+    """
+    last = F.max(F.struct("ts", "event", "state")).alias("last")
+    return events.groupBy("job").agg(last).select("job", F.col("last.state").alias("state"), F.col("last.ts").alias("since"))
+
+
 def key_ring_stream(calls: DataFrame, keys: int = 3) -> DataFrame:
     """``key_ring`` on a stream: the ring's cooling times and dead keys are kept between batches.
 

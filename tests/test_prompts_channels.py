@@ -21,22 +21,22 @@ def test_blocks_or_lines(spark):
 
 def test_routing(spark):
     cases = [
-        ("golden hour light, no people", False, "auto", "pollinations", "khong thay nguoi"),
-        ("anything", True, "auto", "gemini", "co tag [P]"),
-        ("Uma multidão rezando", False, "auto", "gemini", "tu khoa nguoi 'rezando'"),
-        ("without a person", False, "auto", "pollinations", "khong thay nguoi"),
-        ("no people but people", False, "auto", "gemini", "tu khoa nguoi 'people'"),
-        ("a piano man on stage", False, "auto", "pollinations", "khong thay nguoi"),
-        ("a statue", False, "auto", "gemini", "phan van vi 'statue' -> chon gemini"),
-        ("a woman", False, "pollinations", "pollinations", "kenh ep pollinations"),
-        ("stick figure drawing", False, "auto", "gemini", "tu khoa nguoi 'figure'"),
-        ("", False, "auto", "pollinations", "khong thay nguoi"),
+        ("golden hour light, no people", False, "auto", "pollinations", "nobody"),
+        ("anything", True, "auto", "gemini", "tagged"),
+        ("Uma multidão rezando", False, "auto", "gemini", "person: rezando"),
+        ("without a person", False, "auto", "pollinations", "nobody"),
+        ("no people but people", False, "auto", "gemini", "person: people"),
+        ("a piano man on stage", False, "auto", "pollinations", "nobody"),
+        ("a statue", False, "auto", "gemini", "maybe: statue"),
+        ("a woman", False, "pollinations", "pollinations", "forced: pollinations"),
+        ("stick figure drawing", False, "auto", "gemini", "person: figure"),
+        ("", False, "auto", "pollinations", "nobody"),
     ]
     df = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, text string, tagged boolean, model string")
     got = {r["i"]: (r["engine"], r["reason"]) for r in prompts.route(df).collect()}
     words = list(prompts.PEOPLE)
     expected = {i: (c[3], c[4]) for i, c in enumerate(cases)}
-    expected[2] = ("gemini", f"tu khoa nguoi '{min(('multidao', 'rezando'), key=words.index)}'")
+    expected[2] = ("gemini", f"person: {min(('multidao', 'rezando'), key=words.index)}")
     assert got == expected
 
 

@@ -61,3 +61,41 @@ def test_backoff_waits_for_cooling_keys(spark):
     got = attempts.backoff(log, cooling=F.col("until")).orderBy("event_id").collect()
     assert [r["wait"] for r in got] == [60.0, 500.0, None, 2000.0, 120.0, 240.0]
     assert [r["wait"] for r in attempts.backoff(log).orderBy("event_id").collect()] == [60.0, 120.0, None, 60.0, 120.0, 240.0]
+
+
+def test_checked_updates(spark):
+    from loomwright.operators import channels
+
+    rows = [(" ab1 ", "english", "v.wav", "nhe", 1.23456, 0.005, 0.3, 0.85), ("a-b", "english", "", "nhe", 1.0, 0.0, 0.3, 0.8), ("C", "klingon", "", "loud", 1.0, 0.0, 0.3, 0.8), ("D", "english", "", "loud", 1.0, 0.0, None, 0.8), (None, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "channel string, model string, giong string, hau_ky string, toc_do double, cao_do double, nghi_ngan double, nghi_dai double")
+    got = [(r["channel"], r["error"], r["settings"]) for r in channels.checked_updates(df, ("english", "spanish")).collect()]
+    assert got[0] == ("AB1", None, {"model": "english", "voice": "v.wav", "hau_ky": "nhe", "toc_do": "1.235", "cao_do": "0.0", "nghi_ngan": "0.3", "nghi_dai": "0.85"})
+    assert [g[1] for g in got[1:]] == ["name", "model", "hau_ky", "name"] and all(g[2] is None for g in got[1:])
+
+
+def test_image_channels(spark):
+    from loomwright.operators import channels
+
+    text = "map<string,string>"
+    dim = spark.createDataFrame([("a", {"model": " Gemini "}), ("B", {"model": "odd", "thu_muc_ra": " out/b "}), ("c", {"model": "gemini", "cam_du_phong": "false"})], f"channel string, settings {text}")
+    items = spark.createDataFrame([(1, "A"), (2, "b"), (3, "C"), (4, "x"), (5, None)], "i int, key string")
+    got = {r["i"]: tuple(r)[2:] for r in channels.resolve_images(items, dim).collect()}
+    assert got[1] == ("gemini", True, "ANH_RA/A", True) and got[2] == ("auto", False, "out/b", True) and got[3] == ("gemini", False, "ANH_RA/C", True)
+    assert got[4] == ("auto", False, "ANH_RA/X", False) and got[5][3] is False
+
+
+def test_merged_config(spark):
+    import pytest
+
+    from loomwright.sources import files
+
+    defaults = {"anh": {"dinh_dang": "png", "min_kb": 5}, "kenh": {"TERCO": {"model": "auto"}}, "uu_tien": ["A"], "khoa": "k"}
+    docs = ['﻿{"anh": {"min_kb": 9, "moi": true}, "kenh": {"X": {"model": "gemini"}}, "khoa": "z", "them": 1}', "{}"]
+    df = spark.createDataFrame([(d,) for d in docs], "v string").coalesce(1)
+    one, two = (r[0] for r in df.select(files.merged_config(df["v"], defaults)).collect())
+    assert one["sections"]["anh"] == {"dinh_dang": "png", "min_kb": "9", "moi": "true"} and list(one["sections"]["kenh"]) == ["X"]
+    assert one["values"] == {"uu_tien": '["A"]', "khoa": "z", "them": "1"}
+    assert two["sections"]["anh"] == {"dinh_dang": "png", "min_kb": "5"} and list(two["sections"]["kenh"]) == ["TERCO"] and two["values"]["khoa"] == "k"
+    bad = spark.createDataFrame([("{nonsense",)], "v string")
+    with pytest.raises(Exception, match="MALFORMED"):
+        bad.select(files.merged_config(bad["v"], defaults)).collect()

@@ -118,3 +118,46 @@ def test_interval_join_has_each_pair_once(spark):
     got = sorted((x["l"], x["r"]) for x in timeline.interval_join(left, right, [], ("a0", "a1"), ("b0", "b1"), 1.5).collect())
     a, b = left.collect(), right.collect()
     assert got == sorted((x["l"], y["r"]) for x in a for y in b if x["a1"] > y["b0"] and x["a0"] < y["b1"])
+
+
+def test_null_pauses_and_ties(spark):
+    from loomwright.operators import timeline
+    from loomwright.streaming import jobs
+
+    rows = [(1, k, "x" * 30, None if k == 2 else 0.5) for k in range(1, 4)]
+    got = timeline.timeline(spark.createDataFrame(rows, "script_id long, seq int, text string, pause double")).orderBy("seq").collect()
+    assert [(r["s0"], r["s1"]) for r in got] == [(0, 48000), (60000, 108000), (108000, 156000)]
+    import datetime
+
+    at = datetime.datetime(2024, 1, 1)
+    events = spark.createDataFrame([("a", at, 2, "done"), ("a", at, 1, "running"), ("b", at, 1, "waiting")], "job string, ts timestamp, event int, state string")
+    assert {r["job"]: r["state"] for r in jobs.latest_states(events).collect()} == {"a": "done", "b": "waiting"} == {r["job"]: r["state"] for r in jobs.job_states(events).collect()}
+
+
+def test_sentences_token_by_token():
+    """Against a plain walk over all tokens."""
+    import random
+
+    from loomwright.functions import text as X
+
+    def walk(text):
+        out, held, word, tokens = [], [], "", text.split()
+        for k, token in enumerate(tokens):
+            held.append(token)
+            body = token.rstrip(".!?…\"'”’)]")
+            pieces = [p for p in X._OPENERS.split(body) if p]
+            word = pieces[-1] if pieces else word
+            end = X._END.search(token)
+            if end:
+                last, after = X._base(word), tokens[k + 1] if k + 1 < len(tokens) else ""
+                small = len(last) <= 1 or last in X.ABBREVIATIONS or after[:1].islower() or (last.isdigit() and after[:1].isdigit())
+                if any(c in "!?" for c in end[1]) or not small:
+                    out.append(" ".join(held))
+                    held, word = [], ""
+        return [*out, " ".join(held)] if held else out
+
+    random.seed(3)
+    parts = ["Mr", "Level", "12", "1", "word", "Été", "(no", "a.b", '"Yes', ".", "...", "!", "?!", "…", ")", '."', "”", " ", " ", "  ", "\n", "\u00a0", "U.S", "é"]
+    for _ in range(3000):
+        text = "".join(random.choice(parts) for _ in range(random.randint(0, 25)))
+        assert X.sentences_of(text) == walk(text), text

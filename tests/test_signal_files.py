@@ -127,3 +127,13 @@ def test_streams(spark):
     q.awaitTermination(120)
     got = {r["call"]: r["key"] for r in spark.table("ring").collect()}
     assert got[0] == 0 and got[1] == 1 and len(got) == 4
+
+
+def test_sample_widths():
+    from loomwright.sources import files
+
+    values = np.array([-1.0, -0.5, 0.0, 0.25])
+    assert np.allclose(files.samples_of(((values * 128) + 128).astype("u1").tobytes(), 1), values)
+    assert np.allclose(files.samples_of((values * 32768).astype("<i2").tobytes(), 2), values)
+    three = b"".join(int(v * (1 << 23)).to_bytes(3, "little", signed=True) for v in values)
+    assert np.allclose(files.samples_of(three, 3), values) and np.allclose(files.samples_of((values * 2147483648).astype("<i4").tobytes(), 4), values)
