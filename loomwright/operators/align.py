@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 
 #: Scores of equal words, equal beginnings, unlike words and a gap.
 SAME, START, UNLIKE, GAP = 2.0, 0.6, -1.2, -1.0
-#: Tables of at most so many bytes of steps are worked off once instead of twice; results don't depend on it.
-SMALL = 1 << 20
+#: Tables of at most so many cells are filled cell by cell, and those of at most so many bytes of
+#: steps by diagonals that are worked off once instead of twice; results don't depend on either.
+FEW_CELLS, SMALL = 2500, 1 << 20
 
 
 def _numbers(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -29,9 +30,42 @@ def align(a: list[str], b: list[str]) -> list[int]:
     on the way back the steps of one such run at a time are found again: memory grows with
     min(n, m) * sqrt(n + m), and lists of any length are aligned.
     """
+    if len(a) * len(b) <= FEW_CELLS:
+        return _align_cells(a, b)
     return _align(a, b, rows=len(a) <= len(b))  # arrays go by the shorter side
 
 
+def _align_cells(a: list[str], b: list[str]) -> list[int]:
+    """``align`` of short lists, where arrays would cost more than they save."""
+    n, m = len(a), len(b)
+    got = [-1] * n
+    heads = [w[:3] for w in b]
+    last = [GAP * j for j in range(m + 1)]
+    steps = []
+    for i, word in enumerate(a, 1):
+        head, here, moves = word[:3], [GAP * i], []
+        for j in range(1, m + 1):
+            other = b[j - 1]
+            both = last[j - 1] + ((SAME if word == other else START if head == heads[j - 1] else UNLIKE) if word and other else UNLIKE)
+            up, left = last[j] + GAP, here[j - 1] + GAP
+            best = both if both >= up and both >= left else up if up >= left else left
+            here.append(best)
+            moves.append(0 if best == both else 1 if best == up else 2)
+        steps.append(moves)
+        last = here
+    i, j = n, m
+    while i and j:
+        move = steps[i - 1][j - 1]
+        if move == 0:
+            i, j = i - 1, j - 1
+            if a[i] and b[j] and a[i][:3] == heads[j]:
+                got[i] = j
+        elif move == 1:
+            i -= 1
+        else:
+            j -= 1
+    return got
+
 
 def _align(a: list[str], b: list[str], rows: bool) -> list[int]:
     """``rows``: arrays are indexed by the place in ``a``, else in ``b``."""

@@ -56,12 +56,14 @@ def test_mastering():
     assert np.allclose(mastering._unframe(spectrum, len(x)), x, atol=1e-9)
 
 
+@pytest.mark.parametrize("few", [0, 10**9])
 @pytest.mark.parametrize("small", [align.SMALL, 0])
-def test_align_equals_whole_table(small, monkeypatch):
+def test_align_equals_whole_table(small, few, monkeypatch):
     """Any shape, against the plain table, ties and empty words included."""
     import random
 
     monkeypatch.setattr(align, "SMALL", small)
+    monkeypatch.setattr(align, "FEW_CELLS", few)
     random.seed(8)
 
     def slow(a, b):
