@@ -629,6 +629,31 @@ def test_hosts_and_their_parents(spark):
     assert got[3] == got[4] == (None, None) and got[5] == ("one", ["one"]) and len(got[6][1]) == 1
 
 
+def test_results_without_broadcasts(spark, monkeypatch):
+    """The joins that large tables take, which shuffle both sides, give the same rows."""
+    from loomwright.llm import warc
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    model = langid.train(docs)
+
+    def results():
+        frames = [
+            langid.identify_pages(pages, model), warc.round_trip(pages), winnow.contamination(docs, bench), simhash.near_duplicates(docs),
+            quality.keep(docs), langid.keep_documents(docs, model), winnow.decontaminate(docs, bench), simhash.keep_one(docs),
+        ]
+        return [sorted(map(repr, f.collect())) for f in frames]
+
+    small = results()
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert results() == small
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_read_ranks():
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     with open(path, "rb") as f:
