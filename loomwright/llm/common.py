@@ -164,15 +164,3 @@ def map_texts(
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, *names])
 
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, out)
-
-
-def where_last(df: DataFrame, condition: Column) -> DataFrame:
-    """The rows of ``df`` that meet ``condition``, which is not pushed down.
-
-    A filter is pushed below the projections that compute what it reads, and those
-    expressions are then put into each other: array functions nested in lambdas would be
-    evaluated again for each element. A row number beside the condition keeps the filter
-    above (projections with non-deterministic columns aren't passed).
-    """
-    numbered = df.withColumns({"__keep": condition, "__row": F.monotonically_increasing_id()})
-    return numbered.where("__keep and __row >= 0").drop("__keep", "__row")
