@@ -108,8 +108,8 @@ def upsert(channels: DataFrame, updates: DataFrame) -> DataFrame:
 SAVED = {"toc_do": 3, "cao_do": 2, "nghi_ngan": 3, "nghi_dai": 3}
 
 
-def checked_updates(updates: DataFrame, models: tuple[str, ...], modes: tuple[str, ...] = ("tat", "nhe", "chuan", "manh")) -> DataFrame:
-    """``channel``, ``settings`` (a map of strings, for ``upsert``) and ``error`` of settings sent from the page.
+def checked_updates(updates: DataFrame, models: tuple[str, ...], modes: tuple[str, ...] = ("tat", "nhe", "chuan", "manh"), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Columns ``keep``, ``channel``, ``settings`` (a map of strings, for ``upsert``) and ``error`` of settings sent from the page.
 
     ``updates``: ``channel``, ``model``, ``giong``, ``hau_ky`` and the numbers of ``SAVED``.
     Names are trimmed and upper-cased; a bad name, model or mode is an error (the first of
@@ -123,7 +123,7 @@ def checked_updates(updates: DataFrame, models: tuple[str, ...], modes: tuple[st
     )
     numbers = [x for k, places in SAVED.items() for x in (F.lit(k), F.bround(F.col(k).cast("double"), places).cast("string"))]
     every = F.create_map(F.lit("model"), F.col("model"), F.lit("voice"), F.nullif(F.col("giong"), F.lit("")), F.lit("hau_ky"), F.col("hau_ky"), *numbers)
-    return updates.select(name.alias("channel"), F.when(error.isNull(), F.map_filter(every, lambda k, v: v.isNotNull())).alias("settings"), error.alias("error"))
+    return updates.select(*keep, name.alias("channel"), F.when(error.isNull(), F.map_filter(every, lambda k, v: v.isNotNull())).alias("settings"), error.alias("error"))
 
 
 def valid_name(name: Column) -> Column:
