@@ -253,16 +253,34 @@ def l10_speech_timing(spark, sf_dir):
     return timeline.cues(spans, timeline.fill_times(timed))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_CUES_SQL},
+both_ AS (SELECT script_id, seq, list(norm ORDER BY pos) AS x, list(norm ORDER BY pos) FILTER (pos % 7 <> 3) AS y, list(t0 ORDER BY pos) FILTER (pos % 7 <> 3) AS h0, list(t1 ORDER BY pos) FILTER (pos % 7 <> 3) AS h1
+  FROM (SELECT *, regexp_replace(strip_accents(lower(word)), '[^0-9a-z]', '', 'g') AS norm FROM timed) GROUP BY ALL),
+grid AS (SELECT script_id, seq, x, y, 0 AS i, list_transform(range(0, len(y) + 1), lambda j: -1.0 * j) AS cur, CAST([] AS DOUBLE[]) AS sc, CAST([] AS INT[]) AS moves FROM both_
+UNION ALL SELECT script_id, seq, x, y, i, cur, sc, list_transform(range(1, len(y) + 1), lambda j: CASE WHEN cur[j + 1] = prev[j] + sc[j] THEN 0 WHEN cur[j + 1] = prev[j + 1] - 1.0 THEN 1 ELSE 2 END)
+  FROM (SELECT *, list_reduce(list_transform(range(1, len(y) + 1), lambda j: [CAST(j AS DOUBLE)]),
+    lambda acc, v: list_append(acc, greatest(prev[CAST(v[1] AS INT)] + sc[CAST(v[1] AS INT)], prev[CAST(v[1] AS INT) + 1] - 1.0, acc[-1] - 1.0)), [-1.0 * i]) AS cur
+    FROM (SELECT script_id, seq, x, y, i + 1 AS i, cur AS prev, list_transform(y, lambda w: CASE WHEN x[i + 1] <> '' AND x[i + 1] = w THEN 2.0 WHEN x[i + 1] <> '' AND w <> '' AND left(x[i + 1], 3) = left(w, 3) THEN 0.6 ELSE -1.2 END) AS sc
+      FROM grid WHERE i < len(x)))),
+steps AS MATERIALIZED (SELECT script_id, seq, i, list_transform(range(1, len(moves) + 1), lambda j: CASE WHEN moves[j] = 0 AND sc[j] > 0 THEN 3 ELSE moves[j] END) AS moves FROM grid WHERE i > 0),
+path AS (SELECT script_id, seq, CAST(len(x) AS BIGINT) AS i, CAST(len(y) AS BIGINT) AS j, CAST(NULL AS BIGINT) AS mi, CAST(NULL AS BIGINT) AS mj FROM both_
+UNION ALL SELECT p.script_id, p.seq, CASE WHEN g.moves[p.j] = 2 THEN p.i ELSE p.i - 1 END, CASE WHEN g.moves[p.j] = 1 THEN p.j ELSE p.j - 1 END,
+  CASE WHEN g.moves[p.j] = 3 THEN p.i END, CASE WHEN g.moves[p.j] = 3 THEN p.j END
+  FROM path p JOIN steps g ON g.script_id = p.script_id AND g.seq = p.seq AND g.i = p.i WHERE p.i > 0 AND p.j > 0)
+SELECT t.script_id, CAST(t.seq AS INT) AS seq, CAST(t.pos AS INT) AS pos, t.word, CAST(floor(h0[mj] * 1e4 + 0.5) AS BIGINT) AS t0_e4, CAST(floor(h1[mj] * 1e4 + 0.5) AS BIGINT) AS t1_e4
+FROM timed t JOIN both_ USING (script_id, seq) LEFT JOIN (SELECT * FROM path WHERE mi IS NOT NULL) m ON m.script_id = t.script_id AND m.seq = t.seq AND m.mi = t.pos + 1"""
+)
 def l4_alignment(spark, sf_dir):
     """Script words against what a recognizer would hear that drops each seventh word."""
     words = timeline.word_times(_spans(spark, sf_dir)).withColumn("norm", X.normalize_word(F.col("word")))
     item = F.struct("pos", "word", "norm", "t0", "t1")
     heard = F.when(F.col("pos") % 7 != 3, item)
     rows = words.groupBy("script_id", "seq").agg(F.array_sort(F.collect_list(item)).alias("all"), F.array_sort(F.collect_list(heard)).alias("some"))
-    return align.aligned_times(
+    found = align.aligned_times(
         rows.select("script_id", "seq", F.col("all.word").alias("words"), F.col("all.norm").alias("norms"), F.col("some.norm").alias("heard"), F.col("some.t0").alias("t0"), F.col("some.t1").alias("t1"))
     )
+    return found.select("script_id", "seq", "pos", "word", *[F.floor(F.col(t) * 1e4 + 0.5).alias(f"{t}_e4") for t in ("t0", "t1")])
 
 
 @query(
