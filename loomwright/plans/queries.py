@@ -231,33 +231,8 @@ def k2_subtitles(spark, sf_dir):
     return timeline.srt(timeline.cues(_spans(spark, sf_dir)))
 
 
-@query()
-def l10_speech_timing(spark, sf_dir):
-    """From recognized words to cues: words meet their segments, are aligned, gaps are filled, and cues packed.
-
-    The recognizer is played by the spoken words a tenth of a second late, each seventh
-    missing; words lie in a segment that they overlap within 0.25 s.
-    """
-    spans = _spans(spark, sf_dir)
-    words = timeline.word_times(spans).withColumn("norm", X.normalize_word(F.col("word")))
-    heard = words.where("pos % 7 <> 3").select("script_id", F.col("norm").alias("h"), (F.col("t0") + 0.1).alias("h0"), (F.col("t1") + 0.1).alias("h1"))
-    near = spans.select("script_id", "seq", (F.col("t0") - 0.25).alias("a0"), (F.col("t1") + 0.25).alias("b0"))
-    met = timeline.interval_join(heard, near, ["script_id"], ("h0", "h1"), ("a0", "b0"), 10.0)
-    met = met.groupBy("script_id", "seq").agg(F.array_sort(F.collect_list(F.struct("h0", "h1", "h"))).alias("some"))
-    said = words.groupBy("script_id", "seq").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "norm"))).alias("all"))
-    pairs = said.join(met, ["script_id", "seq"], "left").select(
-        "script_id", "seq", F.col("all.word").alias("words"), F.col("all.norm").alias("norms"),
-        *[F.coalesce(F.col(f"some.{c}"), F.array().cast(f"array<{kind}>")).alias(name) for c, name, kind in (("h", "heard", "string"), ("h0", "t0", "double"), ("h1", "t1", "double"))],
-    )
-    timed = align.aligned_times(pairs).join(spans.select("script_id", "seq", F.col("t0").alias("a"), F.col("t1").alias("b")), ["script_id", "seq"])
-    return timeline.cues(spans, timeline.fill_times(timed))
-
-
-@query(
-    f"""WITH RECURSIVE {_CUES_SQL},
-both_ AS (SELECT script_id, seq, list(norm ORDER BY pos) AS x, list(norm ORDER BY pos) FILTER (pos % 7 <> 3) AS y, list(t0 ORDER BY pos) FILTER (pos % 7 <> 3) AS h0, list(t1 ORDER BY pos) FILTER (pos % 7 <> 3) AS h1
-  FROM (SELECT *, regexp_replace(strip_accents(lower(word)), '[^0-9a-z]', '', 'g') AS norm FROM timed) GROUP BY ALL),
-grid AS (SELECT script_id, seq, x, y, 0 AS i, list_transform(range(0, len(y) + 1), lambda j: -1.0 * j) AS cur, CAST([] AS DOUBLE[]) AS sc, CAST([] AS INT[]) AS moves FROM both_
+#: Alignment of the lists x and y of ``both_``: tables row by row, then the way back (``mi`` of x meets ``mj`` of y).
+_ALIGN_SQL = """grid AS (SELECT script_id, seq, x, y, 0 AS i, list_transform(range(0, len(y) + 1), lambda j: -1.0 * j) AS cur, CAST([] AS DOUBLE[]) AS sc, CAST([] AS INT[]) AS moves FROM both_
 UNION ALL SELECT script_id, seq, x, y, i, cur, sc, list_transform(range(1, len(y) + 1), lambda j: CASE WHEN cur[j + 1] = prev[j] + sc[j] THEN 0 WHEN cur[j + 1] = prev[j + 1] - 1.0 THEN 1 ELSE 2 END)
   FROM (SELECT *, list_reduce(list_transform(range(1, len(y) + 1), lambda j: [CAST(j AS DOUBLE)]),
     lambda acc, v: list_append(acc, greatest(prev[CAST(v[1] AS INT)] + sc[CAST(v[1] AS INT)], prev[CAST(v[1] AS INT) + 1] - 1.0, acc[-1] - 1.0)), [-1.0 * i]) AS cur
@@ -267,7 +242,14 @@ steps AS MATERIALIZED (SELECT script_id, seq, i, list_transform(range(1, len(mov
 path AS (SELECT script_id, seq, CAST(len(x) AS BIGINT) AS i, CAST(len(y) AS BIGINT) AS j, CAST(NULL AS BIGINT) AS mi, CAST(NULL AS BIGINT) AS mj FROM both_
 UNION ALL SELECT p.script_id, p.seq, CASE WHEN g.moves[p.j] = 2 THEN p.i ELSE p.i - 1 END, CASE WHEN g.moves[p.j] = 1 THEN p.j ELSE p.j - 1 END,
   CASE WHEN g.moves[p.j] = 3 THEN p.i END, CASE WHEN g.moves[p.j] = 3 THEN p.j END
-  FROM path p JOIN steps g ON g.script_id = p.script_id AND g.seq = p.seq AND g.i = p.i WHERE p.i > 0 AND p.j > 0)
+  FROM path p JOIN steps g ON g.script_id = p.script_id AND g.seq = p.seq AND g.i = p.i WHERE p.i > 0 AND p.j > 0)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_CUES_SQL},
+both_ AS (SELECT script_id, seq, list(norm ORDER BY pos) AS x, list(norm ORDER BY pos) FILTER (pos % 7 <> 3) AS y, list(t0 ORDER BY pos) FILTER (pos % 7 <> 3) AS h0, list(t1 ORDER BY pos) FILTER (pos % 7 <> 3) AS h1
+  FROM (SELECT *, regexp_replace(strip_accents(lower(word)), '[^0-9a-z]', '', 'g') AS norm FROM timed) GROUP BY ALL),
+{_ALIGN_SQL}
 SELECT t.script_id, CAST(t.seq AS INT) AS seq, CAST(t.pos AS INT) AS pos, t.word, CAST(floor(h0[mj] * 1e4 + 0.5) AS BIGINT) AS t0_e4, CAST(floor(h1[mj] * 1e4 + 0.5) AS BIGINT) AS t1_e4
 FROM timed t JOIN both_ USING (script_id, seq) LEFT JOIN (SELECT * FROM path WHERE mi IS NOT NULL) m ON m.script_id = t.script_id AND m.seq = t.seq AND m.mi = t.pos + 1"""
 )
@@ -283,6 +265,53 @@ def l4_alignment(spark, sf_dir):
     return found.select("script_id", "seq", "pos", "word", *[F.floor(F.col(t) * 1e4 + 0.5).alias(f"{t}_e4") for t in ("t0", "t1")])
 
 
+#: Times of words that have none (see ``timeline.fill_times``), from ``known`` to ``filled``.
+_FILL_SQL = """around AS (SELECT *, coalesce(last_value(t1 IGNORE NULLS) OVER (PARTITION BY script_id, seq ORDER BY pos ROWS UNBOUNDED PRECEDING), a) AS l,
+  coalesce(first_value(t0 IGNORE NULLS) OVER (PARTITION BY script_id, seq ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), b) AS r,
+  count(t0) OVER (PARTITION BY script_id, seq ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run, greatest(length(word), 1) AS size FROM known),
+share AS (SELECT *, sum(CASE WHEN t0 IS NULL THEN size END) OVER w AS total, sum(CASE WHEN t0 IS NULL THEN size END) OVER (PARTITION BY script_id, seq, run ORDER BY pos ROWS UNBOUNDED PRECEDING) AS upto,
+  count(*) FILTER (t0 IS NULL) OVER w AS n FROM around WINDOW w AS (PARTITION BY script_id, seq, run)),
+gap AS (SELECT *, CASE WHEN r > l THEN r - l ELSE 0.12 * n END AS g FROM share),
+filled AS (SELECT script_id, seq, pos, word, a, b, coalesce(t0, l + g * (upto - size) / total) AS t0, coalesce(t1, l + g * upto / total) AS t1 FROM gap)"""
+_TIMED_SQL, _PACK_SQL = _CUES_SQL[: _CUES_SQL.index(",\nheld AS")], _CUES_SQL[_CUES_SQL.index(",\nheld AS") :]
+
+
+@query(
+    f"""WITH RECURSIVE {_TIMED_SQL},
+nt AS (SELECT *, regexp_replace(strip_accents(lower(word)), '[^0-9a-z]', '', 'g') AS norm FROM timed),
+said AS (SELECT script_id, seq, list(norm ORDER BY pos) AS x FROM nt GROUP BY ALL),
+heard AS (SELECT script_id, norm AS h, t0 + 0.1 AS h0, t1 + 0.1 AS h1 FROM nt WHERE pos % 7 <> 3),
+near AS (SELECT DISTINCT script_id, seq, a - 0.25 AS a0, b + 0.25 AS b0 FROM timed),
+met AS (SELECT script_id, seq, list(h ORDER BY h0, h1, h) AS y, list(h0 ORDER BY h0, h1, h) AS h0, list(h1 ORDER BY h0, h1, h) AS h1 FROM near JOIN heard USING (script_id) WHERE h1 > a0 AND h0 < b0 GROUP BY ALL),
+both_ AS (SELECT script_id, seq, x, coalesce(y, []) AS y, h0, h1 FROM said LEFT JOIN met USING (script_id, seq)),
+{_ALIGN_SQL},
+known AS (SELECT t.script_id, t.seq, t.pos, t.word, t.a, t.b, h0[mj] AS t0, h1[mj] AS t1
+  FROM timed t JOIN both_ USING (script_id, seq) LEFT JOIN (SELECT * FROM path WHERE mi IS NOT NULL) m ON m.script_id = t.script_id AND m.seq = t.seq AND m.mi = t.pos + 1),
+{_FILL_SQL}{_PACK_SQL.replace("FROM timed", "FROM filled").replace("JOIN timed", "JOIN filled")}
+SELECT script_id, cue_no, CAST(floor(t0 * 1e4 + 0.5) AS BIGINT) AS t0_e4, CAST(floor(t1 * 1e4 + 0.5) AS BIGINT) AS t1_e4, text FROM cues"""
+)
+def l10_speech_timing(spark, sf_dir):
+    """From recognized words to cues: words meet their segments, are aligned, gaps are filled, and cues packed.
+
+    The recognizer is played by the spoken words a tenth of a second late, each seventh
+    missing; words lie in a segment that they overlap within 0.25 s.
+    """
+    spans = _spans(spark, sf_dir)
+    words = timeline.word_times(spans).withColumn("norm", X.normalize_word(F.col("word")))
+    heard = words.where("pos % 7 <> 3").select("script_id", F.col("norm").alias("h"), (F.col("t0") + 0.1).alias("h0"), (F.col("t1") + 0.1).alias("h1"))
+    near = spans.select("script_id", "seq", (F.col("t0") - 0.25).alias("a0"), (F.col("t1") + 0.25).alias("b0"))
+    met = timeline.interval_join(heard, near, ["script_id"], ("h0", "h1"), ("a0", "b0"), 10.0)
+    met = met.groupBy("script_id", "seq").agg(F.array_sort(F.collect_list(F.struct("h0", "h1", "h"))).alias("some"))
+    said = words.groupBy("script_id", "seq").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "norm"))).alias("all"))
+    pairs = said.join(met, ["script_id", "seq"], "left").select(
+        "script_id", "seq", F.col("all.word").alias("words"), F.col("all.norm").alias("norms"),
+        *[F.coalesce(F.col(f"some.{c}"), F.array().cast(f"array<{kind}>")).alias(name) for c, name, kind in (("h", "heard", "string"), ("h0", "t0", "double"), ("h1", "t1", "double"))],
+    )
+    timed = align.aligned_times(pairs).join(spans.select("script_id", "seq", F.col("t0").alias("a"), F.col("t1").alias("b")), ["script_id", "seq"])
+    rows = timeline.cues(spans, timeline.fill_times(timed))
+    return rows.select("script_id", "cue_no", *[F.floor(F.col(t) * 1e4 + 0.5).alias(f"{t}_e4") for t in ("t0", "t1")], "text")
+
+
 @query(
     """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN least(greatest(CAST(value AS DOUBLE) / 10, 0), 30)
   WHEN event_id % 3 = 1 THEN least(greatest(floor(value) / 1000, 0), 30)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import attempts, channels, prompts, segment, timeline
 from ..sources import files
-from .queries import _CUES_SQL, _SEGMENTS_SQL, _route_sql, query, scripts, table
+from .queries import _CUES_SQL, _FILL_SQL, _SEGMENTS_SQL, _route_sql, query, scripts, table
 
 TEXTS = "map<string,string>"
 
@@ -255,13 +255,8 @@ def l2_dropped_segments(spark, sf_dir):
 @query(
     f"""WITH RECURSIVE {_CUES_SQL},
 known AS (SELECT script_id, seq, pos, word, a, b, CASE WHEN pos % 4 = 1 THEN t0 END AS t0, CASE WHEN pos % 4 = 1 THEN t1 END AS t1 FROM timed),
-around AS (SELECT *, coalesce(last_value(t1 IGNORE NULLS) OVER (PARTITION BY script_id, seq ORDER BY pos ROWS UNBOUNDED PRECEDING), a) AS l,
-  coalesce(first_value(t0 IGNORE NULLS) OVER (PARTITION BY script_id, seq ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), b) AS r,
-  count(t0) OVER (PARTITION BY script_id, seq ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run, greatest(length(word), 1) AS size FROM known),
-share AS (SELECT *, sum(CASE WHEN t0 IS NULL THEN size END) OVER w AS total, sum(CASE WHEN t0 IS NULL THEN size END) OVER (PARTITION BY script_id, seq, run ORDER BY pos ROWS UNBOUNDED PRECEDING) AS upto,
-  count(*) FILTER (t0 IS NULL) OVER w AS n FROM around WINDOW w AS (PARTITION BY script_id, seq, run)),
-gap AS (SELECT *, CASE WHEN r > l THEN r - l ELSE 0.12 * n END AS g FROM share)
-SELECT script_id, CAST(seq AS INT) AS seq, CAST(pos AS INT) AS pos, CAST(floor(coalesce(t0, l + g * (upto - size) / total) * 1e4 + 0.5) AS BIGINT) AS t0_e4, CAST(floor(coalesce(t1, l + g * upto / total) * 1e4 + 0.5) AS BIGINT) AS t1_e4 FROM gap"""
+{_FILL_SQL}
+SELECT script_id, CAST(seq AS INT) AS seq, CAST(pos AS INT) AS pos, CAST(floor(t0 * 1e4 + 0.5) AS BIGINT) AS t0_e4, CAST(floor(t1 * 1e4 + 0.5) AS BIGINT) AS t1_e4 FROM filled"""
 )
 def l5_filled_times(spark, sf_dir):
     """Every fourth word has a time; the others share what lies between, by their lengths."""
