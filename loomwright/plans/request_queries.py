@@ -265,3 +265,20 @@ def l5_filled_times(spark, sf_dir):
     words = timeline.word_times(spans).join(spans.select("script_id", "seq", F.col("t0").alias("a"), F.col("t1").alias("b")), ["script_id", "seq"])
     known = words.withColumns({t: F.when(F.col("pos") % 4 == 1, F.col(t)) for t in ("t0", "t1")})
     return timeline.fill_times(known).select("script_id", "seq", "pos", *[F.floor(F.col(t) * 1e4 + 0.5).alias(f"{t}_e4") for t in ("t0", "t1")])
+
+
+# --- files -----------------------------------------------------------------------------------
+
+
+def _little_endian(value: str) -> str:
+    return f"printf('%02x%02x%02x%02x', {value} % 256, {value} // 256 % 256, {value} // 65536 % 256, {value} // 16777216)"
+
+
+@query(
+    f"""WITH p AS (SELECT vec_id, len(embedding) AS n, array_to_string(list_transform(list_transform(embedding, lambda x: CAST(trunc(greatest(-1, least(1, CAST(x AS DOUBLE))) * 32767) AS BIGINT)),
+  lambda v: printf('%02x%02x', (v + 65536) % 256, (v + 65536) // 256 % 256)), '') AS samples FROM embeddings)
+SELECT vec_id, '52494646' || {_little_endian("(36 + 2 * n)")} || '57415645666d74201000000001000100' || {_little_endian("8000")} || {_little_endian("16000")} || '0200100064617461' || {_little_endian("(2 * n)")} || samples AS wav FROM p"""
+)
+def k1_wav_files(spark, sf_dir):
+    """Vectors as mono 16-bit WAV files, byte for byte."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.lower(F.hex(files.wav_bytes(F.col("embedding"), F.lit(8000)))).alias("wav"))
