@@ -37,6 +37,8 @@ from .common import MEMO_WORDS, broadcast_if_small, materialize, pieces, shared_
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 #: The split pattern of the vocabulary's byte-level pre-tokenizer (a fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Writers of few ids.
+PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 #: A byte that UTF-8 never has.
 NO_TEXT = b"\xc0"
 #: Ranges of ids are at most so many; what null ids count as where ranges are found.
@@ -93,7 +95,7 @@ class LibraryEncoder:
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.find = regex.compile(pattern).findall
         self.to_chars = {b: c for b, c in enumerate(byte_chars())}
-        self.parts: dict[str, bytes | None] = {}
+        self.parts: dict[str, bytes | bool] = {}
         self.words: dict[str, bytes] = {}
         self.long: list[str] = []  # words too long to be kept after their batch
         self.memo = memo
@@ -111,15 +113,14 @@ class LibraryEncoder:
             tokenize, chars = self.lib.model.tokenize, NO_TEXT.join([w.encode() for w in new]).decode("latin-1").translate(self.to_chars)
             for word, c in zip(new, chars.split(self.to_chars[NO_TEXT[0]])):
                 ids = [t.id for t in tokenize(c)]
-                self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
+                self.words[word] = PACK[len(ids)](*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
                 if len(word) > 100:
                     self.long.append(word)
 
     def _learn_parts(self, parts: set[str]) -> None:
-        """Encode the parts that aren't known, each with the space before it; null for those that end in white space."""
-        unknown = parts.difference(self.parts)
-        new = [p for p in unknown if p and not p[-1].isspace()]
-        self.parts.update(dict.fromkeys(unknown.difference(new)))
+        """Encode the parts that aren't known, each with the space before it; false for those that end in white space."""
+        new = [p for p in parts if p and not p[-1].isspace()]
+        self.parts.update(dict.fromkeys(parts.difference(new), False))
         if new:
             words = self.find(" " + " ".join(new))
             self._learn_words(set(words))
@@ -139,21 +140,33 @@ class LibraryEncoder:
         for memo in (self.parts, self.words):
             if len(memo) > self.memo:
                 memo.clear()
-        cut = [None if not self.plain or any(s in t for s in self.special) else t.split(" ") for t in texts]
-        need: set[str] = set().union(*[c[1:] for c in cut if c])
+        get, cut, need = self.parts.get, [], set()
+        for text in texts:
+            if not self.plain or any(s in text for s in self.special):
+                cut.append(None)
+                continue
+            first, *parts = text.split(" ")
+            known = list(map(get, parts))
+            places = []  # of parts that aren't known yet
+            k = -1
+            for _ in range(known.count(None)):
+                places.append(k := known.index(None, k + 1))
+            need.update([parts[k] for k in places])
+            # a space behind white space may belong to the word before it: such texts are split whole
+            whole = bool(parts) and (not first or first[-1].isspace())
+            cut.append((first, parts, known, places, whole))
         self._learn_parts(need)
-        get = self.parts.__getitem__
-        for text, parts in zip(texts, cut):
-            if parts is None:
+        for text, found in zip(texts, cut):
+            if found is None:
                 yield self._by_library(text)
                 continue
-            first, joined = parts[0], None
-            if len(parts) == 1 or first and not first[-1].isspace():
-                try:
-                    joined = b"".join(map(get, parts[1:]))
-                except TypeError:  # null: a part ends in white space
-                    pass
-            yield self._split_whole(text) if joined is None else self._split_whole(first) + joined
+            first, parts, known, places, whole = found
+            for k in places:
+                known[k] = self.parts[parts[k]]
+            if whole or False in known:
+                yield self._split_whole(text)
+            else:
+                yield self._split_whole(first) + b"".join(known)
         for memo, long in ((self.parts, [p for p in need if len(p) > 100]), (self.words, self.long)):
             for x in long:
                 memo.pop(x, None)
