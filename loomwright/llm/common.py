@@ -144,11 +144,14 @@ def map_texts(
     text_col: str,
     make: Callable[[], Callable[[list[str]], Iterable[tuple]]],
     schema: T.StructType,
+    rows: int = BATCH_ROWS,
+    size: int = BATCH_BYTES,
 ) -> DataFrame:
     """Apply a function of whole texts, batch by batch, beside the unchanged id.
 
     ``make`` is called once a task and returns a function from a list of texts
-    (null: empty) to one tuple a text. Other columns aren't read.
+    (null: empty) to one tuple a text. It gets at most ``rows`` texts of about ``size``
+    bytes at once. Other columns aren't read.
     """
     out = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *schema.fields])
     names = [f.name for f in schema.fields]
@@ -158,9 +161,9 @@ def map_texts(
 
         types = [to_arrow_type(f.dataType) for f in schema.fields]
         work = make()
-        for batch in (p for b in batches for p in pieces(b)):
-            rows = list(work([x or "" for x in batch.column(1).to_pylist()]))
-            columns = [pa.array([r[k] for r in rows], types[k]) for k in range(len(names))]
+        for batch in (p for b in batches for p in pieces(b, 1, rows, size)):
+            done = list(work([x or "" for x in batch.column(1).to_pylist()]))
+            columns = [pa.array([r[k] for r in done], types[k]) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, *names])
 
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, out)
