@@ -50,7 +50,7 @@ def test_bpe_equals_library(spark):
         assert digest == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
 
 
-def test_merge_replay_lower_rank_first():
+def test_merge_replay_lower_rank_first(monkeypatch):
     ranks = {bytes([b]): b for b in range(256)} | {b"ab": 300, b"bc": 290, b"abc": 280, b"aa": 310, b"aaa": 270, b"cd": 320}
     replay = bpe.MergeReplay(ranks)
 
@@ -64,7 +64,14 @@ def test_merge_replay_lower_rank_first():
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
     words = [bytes(random.choice(b"abcd") for _ in range(random.randint(1, 14))) for _ in range(600)]
-    assert replay.encode(words) == [greedy(w) for w in words] and replay.encode([]) == []
+    expected = [greedy(w) for w in words]
+    assert replay.encode(words) == replay._in_lists(words) == expected and replay.encode([]) == [] and replay._in_arrays([b"a"]) == [[97]]
+    for few in (0, 4, 10**9):  # places of a rank one by one, or in arrays
+        monkeypatch.setattr(bpe, "FEW", few)
+        assert replay._in_arrays(words) == expected
+    monkeypatch.setattr(bpe, "MANY", 10)
+    monkeypatch.setattr(bpe, "USUAL", 9)  # longer words go by lists
+    assert replay.encode(words) == expected
 
 
 def test_counts_equal_library(spark):
