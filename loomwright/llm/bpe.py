@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 from .common import MEMO_WORDS, map_texts
 
 #: Bytes of a word of usual length, words that are worth arrays, and places of a rank that aren't;
-#: documents that are taken up at once. Results don't depend on them.
-USUAL, MANY, FEW = 64, 2000, 12
+#: symbols that are replayed together and documents that are taken up at once, which bound the
+#: memory. Results don't depend on them.
+USUAL, MANY, FEW, SYMBOLS = 64, 2000, 12, 2 << 20
 CORPUS_ROWS, CORPUS_BYTES = 10_000, 32 << 20
 
 #: What ``encode_documents`` can return of a document.
@@ -78,8 +79,13 @@ class MergeReplay:
         if len(usual) < MANY:
             return self._in_lists(words)
         out: list[list[int]] = [[]] * len(words)
-        for k, ids in zip(usual, self._in_arrays([words[k] for k in usual])):
-            out[k] = ids
+        begin = size = 0
+        for end, k in enumerate(usual, 1):
+            size += len(words[k]) + 1
+            if size >= SYMBOLS or end == len(usual):
+                for k, ids in zip(usual[begin:end], self._in_arrays([words[k] for k in usual[begin:end]])):
+                    out[k] = ids
+                begin, size = end, 0
         long = [k for k, w in enumerate(words) if len(w) > USUAL]
         for k, ids in zip(long, self._in_lists([words[k] for k in long])):
             out[k] = ids

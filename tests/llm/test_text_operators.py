@@ -71,6 +71,7 @@ def test_merge_replay_lower_rank_first(monkeypatch):
         assert replay._in_arrays(words) == expected
     monkeypatch.setattr(bpe, "MANY", 10)
     monkeypatch.setattr(bpe, "USUAL", 9)  # longer words go by lists
+    monkeypatch.setattr(bpe, "SYMBOLS", 100)
     assert replay.encode(words) == expected
 
 
