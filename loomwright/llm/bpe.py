@@ -28,7 +28,7 @@ from .common import MEMO_WORDS, map_texts
 #: Bytes of a word of usual length, words that are worth arrays, and places of a rank that aren't;
 #: symbols that are replayed together and documents that are taken up at once, which bound the
 #: memory. Results don't depend on them.
-USUAL, MANY, FEW, SYMBOLS = 64, 2000, 12, 2 << 20
+USUAL, MANY, FEW, SYMBOLS = 64, 2000, 12, 1 << 19
 CORPUS_ROWS, CORPUS_BYTES = 10_000, 32 << 20
 
 #: What ``encode_documents`` can return of a document.
