@@ -19,7 +19,7 @@ def test_stages_keep_columns_and_shrink(spark):
 
 
 def test_names():
-    assert len(corpus_pipeline.STAGES) == 5 and {int(n[2:].split("_")[0]) for n in registry.QUERIES} == set(range(1, 11))
+    assert len(corpus_pipeline.STAGES) == 5 and {int(n[2:].split("_")[0]) for n in registry.QUERIES} == set(range(1, 14))
 
 
 def test_stages_take_odd_tables(spark):
