@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import MEMO_WORDS, map_texts
+from .letters import Splitter, kinds_of_tiktoken
 
 #: Bytes of a word of usual length, words that are worth arrays, and places of a rank that aren't;
 #: symbols that are replayed together and documents that are taken up at once, which bound the
@@ -241,10 +242,8 @@ class ByteBpe:
     """Encoder and decoder of whole texts with a bounded memo of words."""
 
     def __init__(self, ranks_path: str, pattern: str, memo: int = MEMO_WORDS):
-        import regex
-
         self.replay = MergeReplay(read_ranks(ranks_path))
-        self.find = regex.compile(pattern).findall
+        self.find = Splitter(pattern, kinds_of_tiktoken(pattern))
         self.place: dict[str, int] = {}  # word -> its place among the values
         self.values: list[tuple[int, ...]] = []
         self.memo = memo

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import MEMO_WORDS, broadcast_if_small, materialize, pieces, shared_dir
+from .letters import doubtful
 
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 #: The split pattern of the vocabulary's byte-level pre-tokenizer (a fixed value).
@@ -80,7 +81,8 @@ class LibraryEncoder:
     Texts are cut at single spaces; the parts that a batch brings for the first time are
     split by the vocabulary's pattern together, and the library's model encodes each new
     word. Texts in which a part ends in white space (which could belong together with the
-    next one) are split whole; texts with special strings go to the library as they are.
+    next one) are split whole; texts with special strings, or with characters on whose
+    classes Unicode versions differ, go to the library as they are.
     """
 
     def __init__(self, path: str, pattern: str = SPLIT, memo: int = MEMO_WORDS):
@@ -140,9 +142,9 @@ class LibraryEncoder:
         for memo in (self.parts, self.words):
             if len(memo) > self.memo:
                 memo.clear()
-        get, cut, need = self.parts.get, [], set()
+        get, cut, need, odd = self.parts.get, [], set(), doubtful().search
         for text in texts:
-            if not self.plain or any(s in text for s in self.special):
+            if not self.plain or any(s in text for s in self.special) or not text.isascii() and odd(text):
                 cut.append(None)
                 continue
             first, *parts = text.split(" ")
@@ -256,12 +258,12 @@ class FrameReader:
 def id_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
     """Ids that part the documents into ranges of about equal numbers; an id of many rows comes several times.
 
-    Ranges hold about 128 MB of text in large tables, and there are at most ``MOST_RANGES``
-    of them (beyond that they grow). Null ids count as the smallest.
+    Ranges hold about 128 MB of text or a million documents in large tables, and there are at most
+    ``MOST_RANGES`` of them (beyond that they grow). Null ids count as the smallest.
     """
     rows, size = docs.agg(F.count("*"), F.sum(F.octet_length(text_col))).first()
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    n = min(MOST_RANGES, max((size or 0) >> 27, min(8 * cores, (size or 0) >> 21), 1), max(1, rows))
+    n = min(MOST_RANGES, max((size or 0) >> 27, rows >> 20, min(8 * cores, max((size or 0) >> 21, rows >> 14)), 1), max(1, rows))
     if n == 1:
         return []
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID))

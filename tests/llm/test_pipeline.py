@@ -39,7 +39,6 @@ def test_run_equals_brute_force(spark):
     import numpy as np
     import public_tokenizers as P
     import tiktoken
-    import xxhash
 
     from loomwright.llm import bpe, quality
 
@@ -78,19 +77,16 @@ def test_run_equals_brute_force(spark):
 
     kept = sorted(i for i, r in of.items() if r and not r[0] and fits(i))
 
-    def fingerprint(t):
-        w = re.sub("[A-Z]", lambda m: m[0].lower(), t)
-        w = word.findall(w)
-        h = [xxhash.xxh64_intdigest(" ".join(w[k : k + 3]), 42) for k in range(max(1, len(w) - 2))]
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    def shingles(t):
+        w = word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
 
-    prints = {i: fingerprint(texts[i]) for i in kept}
+    sets = {i: shingles(texts[i]) for i in kept}
     root = {i: i for i in kept}
+    near = [(i, j) for i in kept for j in kept if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
     for _ in range(10):
-        for i in kept:
-            for j in kept:
-                if bin(prints[i] ^ prints[j]).count("1") <= 3:
-                    root[i] = root[j] = min(root[i], root[j])
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
     gap = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     lower = lambda t: gap.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     windows = set()
