@@ -61,6 +61,34 @@ def by_model(items: DataFrame) -> DataFrame:
     return items.repartition("model").sortWithinPartitions("model", "name")
 
 
+def model_shares(items: DataFrame, partitions: int, cost: str = "cost") -> DataFrame:
+    """``model``, ``total`` (its cost) and ``before`` (that of the models in front of it), and the ``width`` of a partition.
+
+    Models lie one after another on a line as long as all costs, by name; a partition is a
+    stretch of it. One short row a model.
+    """
+    totals = items.groupBy("model").agg(F.sum(F.greatest(F.coalesce(F.col(cost).cast("double"), F.lit(0.0)), F.lit(0.0))).alias("total"))
+    w = Window.orderBy(F.col("model").asc_nulls_first())  # over models, not items
+    before = F.coalesce(F.sum("total").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return totals.select("model", "total", before.alias("before"), (F.sum("total").over(Window.partitionBy()) / partitions).alias("width"))
+
+
+def packed_by_model(items: DataFrame, partitions: int, cost: str = "cost", name: str = "name") -> DataFrame:
+    """``items`` dealt out so that partitions cost about the same and each model is loaded few times.
+
+    A model larger than a partition is split over several, small ones share one: an item lies at the
+    place of its model's stretch that a hash of its ``name`` gives, so all partitions together load at most
+    models + partitions - 1 times, and the heaviest exceeds the mean only by what the hash leaves uneven and
+    one item's cost. Within partitions items are sorted by model and name. Negative and null costs count as 0.
+    """
+    shares = model_shares(items, partitions, cost).alias("s")
+    rows = items.alias("i").join(F.broadcast(shares) if shares.limit(100_001).count() <= 100_000 else shares, F.col("i.model").eqNullSafe(F.col("s.model")))
+    place = F.conv(F.left(F.md5(F.col(f"i.{name}").cast("string")), F.lit(8)), 16, 10).cast("double") / F.lit(float(1 << 32))
+    at = F.when(F.col("s.width") > 0, (F.col("s.before") + F.coalesce(place, F.lit(0.0)) * F.col("s.total")) / F.col("s.width")).otherwise(0.0)
+    part = F.least(F.floor(at), F.lit(partitions - 1)).cast("int").alias("part")
+    return rows.select("i.*", part).repartitionById(partitions, "part").sortWithinPartitions("model", name)
+
+
 def priority(key: Column, wanted: list[str]) -> Column:
     """Place of the key in a priority list, its length if it isn't there."""
     at = F.array_position(F.array(*[F.lit(x) for x in wanted]), key) if wanted else F.lit(0)
