@@ -136,15 +136,33 @@ def srt(cue_rows: DataFrame) -> DataFrame:
 def interval_join(left: DataFrame, right: DataFrame, on: list[str], left_span: tuple[str, str], right_span: tuple[str, str], width: float) -> DataFrame:
     """Rows whose open spans overlap: ``left.hi > right.lo`` and ``left.lo < right.hi``, equal in ``on``.
 
-    Both sides are dealt into buckets of ``width``, so the join is an equi join on key and
-    bucket; a pair that shares several buckets is kept in the first of them only.
+    A span has a level: the least k such that a bucket of ``width`` * 2**k is as long as it, so it lies
+    in two buckets of that level at most, however long it is. A pair meets at the level of its longer
+    span: spans are dealt into buckets of their own level, and those of the other side that aren't longer into
+    buckets of each level that occurs (found by a short query when the join is made). A pair that shares two buckets is
+    kept in the first. Spans with a null end overlap nothing.
     """
 
-    def dealt(df: DataFrame, span: tuple[str, str], name: str) -> DataFrame:
-        lo, hi = (F.floor(F.col(c) / width) for c in span)
-        return df.withColumn(f"__{name}", lo).withColumn("__bucket", F.explode(F.sequence(lo, F.greatest(lo, hi))))
-
-    a, b = dealt(left, left_span, "l"), dealt(right, right_span, "r")
-    (llo, lhi), (rlo, rhi) = left_span, right_span
-    pairs = a.join(b, [*on, "__bucket"]).where((F.col(lhi) > F.col(rlo)) & (F.col(llo) < F.col(rhi)) & (F.col("__bucket") == F.greatest("__l", "__r")))
-    return pairs.drop("__bucket", "__l", "__r")
+    def level(span: tuple[str, str]) -> Column:
+        length = F.greatest(F.col(span[1]) - F.col(span[0]), F.lit(0.0))
+        return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(length / width, F.lit(1.0))))).cast("int")
+
+    def levels(df: DataFrame, span: tuple[str, str]) -> Column:
+        found = sorted(r[0] for r in df.select(level(span).alias("k")).where("k IS NOT NULL").distinct().collect())  # at most one a doubling
+        return F.array(*[F.lit(k) for k in found]).cast("array<int>")
+
+    def dealt(df: DataFrame, span: tuple[str, str], ks: Column, name: str) -> DataFrame:
+        rows = df.where(F.col(span[0]).isNotNull() & F.col(span[1]).isNotNull()).withColumn("__level", F.explode(ks))
+        lo, hi = (F.floor(F.col(c) / (width * F.pow(F.lit(2.0), "__level"))) for c in span)
+        return rows.withColumn(f"__{name}", lo).withColumn("__bucket", F.explode(F.sequence(lo, F.greatest(lo, hi))))
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        (llo, lhi), (rlo, rhi) = left_span, right_span
+        pairs = a.join(b, [*on, "__level", "__bucket"]).where((F.col(lhi) > F.col(rlo)) & (F.col(llo) < F.col(rhi)) & (F.col("__bucket") == F.greatest("__l", "__r")))
+        return pairs.drop("__level", "__bucket", "__l", "__r")
+
+    of_left, of_right = levels(left, left_span), levels(right, right_span)
+    own_left, own_right = level(left_span), level(right_span)
+    longer_left = met(dealt(left, left_span, F.array(own_left), "l"), dealt(right, right_span, F.filter(of_left, lambda k: k >= own_right), "r"))
+    longer_right = met(dealt(left, left_span, F.filter(of_right, lambda k: k > own_left), "l"), dealt(right, right_span, F.array(own_right), "r"))
+    return longer_left.unionByName(longer_right)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blocks, mastering
+from ..operators import block_mastering, blocks, mastering
+from ..sources.shared import written
 from .queries import query, table
 
 SIZE, RATE = 8, 24000
@@ -132,3 +133,13 @@ SELECT vec_id, CAST(pos AS BIGINT) AS pos, round(sum(part) / sum(h * h), 6) + 0.
 )
 def d9_denoised_blocks(spark, sf_dir):
     return samples(blocks.denoised(vectors(spark, sf_dir), SIZE, FRAME))
+
+
+@query()
+def d16_mastered_blocks(spark, sf_dir):
+    """A hundred vectors a clip through the mastering chain, in blocks of half a clip; what comes out is measured."""
+    at = F.col("vec_id") % 100 * 64
+    pieces = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("clip"), at.alias("position"), F.col("embedding").alias("samples"))
+    done = written(block_mastering.mastered(blocks.as_blocks(pieces, 3200), 3200, 8000), "mastered")
+    n, peak, lufs = blocks.lengths(done), block_mastering.peaks(done), block_mastering.loudness(done, 8000)
+    return n.join(peak, "clip").join(lufs, "clip").select("clip", F.col("n").alias("n_samples"), F.round("peak", 6).alias("peak"), F.round("lufs", 4).alias("lufs"))

@@ -120,6 +120,30 @@ def test_interval_join_has_each_pair_once(spark):
     assert got == sorted((x["l"], y["r"]) for x in a for y in b if x["a1"] > y["b0"] and x["a0"] < y["b1"])
 
 
+def test_interval_join_of_spans_of_unlike_lengths(spark):
+    import random
+
+    rng = random.Random(1)
+
+    def spans(name, p):
+        rows = []
+        for k in range(150):
+            lo = rng.uniform(-1e4, 1e4) if k % 5 else float(rng.randrange(-20, 20))
+            rows.append((k, k % 3 if k % 11 else None, lo, lo + rng.choice((0.0, 1.0, -2.0, 3.7, 64.0, 1e3, 1e6))))
+        rows += [(900, 1, None, 5.0), (901, 1, 0.0, None), (902, 1, -1e9, 1e9)]
+        return spark.createDataFrame(rows, f"{name} long, g long, {p}0 double, {p}1 double")
+
+    left, right = spans("l", "a"), spans("r", "b")
+    joined = timeline.interval_join(left, right, ["g"], ("a0", "a1"), ("b0", "b1"), 2.0)
+    assert set(joined.columns) == {"g", "l", "a0", "a1", "r", "b0", "b1"}
+    got = sorted((x["l"], x["r"]) for x in joined.collect())
+    a, b = left.where("a0 + a1 + g IS NOT NULL").collect(), right.where("b0 + b1 + g IS NOT NULL").collect()
+    assert got == sorted((x["l"], y["r"]) for x in a for y in b if x["g"] == y["g"] and x["a1"] > y["b0"] and x["a0"] < y["b1"])
+    assert timeline.interval_join(left.limit(0), right, ["g"], ("a0", "a1"), ("b0", "b1"), 2.0).count() == 0
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_null_pauses_and_ties(spark):
     from loomwright.operators import timeline
     from loomwright.streaming import jobs
