@@ -9,8 +9,10 @@ their places while the text is split.
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -20,21 +22,46 @@ import regex
 STAND_INS = {"letter": "\u01bb", "number": "\u0663", "blank": "\u2003", "other": "\u00a4"}
 
 
+#: Finds characters outside of blocks that hold none of those code points.
+UNUSUAL = re.compile("[^\x00-\u0377\u0400-\u052f\u2010-\u2027\u2030-\u205e\u3041-\u3096\u30a0-\u30ff\u4e00-\u9fff\uac00-\ud7a3]")
+
+
 @lru_cache(1)
-def doubtful():
-    """A pattern that finds code points on whose class Unicode versions differ."""
-    every = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
-    text = "".join(every)
-    letters, numbers = set(regex.findall(r"\p{L}", text)), set(regex.findall(r"\p{N}", text))
-    ranges: list[list[int]] = []
-    for c in every:
-        kind = unicodedata.category(c)
-        if kind == "Cn" or (kind[0] == "L") != (c in letters) or (kind[0] == "N") != (c in numbers):
-            if ranges and ranges[-1][1] == ord(c) - 1:
-                ranges[-1][1] += 1
-            else:
-                ranges.append([ord(c), ord(c)])
-    return regex.compile("[" + "".join(f"{regex.escape(chr(a))}-{regex.escape(chr(b))}" for a, b in ranges) + "]")
+def doubtful_ranges() -> tuple[list[int], list[int]]:
+    """First and last code points of the ranges on whose class Unicode versions differ."""
+    first: list[int] = []
+    last: list[int] = []
+    for begin in range(0, sys.maxunicode + 1, 4096):  # a block at a time keeps workers small
+        block = [c for c in range(begin, begin + 4096) if not 0xD800 <= c < 0xE000]
+        text = "".join(map(chr, block))
+        letters, numbers = set(regex.findall(r"\p{L}", text)), set(regex.findall(r"\p{N}", text))
+        for c, x in zip(block, text):
+            kind = unicodedata.category(x)
+            if kind == "Cn" or (kind[0] == "L") != (x in letters) or (kind[0] == "N") != (x in numbers):
+                if last and last[-1] == c - 1:
+                    last[-1] = c
+                else:
+                    first.append(c)
+                    last.append(c)
+    return first, last
+
+
+_FINE: set[str] = set()
+
+
+def doubtful(text: str) -> set[str]:
+    """The characters of a text on whose class Unicode versions differ."""
+    if UNUSUAL.search(text) is None:
+        return set()
+    found = set()
+    for c in set(text) - _FINE:
+        first, last = doubtful_ranges()
+        k = bisect_right(first, ord(c)) - 1
+        if k >= 0 and ord(c) <= last[k]:
+            found.add(c)
+        else:
+            _FINE.add(c)
+    return found
 
 
 class Splitter:
@@ -47,7 +74,7 @@ class Splitter:
         self.known: dict[str, str] = {}
 
     def __call__(self, text: str) -> list[str]:
-        if text.isascii() or not (odd := set(doubtful().findall(text))):
+        if text.isascii() or not (odd := doubtful(text)):
             return self.find(text)
         for c in odd.difference(self.known):
             self.known[c] = STAND_INS[self.kind_of(c)]

@@ -142,7 +142,7 @@ class LibraryEncoder:
         for memo in (self.parts, self.words):
             if len(memo) > self.memo:
                 memo.clear()
-        get, cut, need, odd = self.parts.get, [], set(), doubtful().search
+        get, cut, need, odd = self.parts.get, [], set(), doubtful
         for text in texts:
             if not self.plain or any(s in text for s in self.special) or not text.isascii() and odd(text):
                 cut.append(None)

@@ -39,7 +39,13 @@ def test_split_of_every_code_point_as_tiktoken():
 def test_classes_asked_of_the_library():
     kind_of = letters.kinds_of_tiktoken(P.PATTERN)
     assert [kind_of(c) for c in ("é", "٣", " ", "¤", "͸")] == ["letter", "number", "blank", "other", "other"]
-    assert not letters.doubtful().search("plain été 123 漢字   ¤" + "".join(letters.STAND_INS.values()))
+    assert not letters.doubtful("plain été 123 漢字   ¤" + "".join(letters.STAND_INS.values()))
+
+
+def test_usual_blocks_hold_nothing_doubtful():
+    first, last = letters.doubtful_ranges()
+    assert len(first) > 300 and all(a <= b for a, b in zip(first, last)) and all(b < a for b, a in zip(last, first[1:]))
+    assert all(letters.UNUSUAL.match(chr(c)) for a, b in zip(first, last) for c in range(a, b + 1))
 
 
 def test_every_code_point_as_tokenizers():
