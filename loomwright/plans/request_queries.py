@@ -103,7 +103,11 @@ def k4_checked_updates(spark, sf_dir):
 _KEYS = (" 'k2', ", "", "k1", '"DAN_API_KEY"', "k3")
 
 
-@query("SELECT event_id, ['k1,k2', 'k1', 'k1', 'k1,DAN_API_KEY', 'k1,k3'][1 + event_id % 5] AS keys FROM events")
+@query(
+    f"""WITH k AS (SELECT event_id, regexp_replace(regexp_replace(trim({_list(_KEYS)}[1 + event_id % 5]), '^["'',]+', ''), '["'',]+$', '') AS new, ['k1', '', 'x DAN_API_KEY x'] AS had FROM events),
+f AS (SELECT event_id, new, list_filter(had, lambda x: x <> '' AND NOT contains(x, 'DAN_API_KEY')) AS kept FROM k)
+SELECT event_id, array_to_string(CASE WHEN new = '' OR list_contains(kept, new) THEN kept ELSE list_append(kept, new) END, ',') AS keys FROM f"""
+)
 def k11_added_keys(spark, sf_dir):
     """One more key for a list that holds a blank and a placeholder."""
     had = F.array(F.lit("k1"), F.lit(""), F.lit("x DAN_API_KEY x"))
@@ -140,12 +144,15 @@ def s6_merged_config(spark, sf_dir):
 # --- prompts and requests -------------------------------------------------------------------
 
 _FRONTS = ("[#7] [P] 3. - ", "[P][p] ", "12) ", "- * ", "[# 4 ][#9] ", "1. 2. 3. 4. 5. ", "", "[#0] 10: ", "• [P] 3- ", "99999. ")
-_CLEANED = ("", "", "", "", "", "5. ", "", "", "", "99999. ")
 
 
 @query(
-    f"""SELECT event_id, {_list(_CLEANED)}[1 + event_id % 10] || 'a ' || event_type AS text, event_id % 10 IN (0, 1, 8) AS tagged,
-  CASE event_id % 10 WHEN 0 THEN 7 WHEN 4 THEN 9 WHEN 7 THEN 0 END AS forced FROM events"""
+    f"""WITH RECURSIVE c(event_id, pass, text, tagged, forced) AS (
+  SELECT event_id, 0, {_list(_FRONTS)}[1 + event_id % 10] || 'a ' || event_type || '  ', false, CAST(NULL AS INT) FROM events
+  UNION ALL SELECT event_id, pass + 1, regexp_replace(regexp_replace(regexp_replace(rest, '^\\s*\\[\\s*[Pp]\\s*\\]\\s*', ''), '^\\s*\\d{{1,4}}\\s*[.)\\-:]\\s+', ''), '^\\s*[-*•]\\s+', ''),
+    tagged OR regexp_matches(rest, '^\\s*\\[\\s*[Pp]\\s*\\]'), coalesce(number, forced)
+  FROM (SELECT *, regexp_replace(text, '^\\s*\\[\\s*#\\s*(\\d+)\\s*\\]\\s*', '') AS rest, TRY_CAST(nullif(regexp_extract(text, '^\\s*\\[\\s*#\\s*(\\d+)\\s*\\]', 1), '') AS INT) AS number FROM c WHERE pass < 4))
+SELECT event_id, trim(text) AS text, tagged, forced FROM c WHERE pass = 4"""
 )
 def t11_clean_lines(spark, sf_dir):
     """Prompts behind numbers, tags and bullets of every kind; no more than four of one kind go."""
@@ -166,23 +173,28 @@ def p1_text_routing(spark, sf_dir):
     return prompts.route(rows).select("conv_id", "turn", "engine", "reason")
 
 
-_HEADS = {"89504E470D0A1A0A": "png", "FFD8FFE000104A46": "jpg", "5249464624000000": "webp", "4749463839610000": "gif", "255044462D312E34": None, "": None}
+_HEADS = ("89504E470D0A1A0A", "FFD8FFE000104A46", "5249464624000000", "4749463839610000", "255044462D312E34", "")
 
 
 @query(
-    f"""SELECT event_id, {_list([v or '' for v in _HEADS.values()])}[1 + event_id % 6] AS kind, event_id % 6 < 4 AND 8 + 256 * (event_id % 20) >= 2048 AS accepted FROM events"""
+    f"""WITH c AS (SELECT event_id, {_list(_HEADS)}[1 + event_id % 6] AS head, len({_list(_HEADS)}[1 + event_id % 6]) // 2 + 256 * (event_id % 20) AS size FROM events),
+k AS (SELECT *, CASE WHEN starts_with(head, '89504E47') THEN 'png' WHEN starts_with(head, 'FFD8FF') THEN 'jpg' WHEN starts_with(head, '52494646') THEN 'webp' WHEN starts_with(head, '47494638') THEN 'gif' ELSE '' END AS kind FROM c)
+SELECT event_id, kind, kind <> '' AND size >= 2 * 1024 AS accepted FROM k"""
 )
 def p5_images(spark, sf_dir):
     """Bytes with the heads of image files and others, of various sizes."""
     k = F.col("event_id")
-    content = F.concat(F.unhex(_pick(list(_HEADS), k)), F.encode(F.repeat(F.lit("x"), (256 * (k % 20)).cast("int")), "UTF-8"))
+    content = F.concat(F.unhex(_pick(_HEADS, k)), F.encode(F.repeat(F.lit("x"), (256 * (k % 20)).cast("int")), "UTF-8"))
     return table(spark, sf_dir, "events").select(k, F.coalesce(attempts.image_kind(content), F.lit("")).alias("kind"), attempts.image_accepted(content, 2).alias("accepted"))
 
 
 _FIELD_TEXTS = ("Unknown name imageSize", "aspectRatio and imageConfig", "responseModalities: imageSize", "nothing", "", "imageConfig")
 
 
-@query(f"SELECT event_id, {_list(('imageSize', 'aspectRatio', 'imageSize', '', '', 'imageConfig'))}[1 + event_id % 6] AS field FROM events")
+@query(
+    f"""WITH m AS (SELECT event_id, {_list(_FIELD_TEXTS)}[1 + event_id % 6] AS text FROM events)
+SELECT event_id, coalesce(list_filter(['imageSize', 'aspectRatio', 'imageConfig', 'responseModalities'], lambda f: contains(text, f))[1], '') AS field FROM m"""
+)
 def p11_rejected_fields(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(attempts.rejected_field(_pick(_FIELD_TEXTS, F.col("event_id"))), F.lit("")).alias("field"))
 
@@ -197,7 +209,15 @@ _REPLIES = (
 )
 
 
-@query(f"SELECT event_id, {_list(('x1', '', '', '', '', 'y2'))}[1 + event_id % 6] AS image, {_list(('ok', 'permanent', 'transient', 'permanent', 'transient', 'ok'))}[1 + event_id % 6] AS outcome FROM events")
+@query(
+    f"""WITH m AS (SELECT event_id, {_list(_REPLIES)}[1 + event_id % 6] AS text FROM events),
+j AS (SELECT event_id, CAST(CASE WHEN json_valid(text) THEN text ELSE '{{}}' END AS JSON) AS j FROM m),
+p AS (SELECT event_id, j, list_filter(json_extract(j, '$.candidates[*].content.parts[*]'), lambda x: starts_with(coalesce(json_extract_string(x, '$.inlineData.mimeType'), json_extract_string(x, '$.inline_data.mime_type'), ''), 'image/'))[1] AS part FROM j),
+d AS (SELECT event_id, j, coalesce(json_extract_string(part, '$.inlineData.data'), json_extract_string(part, '$.inline_data.data')) AS data FROM p)
+SELECT event_id, coalesce(decode(from_base64(data)), '') AS image, CASE WHEN data IS NOT NULL THEN 'ok'
+  WHEN coalesce(json_extract_string(j, '$.promptFeedback.blockReason'), '') <> '' OR coalesce(json_extract_string(j, '$.candidates[0].finishReason') IN ('IMAGE_SAFETY', 'PROHIBITED_CONTENT', 'SAFETY', 'BLOCKLIST', 'RECITATION'), false) THEN 'permanent'
+  ELSE 'transient' END AS outcome FROM d"""
+)
 def p13_replies(spark, sf_dir):
     """Replies with images in two spellings, blocked, empty and unreadable ones."""
     rows = table(spark, sf_dir, "events").select("event_id", attempts.reply_image(_pick(_REPLIES, F.col("event_id"))).alias("r"))
@@ -236,7 +256,10 @@ def k6_retry_files(spark, sf_dir):
 _MARKERS = ("[pause: 1,5 s]", "[NGHỈ 2.25]", "[nghi=3]", "[pause]", "plain", "[Pause 10s]")
 
 
-@query("SELECT event_id, CAST([1.5, 2.25, 3.0, NULL, NULL, 10.0][1 + event_id % 6] AS DOUBLE) AS seconds FROM events")
+@query(
+    f"""WITH m AS (SELECT event_id, {_list(_MARKERS)}[1 + event_id % 6] AS line FROM events)
+SELECT event_id, CAST(replace(nullif(regexp_extract(line, '(?i)\\[\\s*(?:nghi|nghỉ|pause)\\s*[=:]?\\s*([0-9]+(?:[.,][0-9]+)?)\\s*s?\\s*\\]', 1), ''), ',', '.') AS DOUBLE) AS seconds FROM m"""
+)
 def t3_pause_seconds(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", X.pause_seconds(_pick(_MARKERS, F.col("event_id"))).alias("seconds"))
 
