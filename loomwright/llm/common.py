@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -138,6 +139,19 @@ def pieces(batch: pa.RecordBatch, text: int = 1, rows: int = BATCH_ROWS, size: i
         yield batch.slice(first)
 
 
+def give_back() -> None:
+    """Return memory that this process no longer uses to the machine.
+
+    Called at the end of a task: Python workers stay for later tasks and stages, beside
+    whose memory and the JVM's their former peaks would otherwise count.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_texts(
     df: DataFrame,
     id_col: str,
@@ -165,5 +179,6 @@ def map_texts(
             done = list(work([x or "" for x in batch.column(1).to_pylist()]))
             columns = [pa.array([r[k] for r in done], types[k]) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, *names])
+        give_back()
 
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, out)

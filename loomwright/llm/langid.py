@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BATCH_ROWS, broadcast_if_small, discard, materialize
+from .common import BATCH_ROWS, broadcast_if_small, discard, give_back, materialize
 
 UNKNOWN = "und"
 #: Bound of the text model: labelled documents it is fitted on.
@@ -194,6 +194,8 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
                             mine[g] += n
         flat = [(lang, g, n) for lang, c in found.items() for g, n in c.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in flat], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], schema.names)
+        del found, flat
+        give_back()
 
     counted = materialize(rows.mapInArrow(run, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-model")
     totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
@@ -223,6 +225,7 @@ def text_evidence(model: TextModel, text: Column, is_html: bool = False) -> Colu
             parts = [own.score([visible_text(t or "") if is_html else t or "" for t in texts[k : k + BATCH_ROWS]]) for k in range(0, len(texts), BATCH_ROWS)]
             n, ll, p = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, "i8"), [], [])
             yield pd.DataFrame({"n": n, "ll": list(ll), "p": list(p)})
+        give_back()
 
     # said not to be deterministic, so that the planner doesn't call it once for each field that is read
     return score.asNondeterministic()(text)
