@@ -7,6 +7,7 @@ from math import isqrt
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Scores of equal words, equal beginnings, unlike words and a gap.
 SAME, START, UNLIKE, GAP = 2.0, 0.6, -1.2, -1.0
@@ -137,17 +138,20 @@ def aligned_times(pairs: DataFrame) -> DataFrame:
 
     ``pairs``: ``script_id``, ``seq``, ``words`` (script words), ``norms`` (normalized),
     ``heard`` (normalized), ``t0`` and ``t1`` (arrays). Returns one row a word, times null
-    where nothing aligns.
+    where nothing aligns. A null array is empty, a null word aligns with none.
     """
+    listed = [F.coalesce(F.transform(c, lambda w: F.coalesce(w, F.lit(""))), F.array().cast("array<string>")).alias(c) for c in ("norms", "heard")]
 
     def run(batches):
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
+                if r.words is None:
+                    continue
                 for pos, (word, k) in enumerate(zip(r.words, align(list(r.norms), list(r.heard)))):
                     rows.append((r.script_id, r.seq, pos, word, r.t0[k] if k >= 0 else None, r.t1[k] if k >= 0 else None))
-            yield pd.DataFrame(rows, columns=["script_id", "seq", "pos", "word", "t0", "t1"]).astype({"t0": "float64", "t1": "float64"})
+            yield pd.DataFrame(rows, columns=["script_id", "seq", "pos", "word", "t0", "t1"]).astype({"script_id": "Int64", "seq": "Int32", "t0": "float64", "t1": "float64"})
 
-    return pairs.select("script_id", "seq", "words", "norms", "heard", "t0", "t1").mapInPandas(
-        run, "script_id long, seq int, pos int, word string, t0 double, t1 double"
-    )
+    rows = pairs.select("script_id", "seq", "words", *listed, "t0", "t1").mapInPandas(run, "script_id long, seq int, pos int, word string, t0 double, t1 double")
+    times = [F.when(~F.isnan(t), F.col(t)).alias(t) for t in ("t0", "t1")]
+    return rows.select("script_id", "seq", "pos", "word", *times)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import channels, recognize, timeline
-from ..sources import results, wav
+from ..sources import files, results, wav
 from ..sources.shared import shared_path
-from ..streaming import progress
+from ..streaming import jobs, progress
 from .block_queries import vectors
 from .queries import query, table
 from .request_queries import k6_retry_files
@@ -48,6 +49,56 @@ def k6_written_files(spark, sf_dir):
     return read.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file_name"), F.decode("content", "UTF-8").alias("text"))
 
 
+def _user_texts(spark, sf_dir):
+    """A text file for each user, with a byte-order mark, unlike line ends and no-break spaces."""
+    line = F.concat(F.col("event_id").cast("string"), F.lit("\u00a0"), F.col("event_type"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("l")))), lambda x: x["l"])
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(lines, "\r\n").alias("text"))
+    return rows.select(F.concat(F.lit("s/U"), "user_id", F.lit("_x."), F.when(F.col("user_id") % 2 == 0, "txt").otherwise("TXT")).alias("name"), F.concat(F.lit("\ufeff"), "text", F.lit("\r\rend")).alias("content"))
+
+
+_USER_TEXTS_SQL = """t AS (SELECT user_id, string_agg(event_id || ' ' || event_type, chr(10) ORDER BY event_id) || chr(10) || chr(10) || 'end' AS text FROM events GROUP BY user_id)"""
+
+
+@query(f"""WITH {_USER_TEXTS_SQL} SELECT 'U' || user_id || '_x.' || CASE WHEN user_id % 2 = 0 THEN 'txt' ELSE 'TXT' END AS file_name, 'U' || user_id AS channel, text FROM t""")
+def s3_script_files(spark, sf_dir):
+    """Scripts written as files below a folder, found there and read as clean text, with their channels."""
+    wav.register(spark)
+    folder = shared_path(spark, "scripts")
+    _user_texts(spark, sf_dir).write.format("named_files").mode("append").save(folder)
+    return files.read_texts(spark, folder).select("file_name", X.channel_key(F.col("file_name")).alias("channel"), "text")
+
+
+@query("""SELECT upper(n_name) AS channel, 'm' || n_regionkey AS model, CASE WHEN n_nationkey % 3 > 0 THEN 'v' || n_nationkey END AS voice, CAST(len(string_split(n_name, ' ')) AS INT) AS n_words FROM nation""")
+def s5_channel_files(spark, sf_dir):
+    """A JSON document of channels, made from the nations, written and read; notes hold quotes and line ends."""
+    wav.register(spark)
+    comment = F.concat(F.lit('"q\\ \n'), "n_name")
+    own = F.map_from_entries(F.array_compact(F.array(
+        F.struct(F.lit("model").alias("k"), F.concat(F.lit("m"), "n_regionkey").alias("v")), F.struct(F.lit("note").alias("k"), comment.alias("v")),
+        F.when(F.col("n_nationkey") % 3 > 0, F.struct(F.lit("voice").alias("k"), F.concat(F.lit("v"), "n_nationkey").alias("v"))),
+    )))
+    nations = table(spark, sf_dir, "nation").agg(F.map_from_entries(F.collect_list(F.struct(F.lower("n_name"), own))).alias("m"))  # a fixed dimension of 25 rows
+    document = nations.select(F.lit("channels.json").alias("name"), F.concat(F.lit("\ufeff"), F.to_json(F.struct(F.col("m").alias("kenh")))).alias("content"))
+    folder = shared_path(spark, "channels")
+    document.write.format("named_files").mode("append").save(folder)
+    read = files.read_channels(spark, f"{folder}/channels.json")
+    return read.select("channel", F.col("settings")["model"].alias("model"), F.col("settings")["voice"].alias("voice"), (F.size(F.split(F.col("settings")["note"], " ")) - 1).alias("n_words"))
+
+
+@query(f"""WITH {_USER_TEXTS_SQL} SELECT 'U' || user_id || '_x.txt' AS file_name, CAST(len(string_split(text, chr(10))) AS INT) AS n_lines FROM t WHERE user_id % 2 = 0""")
+def k7_script_queue(spark, sf_dir):
+    """Scripts that lie in a folder, taken up by a stream until none is left (only files named .txt)."""
+    wav.register(spark)
+    folder, out = shared_path(spark, "queue"), shared_path(spark, "queued")
+    _user_texts(spark, sf_dir).write.format("named_files").mode("append").save(folder)
+    rows = jobs.script_queue(spark, f"{folder}/s")
+    lines = F.size(F.split(F.regexp_replace(X.clean_text(F.col("text")), "\r\n?", "\n"), "\n"))
+    stream = rows.select("file_name", lines.alias("n_lines")).writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out)
+    stream.awaitTermination()
+    return spark.read.parquet(out)
+
+
 # --- kept results --------------------------------------------------------------------------------
 
 _SETTINGS = '{"rate": 24000}'

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import io
 import json
-import wave
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .wav import decoded, pcm16, read_header, wav_header
 
 
 def read_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -59,48 +59,34 @@ def merged_config(document: Column, defaults: dict[str, dict[str, object] | obje
 
 
 def read_wav(spark: SparkSession, path: str) -> DataFrame:
-    """``path``, ``rate``, ``seconds`` and ``pcm`` (mono, -1 to 1) of every .wav file of 8, 16, 24 or 32 bits a sample."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(path)
+    """``path``, ``rate``, ``seconds``, ``pcm`` (mono, -1 to 1) and ``error`` of every .wav file: whole clips a row, for short ones.
+
+    A file that can't be read has an error and nulls. Long recordings are read in blocks, and durations
+    from headers alone, by the data source ``sources.wav``.
+    """
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{wav,WAV}").load(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for p, content in zip(pdf["path"], pdf["content"]):
-                with wave.open(io.BytesIO(content)) as w:
-                    raw = samples_of(w.readframes(w.getnframes()), w.getsampwidth()).reshape(-1, w.getnchannels())
-                    out.append((p, w.getframerate(), len(raw) / w.getframerate(), raw.mean(axis=1)))
-            yield pd.DataFrame(out, columns=["path", "rate", "seconds", "pcm"])
-
-    return rows.select("path", "content").mapInPandas(run, "path string, rate int, seconds double, pcm array<float>")
-
+                try:
+                    h = read_header(lambda at, n: content[at : at + n], len(content))  # noqa: B023
+                    out.append((p, h.rate, h.n_samples / h.rate, decoded(content[h.start : h.start + h.n_samples * h.frame], h), None))
+                except (ValueError, struct.error) as e:
+                    out.append((p, None, None, None, str(e)))
+            yield pd.DataFrame(out, columns=["path", "rate", "seconds", "pcm", "error"]).astype({"rate": "Int32"})
 
-def samples_of(data: bytes, width: int) -> np.ndarray:
-    """Samples from -1 to 1 of little-endian PCM of ``width`` bytes; one byte is unsigned."""
-    if width == 1:
-        return (np.frombuffer(data, "u1").astype("f4") - 128) / 128
-    if width == 3:  # each in the upper bytes of a 32-bit number
-        wide = np.zeros((len(data) // 3, 4), "u1")
-        wide[:, 1:] = np.frombuffer(data, "u1").reshape(-1, 3)
-        data, width = wide.tobytes(), 4
-    return np.frombuffer(data, f"<i{width}").astype("f4") / (1 << 8 * width - 1)
+    return rows.select("path", "content").mapInPandas(run, "path string, rate int, seconds double, pcm array<float>, error string")
 
 
 def wav_bytes(pcm: Column, rate: Column) -> Column:
-    """A mono 16-bit WAV file: samples clipped to 1, scaled by 32767 and cut to integers; NaN and infinite ones are 0."""
+    """A mono 16-bit WAV file: samples clipped to 1, scaled by 32767 and cut to integers; NaN and infinite ones are 0. Null without samples or rate."""
 
     @F.pandas_udf("binary")
     def encode(clips: pd.Series, rates: pd.Series) -> pd.Series:
-        def one(x, r):
-            a = np.nan_to_num(np.asarray(x, "f8"), nan=0.0, posinf=0.0, neginf=0.0)
-            buffer = io.BytesIO()
-            with wave.open(buffer, "wb") as w:
-                w.setnchannels(1)
-                w.setsampwidth(2)
-                w.setframerate(int(r))
-                w.writeframes((np.clip(a, -1, 1) * 32767).astype("<i2").tobytes())
-            return buffer.getvalue()
-
-        return pd.Series([None if x is None else one(x, r) for x, r in zip(clips, rates)], dtype=object)
+        made = [None if x is None or pd.isna(r) else wav_header(len(x), int(r)) + pcm16(np.asarray(x, "f8")) for x, r in zip(clips, rates)]
+        return pd.Series(made, dtype=object)
 
     return encode(pcm, rate)
 

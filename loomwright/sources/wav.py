@@ -97,6 +97,16 @@ def decoded(data: bytes, header: Header) -> np.ndarray:
     return x if header.channels == 1 else x.reshape(-1, header.channels).mean(axis=1)
 
 
+def wav_header(n: int, rate: int) -> bytes:
+    """The header of a mono file of ``n`` samples of 16 bits."""
+    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + 2 * n, b"WAVE", b"fmt ", 16, PCM, 1, rate, 2 * rate, 2, 16, b"data", 2 * n)
+
+
+def pcm16(x: np.ndarray) -> bytes:
+    """16-bit samples: cut to -1 to 1, times 32767, cut to integers; those that aren't numbers are 0."""
+    return (np.clip(np.nan_to_num(x, nan=0.0, posinf=0.0, neginf=0.0), -1.0, 1.0) * 32767.0).astype("<i2").tobytes()
+
+
 @dataclass
 class _Headers(InputPartition):
     files: list[tuple[str, int]]
@@ -196,7 +206,7 @@ class WavFiles(DataSource):
 
 
 class _WavSink(FileSink):
-    """Mono, 16 bits: samples cut to -1 to 1, times 32767, cut to integers; those that aren't numbers are 0."""
+    """Clips as mono files of 16 bits, sample by sample as they come."""
 
     def __init__(self, folder: str, overwrite: bool, rate: int):
         super().__init__(folder, overwrite)
@@ -208,11 +218,10 @@ class _WavSink(FileSink):
 
         def content(clip: str, n: int) -> Iterator[bytes]:
             nonlocal held
-            yield struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + 2 * n, b"WAVE", b"fmt ", 16, PCM, 1, self.rate, 2 * self.rate, 2, 16, b"data", 2 * n)
+            yield wav_header(n, self.rate)
             while held is not None and held[0] == clip:
                 if held[2].is_valid:
-                    x = np.nan_to_num(held[2].values.to_numpy(zero_copy_only=False).astype("f8"), nan=0.0, posinf=0.0, neginf=0.0)
-                    yield (np.clip(x, -1.0, 1.0) * 32767.0).astype("<i2").tobytes()
+                    yield pcm16(held[2].values.to_numpy(zero_copy_only=False).astype("f8"))
                 held = next(rows, None)
 
         while held is not None:

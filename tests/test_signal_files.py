@@ -115,7 +115,20 @@ def test_files(spark):
     with open(f"{folder}/v.wav", "wb") as f:
         f.write(df.select(files.wav_bytes(F.col("pcm"), F.col("rate"))).first()[0])
     row = files.read_wav(spark, folder).first()
-    assert row["rate"] == 8000 and np.allclose(row["pcm"], [16383 / 32768, -32767 / 32768, 0])
+    assert row["rate"] == 8000 and row["error"] is None and np.allclose(row["pcm"], [16383 / 32768, -32767 / 32768, 0])
+    with open(f"{folder}/bad.wav", "wb") as f:
+        f.write(b"RIFF?")
+    bad = files.read_wav(spark, folder).where("path LIKE '%bad.wav'").first()
+    assert bad["error"] and bad["pcm"] is None and bad["rate"] is None
+    nulls = spark.createDataFrame([(None, 8000), ([0.5], None)], "pcm array<double>, rate int")
+    assert [r[0] for r in nulls.select(files.wav_bytes(F.col("pcm"), F.col("rate"))).collect()] == [None, None]
+
+
+def test_aligned_times_of_nulls(spark):
+    rows = [(1, 0, None, None, ["a"], [0.0], [1.0]), (1, 1, ["A", None], ["a", None], None, None, None), (1, 2, ["A", "B"], ["a", None], ["a"], [0.5], [1.5]), (None, None, ["A"], ["a"], ["a"], [None], [2.0])]
+    df = spark.createDataFrame(rows, "script_id long, seq int, words array<string>, norms array<string>, heard array<string>, t0 array<double>, t1 array<double>")
+    got = sorted(map(tuple, align.aligned_times(df).collect()), key=str)
+    assert got == sorted([(1, 1, 0, "A", None, None), (1, 1, 1, None, None, None), (1, 2, 0, "A", 0.5, 1.5), (1, 2, 1, "B", None, None), (None, None, 0, "A", None, 2.0)], key=str)
 
 
 def test_streams(spark):
@@ -129,13 +142,3 @@ def test_streams(spark):
     q.awaitTermination(120)
     got = {r["call"]: r["key"] for r in spark.table("ring").collect()}
     assert got[0] == 0 and got[1] == 1 and len(got) == 4
-
-
-def test_sample_widths():
-    from loomwright.sources import files
-
-    values = np.array([-1.0, -0.5, 0.0, 0.25])
-    assert np.allclose(files.samples_of(((values * 128) + 128).astype("u1").tobytes(), 1), values)
-    assert np.allclose(files.samples_of((values * 32768).astype("<i2").tobytes(), 2), values)
-    three = b"".join(int(v * (1 << 23)).to_bytes(3, "little", signed=True) for v in values)
-    assert np.allclose(files.samples_of(three, 3), values) and np.allclose(files.samples_of((values * 2147483648).astype("<i4").tobytes(), 4), values)
