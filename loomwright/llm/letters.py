@@ -51,8 +51,12 @@ _FINE: set[str] = set()
 
 def doubtful(text: str) -> set[str]:
     """The characters of a text on whose class Unicode versions differ."""
-    if UNUSUAL.search(text) is None:
+    try:
+        text.encode("latin-1")  # at once, where a text has nothing else
         return set()
+    except UnicodeEncodeError:
+        if UNUSUAL.search(text) is None:
+            return set()
     found = set()
     for c in set(text) - _FINE:
         first, last = doubtful_ranges()
