@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as X
 
@@ -71,37 +77,55 @@ def fill_times(words: DataFrame) -> DataFrame:
     )
 
 
-def _word_fold(words: Column, a: Column, b: Column) -> Column:
-    """Times made monotone: no start before the last end, ``WORD_LEAST`` long at least, within the segment."""
-
-    def step(state, x):
-        start = F.least(F.greatest(x["t0"], state["at"]), b)
-        end = F.least(F.greatest(x["t1"], start + WORD_LEAST), b)
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(x["pos"].alias("pos"), x["word"].alias("word"), start.alias("t0"), end.alias("t1")))).alias("out"))
-
-    kind = "array<struct<pos:int,word:string,t0:double,t1:double>>"
-    return F.aggregate(words, F.struct(a.cast("double").alias("at"), F.array().cast(kind).alias("out")), step)["out"]
-
+def _cues_of_words(rows: DataFrame) -> DataFrame:
+    """Greedy cues (``script_id``, ``seq``, ``k``, ``t0``, ``t1``, ``text``) of each segment's words, in one pass over them.
 
-def _cue_fold(words: Column) -> Column:
-    """Greedy cues of one segment's words: closed before they grow too long, and after a clause once long enough."""
-    word = "struct<pos:int,word:string,t0:double,t1:double>"
-    done = f"array<array<{word}>>"
-
-    def step(s, x):
-        chars = F.aggregate(s["now"], F.lit(0), lambda n, t: n + F.length(t["word"]) + 1) + F.length(x["word"])
-        some = F.size(s["now"]) > 0
-        full = some & ((chars > CUE_CHARS) | (x["t1"] - F.get(s["now"], F.lit(0))["t0"] > CUE_SECONDS))
-        now = F.when(full, F.array(x)).otherwise(F.concat(s["now"], F.array(x)))
-        out = F.when(full, F.concat(s["out"], F.array(s["now"]))).otherwise(s["out"])
-        shut = x["word"].rlike("[,;:—–]$") & (chars > CUE_CHARS * 0.6)
-        return F.struct(
-            F.when(shut, F.array().cast(f"array<{word}>")).otherwise(now).alias("now"),
-            F.when(shut, F.concat(out, F.array(now))).otherwise(out).alias("out"),
-        )
-
-    start = F.struct(F.array().cast(f"array<{word}>").alias("now"), F.array().cast(done).alias("out"))
-    return F.aggregate(words, start, step, lambda s: F.when(F.size(s["now"]) > 0, F.concat(s["out"], F.array(s["now"]))).otherwise(s["out"]))
+    Times are made monotone first: no start before the last end, ``WORD_LEAST`` long at least, within the
+    segment. A cue is closed before it grows too long, and after a clause once it is long enough.
+    Segments are dealt out and sorted; a task holds one cue.
+    """
+    keys = [rows.schema["script_id"], rows.schema["seq"]]
+    schema = T.StructType([*keys, *T.StructType.fromDDL("k int, t0 double, t1 double, text string").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = to_arrow_schema(schema)
+        clause = re.compile("[,;:—–]$").search
+        segment, at, k, words, begin, end, chars = None, 0.0, 0, [], 0.0, 0.0, 0
+        out: list[tuple] = []
+
+        def close() -> None:
+            nonlocal k, words, chars
+            if words:
+                out.append((*segment, k, begin, end, " ".join(words)))
+                k, words, chars = k + 1, [], 0
+
+        def made() -> pa.RecordBatch:
+            done = pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], f.type) for n, f in enumerate(types)], schema=types)
+            out.clear()
+            return done
+
+        for batch in batches:
+            for script, seq, word, t0, t1, a, b in zip(*(batch.column(c).to_pylist() for c in ("script_id", "seq", "word", "t0", "t1", "a", "b"))):
+                if (script, seq) != segment:
+                    close()
+                    segment, at, k = (script, seq), a or 0.0, 0
+                word, last = word or "", float("inf") if b is None else b
+                start = min(at if t0 is None else max(t0, at), last)
+                at = min(start + WORD_LEAST if t1 is None else max(t1, start + WORD_LEAST), last)
+                size = chars + len(word)
+                if words and (size > CUE_CHARS or at - begin > CUE_SECONDS):
+                    close()
+                if not words:
+                    begin = start
+                words.append(word)
+                chars, end = chars + len(word) + 1, at
+                if size > CUE_CHARS * 0.6 and clause(word):
+                    close()
+            yield made()
+        close()
+        yield made()
+
+    return rows.repartition("script_id", "seq").sortWithinPartitions("script_id", "seq", "pos").mapInArrow(run, schema)
 
 
 def cues(spans: DataFrame, words: DataFrame | None = None) -> DataFrame:
@@ -111,16 +135,9 @@ def cues(spans: DataFrame, words: DataFrame | None = None) -> DataFrame:
     (default: ``word_times``). Cues shorter than ``CUE_LEAST`` are lengthened up to the
     next one's start less ``CUE_GAP``.
     """
-    timed = (word_times(spans) if words is None else words).groupBy("script_id", "seq").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "t0", "t1"))).alias("words"))
-    bound = spans.select("script_id", "seq", F.col("t0").alias("a"), F.col("t1").alias("b"))
-    held = timed.join(bound, ["script_id", "seq"]).select("script_id", "seq", _word_fold(F.col("words"), F.col("a"), F.col("b")).alias("words"))
-    rows = held.select("script_id", "seq", F.posexplode(_cue_fold(F.col("words"))).alias("k", "cue"))
-    rows = rows.select(
-        "script_id", "seq", "k",
-        F.get("cue", F.lit(0))["t0"].alias("t0"),
-        F.element_at("cue", -1)["t1"].alias("t1"),
-        X.wrap_line(F.array_join(F.transform("cue", lambda x: x["word"]), " ")).alias("text"),
-    )
+    timed = (word_times(spans) if words is None else words).select("script_id", "seq", "pos", "word", "t0", "t1")
+    bound = spans.select("script_id", "seq", F.col("t0").cast("double").alias("a"), F.col("t1").cast("double").alias("b"))
+    rows = _cues_of_words(timed.join(bound, ["script_id", "seq"])).withColumn("text", X.wrap_line(F.col("text")))
     w = Window.partitionBy("script_id").orderBy("seq", "k")
     limit = F.coalesce(F.lead("t0").over(w) - CUE_GAP, F.col("t1") + CUE_LEAST)
     longer = F.when(F.col("t1") - F.col("t0") < CUE_LEAST, F.greatest(F.col("t1"), F.least(F.col("t0") + CUE_LEAST, limit))).otherwise(F.col("t1"))

@@ -185,3 +185,35 @@ def test_sentences_token_by_token():
     for _ in range(3000):
         text = "".join(random.choice(parts) for _ in range(random.randint(0, 25)))
         assert X.sentences_of(text) == walk(text), text
+
+
+def test_cues_of_a_long_segment(spark):
+    """Twenty thousand words in one segment, against a plain loop; null times and words among them."""
+    import random
+
+    rng = random.Random(2)
+    words, t = [], 0.0
+    for k in range(20_000):
+        t += rng.choice((0.0, 0.1, 0.3, 2.0, 6.5))
+        words.append((k, rng.choice(("a", "wordy", "x" * 30, "clause,", "y" * 60 + ";", None)), t if k % 50 else None, t + rng.choice((0.0, 0.02, 0.4)) if k % 70 else None))
+    end = t - 5.0
+    cues, now, at = [], [], 0.0
+    for _, word, t0, t1 in words:
+        word = word or ""
+        start = min(max(t0 if t0 is not None else at, at), end)
+        at = min(max(t1 if t1 is not None else start + 0.05, start + 0.05), end)
+        size = sum(len(w) + 1 for w, *_ in now) + len(word)
+        if now and (size > 84 or at - now[0][1] > 6.0):
+            cues.append(now)
+            now = []
+        now.append((word, start, at))
+        if size > 84 * 0.6 and word[-1:] in (",", ";"):
+            cues.append(now)
+            now = []
+    cues += [now] if now else []
+    spans = spark.createDataFrame([("s", 0, 0.0, end)], "script_id string, seq int, t0 double, t1 double")
+    timed = spark.createDataFrame([("s", 0, *w) for w in words], "script_id string, seq int, pos int, word string, t0 double, t1 double")
+    got = timeline.cues(spans, timed).orderBy("cue_no").collect()
+    assert len(got) == len(cues) and [r["cue_no"] for r in got] == list(range(1, len(cues) + 1))
+    assert [r["t0"] for r in got] == [c[0][1] for c in cues]
+    assert [r["text"].split() for r in got] == [" ".join(w for w, *_ in c).split() for c in cues]
