@@ -47,7 +47,7 @@ def loop_filter(x, sections=SECTIONS):
     return x
 
 
-@pytest.mark.parametrize("size", [1, 7, 64, 100, 2000, 10_000])
+@pytest.mark.parametrize("size", [1, 7, 100, 10_000])
 def test_filters(spark, size):
     clips = CLIPS if size > 1 else {"even": CLIPS["even"], None: CLIPS[None]}
     check(blocks.filtered(cut(spark, size, clips), SECTIONS), {c: loop_filter(x) for c, x in clips.items()})
@@ -77,8 +77,7 @@ def loop_smooth(x, up, down, y=0.0):
     return out
 
 
-@pytest.mark.parametrize("size", [1, 7, 64, 3000])
-@pytest.mark.parametrize("up,down", [(0.07, 0.98), (0.875, 0.991), (0.99, 0.6), (0.5, 0.5)])
+@pytest.mark.parametrize("size,up,down", [(1, 0.07, 0.98), (7, 0.875, 0.991), (64, 0.99, 0.6), (64, 0.875, 0.991), (3000, 0.5, 0.5)])
 def test_attack_and_release(spark, size, up, down):
     clips = {c: x for c, x in CLIPS.items() if size > 1 or len(x) < 600}
     check(blocks.smoothed(cut(spark, size, clips), up, down), {c: loop_smooth(x, up, down) for c, x in clips.items()})
@@ -88,7 +87,7 @@ def test_attack_and_release(spark, size, up, down):
             blocks.smoothed(cut(spark, size), 0.5, 1.0)
 
 
-@pytest.mark.parametrize("size,n", [(64, 5), (64, 64), (64, 200), (7, 30), (5003, 72), (10, 0)])
+@pytest.mark.parametrize("size,n", [(64, 64), (64, 200), (7, 30), (10, 0)])
 def test_sliding_windows(spark, size, n):
     peaks = {c: np.array([np.abs(x[max(0, k - n) : k + n + 1]).max() for k in range(len(x))]) for c, x in CLIPS.items()}
     check(blocks.sliding_peaks(cut(spark, size), size, n), peaks, 0)
@@ -112,7 +111,7 @@ def test_neighbourhoods(spark):
         blocks.neighbourhoods(cut(spark, 64), 64, -1, 0)
 
 
-@pytest.mark.parametrize("size", [7, 64, 6000])
+@pytest.mark.parametrize("size", [7, 6000])
 def test_curves(spark, size):
     rng, rows, expected = np.random.default_rng(size), [], {}
     for c, x in CLIPS.items():
@@ -126,7 +125,7 @@ def test_curves(spark, size):
     check(blocks.with_gain(cut(spark, size), curve), {c: x * 10 ** (-expected[c] / 20) for c, x in CLIPS.items()})
 
 
-@pytest.mark.parametrize("size,ratio", [(64, 1.3), (64, 0.4), (7, 3.0), (6000, 1.0), (100, 1e6)])
+@pytest.mark.parametrize("size,ratio", [(64, 1.3), (64, 0.4), (7, 3.0), (100, 1e6)])
 def test_resampling(spark, size, ratio):
     expected = {}
     for c, x in CLIPS.items():
@@ -159,7 +158,7 @@ def denoise(x, frame, depth=9.0):
     return (out / np.maximum(weight, 1e-10))[hop : hop + n]
 
 
-@pytest.mark.parametrize("size,frame", [(64, 16), (100, 64), (30, 64), (7, 32), (6000, 256)])
+@pytest.mark.parametrize("size,frame", [(100, 64), (30, 64), (6000, 256)])
 def test_denoising(spark, size, frame):
     check(blocks.denoised(cut(spark, size), size, frame), {c: denoise(x, frame) for c, x in CLIPS.items()})
     floors = {r["clip"]: r["floor"] for r in blocks.noise_floors(cut(spark, size), size, frame).collect()}
