@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: The voice models and the languages that their names begin with.
+MODELS = (
+    "english", "english_2026-01", "english_2026-04", "portuguese", "portuguese_24l", "french_24l",
+    "german", "german_24l", "italian", "italian_24l", "spanish", "spanish_24l",
+)
+LANGUAGES = {"english": "en", "portuguese": "pt", "french": "fr", "german": "de", "italian": "it", "spanish": "es"}
+
+
+def models(spark: SparkSession, names: tuple[str, ...] = MODELS) -> DataFrame:
+    """The dimension of models: ``model``, ``language`` (null if its name begins with none)."""
+    language = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[F.regexp_extract("model", "^[a-z]+", 0)]
+    return spark.createDataFrame([(n,) for n in names], "model string").select("model", language.alias("language"))
+
+
 def first_per_path(files: DataFrame, path_col: str = "path", order_col: str = "pos") -> DataFrame:
     """A queue without repeated paths; the first mention stays."""
     w = Window.partitionBy(path_col).orderBy(order_col)

@@ -173,6 +173,17 @@ def x7_tracked_jobs(spark, sf_dir):
     return progress.tracked(events, _PATIENCE).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+_MODELS_SQL = ", ".join(f"('{m}', '{channels.LANGUAGES[m.split('_')[0]]}')" for m in channels.MODELS)
+
+
+@query(f"""WITH m(model, language) AS (VALUES {_MODELS_SQL}), d AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang)
+SELECT model, language, coalesce(n, 0) AS n_documents FROM m LEFT JOIN d ON language = lang""")
+def s11_models(spark, sf_dir):
+    """The models, with how many documents each could read."""
+    found = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("language")).agg(F.count("*").alias("n"))
+    return channels.models(spark).join(found, "language", "left").select("model", "language", F.coalesce("n", F.lit(0)).alias("n_documents"))
+
+
 _PARTS = 16
 
 
