@@ -16,7 +16,7 @@ from ..functions import text as X
 
 @dataclass(frozen=True)
 class Pauses:
-    """Seconds: within a block, after a block, after a ruled block, at the end."""
+    """Seconds: within a block, after a block, after a ruled block, at the end. The defaults are fixed values."""
 
     short: float = 0.30
     long: float = 0.85
@@ -25,7 +25,11 @@ class Pauses:
 
 
 def lines(scripts: DataFrame, script_col: str = "script_id", text_col: str = "text") -> DataFrame:
-    """``script_id``, ``pos``, ``line`` (trimmed) and ``kind`` of every line; null texts have none."""
+    """``script_id``, ``pos``, ``line`` (trimmed) and ``kind`` of every line; null texts have none.
+
+    Script ids tell scripts apart: the lines of rows with the same id are taken for one
+    script and interleave by their places, so ids are made unique before.
+    """
     split = F.split(X.clean_text(F.col(text_col)), "\n")
     rows = scripts.select(F.col(script_col).alias("script_id"), F.posexplode(split).alias("pos", "line"))
     return rows.withColumn("line", X.trim_space(F.col("line"))).withColumn("kind", X.line_kind(F.col("line")))

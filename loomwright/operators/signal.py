@@ -84,7 +84,7 @@ def voice_findings(clips: DataFrame, pcm_col: str = "pcm", rate_col: str = "rate
     """``clips`` with ``findings``: array of struct(level, rule) on whether a clip can serve as a voice sample.
 
     Levels are error, warning and ok. A silent clip ends after that finding; frame rules
-    need ten frames of 20 ms.
+    need ten frames of 20 ms. The thresholds, here and in the defaults, are fixed values.
     """
     pcm, rate = F.col(pcm_col), F.col(rate_col)
     size = F.size(pcm)
