@@ -1,17 +1,24 @@
-"""Near-duplicates by shingle similarity: min-hash bands, SimHash distance, exact verification.
+"""Near-duplicates by shingle similarity: min-hash bands, SimHash pivot tables and distance, exact verification.
 
 Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more differ in
 about ten bits of a 64-bit SimHash, far more than blocks of equal bits can bridge. Their
 candidates are therefore sought by min-hash: ``BANDS`` keys, each of ``ROWS`` minima, one of which is
 equal for 998 in 1,000 pairs of similarity 0.8 and for more above. Of texts with an equal
-key those are discarded whose numbers of shingles or whose fingerprints lie too far
-apart, and the rest are verified by the exact similarity of their shingle sets.
+key those are discarded whose numbers of shingles rule the similarity out, then those whose rows of the
+pivot distance table (Hamming distances of the fingerprint to fixed references) differ by more than
+``FAR`` in any coordinate, then those whose fingerprints themselves do, and the rest are verified by
+the exact similarity of their shingle sets.
 
 A crowded key isn't paired with itself: its rows are compared with a few heads, and those found
 similar become one group. Then rows outside the key's largest group are heads, four times as many a
 round, against all rows of other groups, until one group is left or few rows are, which
 are compared in full. No pair of different groups stays untried, and a group of near copies
 costs about one comparison a copy, whatever its size.
+
+Copies that were changed too much belong to none, and would be compared with every row of their key. What
+keeps them apart is known beforehand: shingles of their own, which no other text of the crowded keys
+has, lie in no intersection, nor do others whose bit in a map of the shingles isn't set in the other's map. With those counted, a
+pair's similarity has an exact upper bound; pairs below the bound are never made, and rows of which the least are their own are the first heads.
 """
 
 from __future__ import annotations
@@ -26,13 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import broadcast_if_small, discard, give_back, materialize, pieces
-from .simhash import SEED, _signed, components, pivots
+from .simhash import N_PIVOTS, SEED, _signed, components, pivots
 
 BANDS, ROWS = 20, 6
 #: Bits in which fingerprints of similar texts may differ: at a similarity of 0.8 about 9.7 +- 2.9 do.
 FAR = 22
 #: Keys of at most so many rows are compared in full; others with so many heads in the first round.
 FULL, HEADS = 64, 4
+#: Words of 64 bits in the maps of common shingles.
+MAP_WORDS = 16
 
 _FACTORS = pivots(BANDS * ROWS) | np.uint64(1)
 
@@ -93,25 +102,89 @@ def _with_sketch(text: str, shingle: int):
 
 
 def _near(x: str, y: str, least: float):
-    """Whether sizes and fingerprints of two sides allow the similarity."""
+    """Whether sizes, pivot tables and fingerprints of two sides allow the similarity.
+
+    A pivot table's row is made of the fingerprint where it is needed, which takes less than to shuffle it.
+    """
     sizes = F.least(f"{x}.n", f"{y}.n") >= least * F.greatest(f"{x}.n", f"{y}.n")
-    return sizes & (F.bit_count(F.col(f"{x}.fp").bitwiseXOR(F.col(f"{y}.fp"))) <= FAR)
+    a, b = F.col(f"{x}.fp"), F.col(f"{y}.fp")
+    refs = [F.lit(_signed(int(p))) for p in pivots(N_PIVOTS)]
+    largest = F.greatest(*[F.abs(F.bit_count(a.bitwiseXOR(p)) - F.bit_count(b.bitwiseXOR(p))) for p in refs])
+    return sizes & (largest <= FAR) & (F.bit_count(a.bitwiseXOR(b)) <= FAR)
+
+
+def _own_allow(x: str, y: str, least: float):
+    """Whether what one of two texts of crowded keys has and the other can't have allows the similarity.
+
+    That is the shingles of its own (``own``), and at least one more for every bit that only its map has. The
+    intersection is ``m`` at most, what is left of either, and the union has ``m`` less than both sizes.
+    """
+
+    def left(p: str, q: str):
+        only = [F.bit_count(F.col(f"{p}.map")[k].bitwiseAND(F.bitwise_not(F.col(f"{q}.map")[k]))) for k in range(MAP_WORDS)]
+        return F.col(f"{p}.n") - F.col(f"{p}.own") - sum(only[1:], only[0])
 
+    def allowed(m):
+        return (1 + least) * m + 1e-6 >= least * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
-def _pairs(live: DataFrame, least: float, n_heads: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (``a`` < ``b``) of a round, and the heads (``key``, ``number``) of crowded keys, compared with all rows of other groups."""
+    owned = F.least(F.col(f"{x}.n") - F.col(f"{x}.own"), F.col(f"{y}.n") - F.col(f"{y}.own"))
+    return allowed(owned) & allowed(left(x, y)) & allowed(left(y, x))
+
+
+def _own_shingles(live: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """``number``, ``own`` and ``map`` of every text with a crowded key: how many of its shingles no other such text has, and the bits of the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (p for b in batches for p in pieces(b)):
+            for number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = np.unique(shingle_hashes(text or "", shingle)).view("i8")
+                for k in range(0, len(found), 65536):
+                    some = found[k : k + 65536]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), number, "i8")), pa.array(some)], ["number", "hash"])
+        give_back()
+
+    keys = materialize(live.groupBy("key").count().where(F.col("count") > FULL).select("key"), "crowded-keys")
+    some = materialize(live.join(broadcast_if_small(keys), "key", "left_semi").select("number").distinct(), "crowded-texts")
+    hashes = texts.join(broadcast_if_small(some), "number", "left_semi").select("number", "text").mapInArrow(run, "number long, hash long")
+    hashes = materialize(hashes, "crowded-shingles")
+    single = hashes.groupBy("hash").agg(F.count("*").alias("many"), F.min("number").alias("number")).where("many = 1")
+    own = single.groupBy("number").agg(F.count("*").cast("int").alias("own"))
+    # a shingle of its own may have a bit here: it would count twice, so those are left out
+    place = F.pmod(F.col("hash"), F.lit(64 * MAP_WORDS))
+    shared = hashes.groupBy("hash").agg(F.count("*").alias("many")).where("many > 1").select("hash")
+    common = hashes.join(shared, "hash").select("number", F.floor(place / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit"))
+    words = common.groupBy("number", "word").agg(F.bit_or("bit").alias("bits")).groupBy("number").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(MAP_WORDS - 1)), lambda k: F.coalesce(F.element_at("words", k), F.lit(0).cast("long"))).alias("map")
+    out = materialize(some.join(own, "number", "left").join(words, "number", "left").select("number", F.coalesce("own", F.lit(0)).alias("own"), filled), "own-shingles")
+    discard(keys, some, hashes)
+    return out
+
+
+def _with_own(crowded: DataFrame, own: DataFrame | None, least: float) -> DataFrame:
+    """Rows of crowded keys with ``own`` (None: they have it), without those that it leaves too few common shingles for any similarity."""
+    if own is None:
+        return crowded
+    return crowded.join(broadcast_if_small(own), "number").where(F.col("n") - F.col("own") + 1e-6 >= least * F.col("n"))
+
+
+def _pairs(live: DataFrame, own: DataFrame | None, least: float, n_heads: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (``a`` < ``b``) of a round, and the heads (``key``, ``number``) of crowded keys, compared with all rows of other groups.
+
+    ``own`` holds for crowded keys. In the first round, where it isn't None, rows of others may share such shingles.
+    """
     sizes = materialize(live.groupBy("key").count().where("count > 1"), "key-sizes")
-    full = live.join(sizes.where(F.col("count") <= FULL).select("key"), "key")
+    full = live.join(broadcast_if_small(sizes.where(F.col("count") <= FULL).select("key")), "key")
     x, y = full.alias("x"), full.alias("y")
     other = F.col("x.group") != F.col("y.group")
-    small = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.number") < F.col("y.number")) & other & _near("x", "y", least)).select(F.col("x.number").alias("a"), F.col("y.number").alias("b"))
-    crowded = live.join(broadcast_if_small(sizes.where(F.col("count") > FULL).select("key")), "key")
+    near = _near("x", "y", least) if own is not None else _near("x", "y", least) & _own_allow("x", "y", least)
+    small = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.number") < F.col("y.number")) & other & near).select(F.col("x.number").alias("a"), F.col("y.number").alias("b"))
+    crowded = _with_own(live.join(broadcast_if_small(sizes.where(F.col("count") > FULL).select("key")), "key"), own, least)
     main = crowded.groupBy("key", "group").count().groupBy("key").agg(F.max_by("group", F.struct("count", "group")).alias("main"))
     outside = crowded.join(broadcast_if_small(materialize(main, "main-groups")), "key").where(F.col("group") != F.col("main"))
-    heads = outside.groupBy("key", F.pmod(F.xxhash64("number"), F.lit(n_heads)).alias("salt")).agg(F.min(F.struct("number", "group", "fp", "n")).alias("h")).select("key", "h.*")
+    heads = outside.groupBy("key", F.pmod(F.xxhash64("number"), F.lit(n_heads)).alias("salt")).agg(F.min(F.struct("own", "number", "group", "fp", "n", "map")).alias("h")).select("key", "h.*")
     heads = materialize(heads, "key-heads")
     x, y = crowded.alias("x"), broadcast_if_small(heads).alias("y")
-    large = x.join(y, (F.col("x.key") == F.col("y.key")) & other & _near("x", "y", least))
+    large = x.join(y, (F.col("x.key") == F.col("y.key")) & other & _near("x", "y", least) & _own_allow("x", "y", least))
     large = large.select(F.least("x.number", "y.number").alias("a"), F.greatest("x.number", "y.number").alias("b"))
     return small.union(large).distinct(), heads.select("key", "number")
 
@@ -147,10 +220,11 @@ def similar_groups(distinct: DataFrame, texts: DataFrame, shingle: int = 5, leas
     ``number``, ``text``.
     """
     live = materialize(distinct.select(F.explode("keys").alias("key"), "number", F.col("number").alias("group"), "fp", "n"), "band-keys")
+    own = _own_shingles(live, texts, shingle)
     tried = links = groups = None
     n_heads = HEADS
     while True:
-        pairs, heads = _pairs(live, least, n_heads)
+        pairs, heads = _pairs(live, own, least, n_heads)
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
         found = materialize(_verified(pairs, texts, shingle, least), "links")
         tried = pairs if tried is None else tried.union(pairs)
@@ -159,10 +233,12 @@ def similar_groups(distinct: DataFrame, texts: DataFrame, shingle: int = 5, leas
             discard(groups)
         groups = components(links)
         crowded = broadcast_if_small(heads.select("key").distinct())
-        rest = live.drop("group").join(crowded, "key", "left_semi").join(broadcast_if_small(heads), ["key", "number"], "left_anti")
-        rest = rest.join(groups, rest["number"] == groups["node"], "left").select("key", "number", F.coalesce("root", "number").alias("group"), "fp", "n")
+        rest = _with_own(live.drop("group").join(crowded, "key", "left_semi"), own, least)
+        rest = rest.join(broadcast_if_small(heads), ["key", "number"], "left_anti")
+        rest = rest.join(groups, rest["number"] == groups["node"], "left").select("key", "number", F.coalesce("root", "number").alias("group"), "fp", "n", "own", "map")
         before, live = live, materialize(rest, "band-keys")
         discard(before)
+        own = None  # from now on all keys were crowded ones, and their rows have it
         mixed = live.groupBy("key").agg((F.min("group") != F.max("group")).alias("mixed")).where("mixed").select("key")
         mixed = materialize(mixed, "mixed-keys")
         if not mixed.limit(1).count():

@@ -75,6 +75,32 @@ def test_crowded_keys(spark, monkeypatch, full, heads):
     assert kept(spark, rows) == brute_kept(rows)
 
 
+def test_changed_copies_are_not_compared_in_full(spark, monkeypatch):
+    """Copies that were changed too much are similar to none: few of their pairs are verified, and the groups are those of all pairs."""
+    tried = []
+    verified = neardup._verified
+    monkeypatch.setattr(neardup, "_verified", lambda pairs, *rest: tried.append(pairs.count()) or verified(pairs, *rest))
+    monkeypatch.setattr(neardup, "FULL", 8)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    rows = list(enumerate(edited(rng, base, rng.choice((1, 2, 4, 5, 6, 7, 8))) for _ in range(220)))
+    assert kept(spark, rows) == brute_kept(rows)
+    assert sum(tried) < 12 * len(rows), tried  # 10,404 without the bound
+
+
+def test_pivot_tables_discard(spark):
+    """A pair goes whose pivot distances differ too much, and none whose fingerprints are near enough."""
+    rng = random.Random(6)
+    prints = [rng.getrandbits(64) for _ in range(60)] + [int(p) for p in neardup.pivots(4)]
+    prints += [p ^ sum(1 << b for b in rng.sample(range(64), rng.choice((3, 22, 23, 40)))) for p in prints]
+    rows = spark.createDataFrame([(k, simhash._signed(p), 10) for k, p in enumerate(prints)], "k int, fp long, n int")
+    x, y = rows.alias("x"), rows.alias("y")
+    near = x.crossJoin(y).where(neardup._near("x", "y", 0.8)).selectExpr("x.k", "y.k").collect()
+    assert {tuple(r) for r in near} == {(i, j) for i, p in enumerate(prints) for j, q in enumerate(prints) if (p ^ q).bit_count() <= neardup.FAR}
+    plan = x.crossJoin(y).where(neardup._near("x", "y", 0.8))._jdf.queryExecution().optimizedPlan().toString()
+    assert str(simhash._signed(int(neardup.pivots(16)[-1]))) in plan
+
+
 def test_recall_at_the_bound():
     """Pairs of similarity just above 0.8: at least one key is equal, and few bits differ."""
     rng = random.Random(3)
