@@ -94,8 +94,7 @@ def k7_script_queue(spark, sf_dir):
     _user_texts(spark, sf_dir).write.format("named_files").mode("append").save(folder)
     rows = jobs.script_queue(spark, f"{folder}/s")
     lines = F.size(F.split(F.regexp_replace(X.clean_text(F.col("text")), "\r\n?", "\n"), "\n"))
-    stream = rows.select("file_name", lines.alias("n_lines")).writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out)
-    stream.awaitTermination()
+    jobs.write_available(rows.select("file_name", lines.alias("n_lines")), out)
     return spark.read.parquet(out)
 
 

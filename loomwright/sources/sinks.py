@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import posixpath
 import uuid
+from collections import deque
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -20,6 +22,10 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.types import StructType
 
 
+#: Files that are moved at a time.
+MOVERS = 8
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """Arrow's file system of a path or URI and the path in it."""
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{posixpath.abspath(uri)}")
@@ -34,9 +40,15 @@ def checked_name(name: str | None) -> str:
 
 @dataclass
 class Written(WriterCommitMessage):
-    """What one task has written: temporary path and name of each file."""
+    """What one task has written: its folder, and the names of the files 0, 1, ... there."""
+
+    attempt: str
+    names: list[str]
 
-    files: list[tuple[str, str]]
+    @property
+    def files(self) -> list[tuple[str, str]]:
+        """Temporary path and name of each file."""
+        return [(f"{self.attempt}/{k}", name) for k, name in enumerate(self.names)]
 
 
 class FileSink(DataSourceArrowWriter):
@@ -51,20 +63,21 @@ class FileSink(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = file_system(self.folder)
-        attempt, done = f"{root}/{self.job}/{uuid.uuid4().hex}", []
+        attempt, names = f"{root}/{self.job}/{uuid.uuid4().hex}", []
         for k, (name, parts) in enumerate(self.files(iterator)):
             checked_name(name)
-            fs.create_dir(attempt, recursive=True)
-            with fs.open_output_stream(path := f"{attempt}/{k}") as out:
+            if not k:
+                fs.create_dir(attempt, recursive=True)
+            with fs.open_output_stream(f"{attempt}/{k}") as out:
                 for part in parts:
                     out.write(part)
-            done.append((path, name))
-        return Written(done)
+            names.append(name)
+        return Written(attempt, names)
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, root = file_system(self.folder)
-        files = [f for m in messages if m for f in m.files]
-        names = [f"{root}/{name}" for _, name in files]
+        files = [(path, f"{root}/{name}") for m in messages if m for path, name in m.files]
+        names = [name for _, name in files]
         try:
             if len(set(names)) < len(names):
                 raise ValueError("several rows have the same file name")
@@ -75,8 +88,8 @@ class FileSink(DataSourceArrowWriter):
                         raise FileExistsError(there[0])
             for folder in {posixpath.dirname(n) for n in names}:
                 fs.create_dir(folder, recursive=True)
-            for (path, _), name in zip(files, names):
-                fs.move(path, name)
+            with ThreadPoolExecutor(MOVERS) as pool:
+                deque(pool.map(lambda f: fs.move(*f), files), 0)
         finally:
             self._forget(fs, root)
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -18,6 +19,23 @@ def script_queue(spark: SparkSession, folder: str, archive: str | None = None) -
     return reader.load(folder).select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("file_name"))
 
 
+def write_available(rows: DataFrame, out: str) -> StreamingQuery:
+    """Append all that lies in a stream's folder now to the Parquet table ``out`` (its state is in ``<out>-state``); the ended stream.
+
+    Spark looks up each of a batch's files in a task of its own, thousands of results for the driver; here
+    as many tasks as there are cores look up a share each. The session's setting is put back.
+    """
+    spark, name = rows.sparkSession, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(1, spark.sparkContext.defaultParallelism)))
+    try:
+        stream = rows.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out)
+        stream.awaitTermination()  # the source lists by the settings of the session that it was made in
+    finally:
+        spark.conf.set(name, before)
+    return stream
+
+
 def job_states(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """The last state of each job within each hour; late events beyond the watermark are dropped.
 

@@ -1,5 +1,6 @@
 """WAV files and file sinks, kept results, recognizers, tracked jobs, model shares."""
 
+import tempfile
 import datetime
 import os
 import struct
@@ -306,3 +307,39 @@ def test_models_are_loaded_few_times(spark):
     assert channels.packed_by_model(items.limit(0), 8).count() == 0
     none = channels.packed_by_model(items.withColumn("cost", F.lit(0)), 4).select("part").distinct().collect()
     assert [r[0] for r in none] == [0]
+
+
+def test_commit_messages_are_short():
+    """What tasks send to the driver is little more than the names of their files."""
+    import pickle
+    from types import SimpleNamespace
+
+    from loomwright.sources import sinks
+
+    with tempfile.TemporaryDirectory(dir="/tmp") as folder:
+        sink = sinks._NamedFiles(folder, False)
+        sink.files = lambda rows: ((f"s/U{k}.txt", iter([b"x"])) for k in range(500))
+        sent = sink.write(iter([]))
+        assert len(pickle.dumps(sent)) < 30 * 500
+        sink.commit([sent, None])
+        assert len(os.listdir(f"{folder}/s")) == 500 and os.listdir(folder) == ["s"]
+
+
+def test_queue_is_listed_by_few_tasks(spark):
+    """Files of a batch aren't looked up in a task each; the session's setting stays."""
+    from loomwright.streaming import jobs
+
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    with tempfile.TemporaryDirectory(dir="/tmp") as folder:
+        os.makedirs(f"{folder}/in")
+        for k in range(120):
+            with open(f"{folder}/in/{k}.txt", "w") as f:
+                f.write(f"a\n{k}")
+        stream = jobs.write_available(jobs.script_queue(spark, f"{folder}/in"), f"{folder}/out")
+        tracker = spark.sparkContext.statusTracker()
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(str(stream.runId)) for s in tracker.getJobInfo(j).stageIds]
+        assert stages and max(s.numTasks for s in stages if s) <= spark.sparkContext.defaultParallelism
+        assert {tuple(r) for r in spark.read.parquet(f"{folder}/out").select("file_name", "text").collect()} == {(f"{k}.txt", f"a\n{k}") for k in range(120)}
+    assert spark.conf.get(name) == before
+
