@@ -30,10 +30,10 @@ def s7_wav_files(spark, sf_dir):
     wav.write(rows, folder, rate=8000)
     clip = lambda c: F.regexp_extract(c, r"([^/]+)\.wav$", 1)
     heads = spark.read.format("wav").load(folder).select(clip("path").alias("clip"), "rate", "n_samples", "seconds")
-    blocks = spark.read.format("wav").option("block", 1000).load(folder).select(clip("clip").alias("clip"), F.posexplode("samples").alias("at", "v"))
-    value = F.round(F.col("v") * 32768).cast("long")
+    blocks = spark.read.format("wav").option("block", 1000).load(folder).select("clip", F.posexplode("samples").alias("at", "v"))
+    value = F.rint(F.col("v") * 32768).cast("long")  # whole numbers; round() would go by decimals
     sums = blocks.groupBy("clip").agg(F.sum(value).alias("total"), F.sum(value * (F.col("at") + 1)).alias("weighted"))
-    return heads.join(sums, "clip")
+    return heads.join(sums.withColumn("clip", clip("clip")), "clip")
 
 
 @query(

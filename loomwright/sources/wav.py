@@ -34,7 +34,9 @@ BLOCKS = "clip string, block int, samples array<double>, rate int, error string"
 #: Format tags of WAV headers: PCM, floating point, and the tag that an extension holds the real one.
 PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
 #: Files of a partition where only headers are read; bytes of samples that a task reads.
-FILES, TASK_BYTES = 64, 32 << 20
+FILES, TASK_BYTES = 512, 32 << 20
+#: Samples and rows after which a task hands blocks on.
+BATCH_SAMPLES, BATCH_ROWS = 1 << 17, 1024
 
 
 @dataclass
@@ -157,9 +159,16 @@ class WavReader(DataSourceReader):
             rows = [self._header_row(fs, path, size) for path, size in partition.files]
             yield pa.RecordBatch.from_pylist([{k: r.get(k) for k in schema.names} for r in rows], schema)
             return
+        rows, held = [], 0
         for path, first, last, _ in partition.parts:
             for row in self._blocks(fs, path, first, last):
-                yield pa.RecordBatch.from_pylist([{k: row.get(k) for k in schema.names}], schema)
+                rows.append({k: row.get(k) for k in schema.names})
+                held += len(row.get("samples", ()))
+                if held >= BATCH_SAMPLES or len(rows) >= BATCH_ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     @staticmethod
     def _header_row(fs: pafs.FileSystem, path: str, size: int) -> dict:
@@ -205,6 +214,16 @@ class WavFiles(DataSource):
         return _WavSink(self.options["path"], overwrite, int(self.options.get("rate", 24000)))
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, int, np.ndarray]]:
+    """Clip, its number of samples, and the samples of all rows of a clip that stand together."""
+    clips, n, samples = batch.column("clip").to_pylist(), batch.column("n"), batch.column("samples")
+    first = 0
+    for k in range(1, len(clips) + 1):
+        if k == len(clips) or clips[k] != clips[first]:
+            yield clips[first], n[first].as_py(), samples.slice(first, k - first).flatten().to_numpy(zero_copy_only=False).astype("f8")
+            first = k
+
+
 class _WavSink(FileSink):
     """Clips as mono files of 16 bits, sample by sample as they come."""
 
@@ -213,15 +232,14 @@ class _WavSink(FileSink):
         self.rate = rate
 
     def files(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Iterator[bytes]]]:
-        rows = ((c, n, v) for b in batches for c, n, v in zip(b.column("clip").to_pylist(), b.column("n").to_pylist(), b.column("samples")))
+        rows = (r for b in batches for r in _runs(b))
         held = next(rows, None)
 
         def content(clip: str, n: int) -> Iterator[bytes]:
             nonlocal held
             yield wav_header(n, self.rate)
             while held is not None and held[0] == clip:
-                if held[2].is_valid:
-                    yield pcm16(held[2].values.to_numpy(zero_copy_only=False).astype("f8"))
+                yield pcm16(held[2])
                 held = next(rows, None)
 
         while held is not None:

@@ -343,3 +343,31 @@ def test_queue_is_listed_by_few_tasks(spark):
         assert {tuple(r) for r in spark.read.parquet(f"{folder}/out").select("file_name", "text").collect()} == {(f"{k}.txt", f"a\n{k}") for k in range(120)}
     assert spark.conf.get(name) == before
 
+
+def test_short_blocks_come_in_common_batches(spark):
+    """Blocks of many small files aren't handed on one by one, and are what was written."""
+    import numpy as np
+    from pyspark.sql.types import StructType
+
+    from loomwright.sources import wav
+
+    rng = np.random.default_rng(1)
+    clips = {f"c{k}": [rng.uniform(-1.2, 1.2, rng.integers(0, 9)).tolist() if (k + b) % 5 else None for b in range(7)] for k in range(30)}
+    rows = spark.createDataFrame([(c, b, x) for c, bs in clips.items() for b, x in enumerate(bs)], "clip string, block int, samples array<double>")
+    with tempfile.TemporaryDirectory(dir="/tmp") as folder:
+        wav.write(rows, folder, rate=8000)
+        reader = wav.WavReader(folder, StructType.fromDDL(wav.BLOCKS), 4)
+        batches = [b for p in reader.partitions() for b in reader.read(p)]
+        assert len(batches) == 1
+        got = {}
+        for r in batches[0].to_pylist():
+            got.setdefault(os.path.basename(r["clip"])[:-4], []).extend(r["samples"])
+    for c, bs in clips.items():
+        assert got.get(c, []) == [int(max(-1.0, min(1.0, v)) * 32767) / 32768 for x in bs for v in x or ()], c
+
+
+def test_wav_query_sums_whole_numbers(spark):
+    from loomwright.plans import job_queries
+
+    plan = job_queries.s7_wav_files(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan and "rint(" in plan.lower()
