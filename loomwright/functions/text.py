@@ -154,11 +154,25 @@ def normalize_word(c: Column) -> Column:
 
 
 def slug(c: Column, longest: int = 46) -> Column:
-    """A short file-name description: letters and digits, ``_`` between, not cut within a word if much remains."""
-    whole = F.regexp_replace(F.regexp_replace(strip_accents(c), "[^A-Za-z0-9]+", "_"), "^_+|_+$", "")
-    cut = F.regexp_replace(F.left(whole, F.lit(longest)), "_+$", "")
-    at_word = F.when(F.instr(F.substring(cut, int(longest * 0.6) + 1, longest), "_") > 0, F.regexp_replace(cut, "_[^_]*$", "")).otherwise(cut)
-    return F.when(whole == "", "anh").otherwise(F.lower(F.when(F.length(whole) > longest, at_word).otherwise(whole)))
+    """A short file-name description: letters and digits, ``_`` between, not cut within a word if much remains.
+
+    Only the first ``longest`` characters of the joined words count, so where the text's beginning gives more than
+    those the rest isn't worked on; else the whole text is. The result is the whole text's either way.
+    """
+
+    def joined(text: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(strip_accents(text), "[^A-Za-z0-9]+", "_"), "^_+|_+$", "")
+
+    def short(whole: Column) -> Column:
+        cut = F.regexp_replace(F.left(whole, F.lit(longest)), "_+$", "")
+        at_word = F.when(F.instr(F.substring(cut, int(longest * 0.6) + 1, longest), "_") > 0, F.regexp_replace(cut, "_[^_]*$", "")).otherwise(cut)
+        return F.when(whole == "", "anh").otherwise(F.lower(F.when(F.length(whole) > longest, at_word).otherwise(whole)))
+
+    def once(value: Column, f) -> Column:  # as a lambda's variable, a value is made once, however often it is used
+        return F.get(F.transform(F.array(value), f), F.lit(0))
+
+    enough = once(joined(F.left(c, F.lit(8 * longest))), lambda begin: F.when(F.length(begin) > longest, begin).otherwise(joined(c)))
+    return once(enough, short)
 
 
 def output_name(number: Column, text: Column, extension: str = "png") -> Column:

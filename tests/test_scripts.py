@@ -217,3 +217,33 @@ def test_cues_of_a_long_segment(spark):
     assert len(got) == len(cues) and [r["cue_no"] for r in got] == list(range(1, len(cues) + 1))
     assert [r["t0"] for r in got] == [c[0][1] for c in cues]
     assert [r["text"].split() for r in got] == [" ".join(w for w, *_ in c).split() for c in cues]
+
+
+def test_slug_of_long_texts(spark):
+    """The beginning decides where it has enough words, else the whole text; results are those of the whole text's words."""
+    import re
+    import time
+    import unicodedata
+
+    def whole(t):
+        flat = "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
+        w = re.sub("[^A-Za-z0-9]+", "_", flat).strip("_")
+        cut = w[:46].rstrip("_")
+        return "anh" if not w else w.lower() if len(w) <= 46 else (re.sub("_[^_]*$", "", cut) if "_" in cut[27:] else cut).lower()
+
+    texts = ["", "é" * 400, "!" * 1000 + "Late wörds " * 9, "a" + "-" * 367 + "b" * 46, "ab " * 15 + "." * 400 + "c", "Été à la " * 200, "x" * 46 + "?" * 900, "x" * 46 + "?" * 900 + "y", "e\u0301" * 300, " " * 368 + "end"]
+    rows = spark.createDataFrame(list(enumerate([*texts, None])), "k int, t string")
+    assert [r[0] for r in rows.orderBy("k").select(X.slug(F.col("t"))).collect()] == [*map(whole, texts), None]
+    long = spark.range(400, numPartitions=1).select(F.repeat(F.concat("id", F.lit(" wörd, ")), 4000).alias("t")).cache()
+    long.count()
+
+    def seconds(c):
+        began = time.time()
+        long.select(F.sum(F.length(c))).collect()
+        return time.time() - began
+
+    plain = F.regexp_replace(X.strip_accents(F.col("t")), "[^A-Za-z0-9]+", "_")
+    seconds(plain), seconds(X.slug(F.col("t")))
+    assert seconds(X.slug(F.col("t"))) < 0.5 * seconds(plain)
+    long.unpersist()
+
