@@ -247,3 +247,23 @@ def test_slug_of_long_texts(spark):
     assert seconds(X.slug(F.col("t"))) < 0.5 * seconds(plain)
     long.unpersist()
 
+
+def test_aligned_words_are_handed_on_in_parts():
+    """However many segments a batch has, a worker holds few of their words; lists of any kind of null pass."""
+    import pyarrow as pa
+
+    from loomwright.operators import align
+
+    n = 3000
+    words = [f"w{k}" for k in range(12)]
+    heard = [w for k, w in enumerate(words) if k % 7 != 3]
+    times = [float(k) for k in range(len(heard))]
+    columns = [[k for k in range(n)], [1] * n, [words] * (n - 1) + [None], [words] * n, [heard] * n, [times] * n, [times] * n]
+    kinds = [pa.int64(), pa.int32(), *[pa.list_(pa.string())] * 3, *[pa.list_(pa.float64())] * 2]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["script_id", "seq", "words", "norms", "heard", "t0", "t1"])
+    parts = list(align._aligned_batches(iter([batch])))
+    assert max(map(len, parts)) < align.WORDS + len(words)
+    rows = [tuple(r.values()) for p in parts for r in p.to_pylist()]
+    at = {w: float(k) for k, w in enumerate(heard)}
+    assert rows == [(s, 1, k, w, at.get(w), at.get(w)) for s in range(n - 1) for k, w in enumerate(words)]
+
