@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import align, attempts, channels, prompts, segment, signal, timeline
+from ..sources.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -294,10 +295,11 @@ def l10_speech_timing(spark, sf_dir):
     """From recognized words to cues: words meet their segments, are aligned, gaps are filled, and cues packed.
 
     The recognizer is played by the spoken words a tenth of a second late, each seventh
-    missing; words lie in a segment that they overlap within 0.25 s.
+    missing; words lie in a segment that they overlap within 0.25 s. Segments and words are used many times
+    and therefore written once.
     """
-    spans = _spans(spark, sf_dir)
-    words = timeline.word_times(spans).withColumn("norm", X.normalize_word(F.col("word")))
+    spans = written(_spans(spark, sf_dir).select("script_id", "seq", "text", "t0", "t1"), "spans")
+    words = written(timeline.word_times(spans).withColumn("norm", X.normalize_word(F.col("word"))), "words")
     heard = words.where("pos % 7 <> 3").select("script_id", F.col("norm").alias("h"), (F.col("t0") + 0.1).alias("h0"), (F.col("t1") + 0.1).alias("h1"))
     near = spans.select("script_id", "seq", (F.col("t0") - 0.25).alias("a0"), (F.col("t1") + 0.25).alias("b0"))
     met = timeline.interval_join(heard, near, ["script_id"], ("h0", "h1"), ("a0", "b0"), 10.0)

@@ -267,3 +267,10 @@ def test_aligned_words_are_handed_on_in_parts():
     at = {w: float(k) for k, w in enumerate(heard)}
     assert rows == [(s, 1, k, w, at.get(w), at.get(w)) for s in range(n - 1) for k, w in enumerate(words)]
 
+
+def test_speech_timing_splits_sentences_once(spark):
+    """Segments and words are written once, not made again for each of their uses."""
+    from loomwright.plans import queries
+
+    plan = queries.l10_speech_timing(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "conversations" not in plan
