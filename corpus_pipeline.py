@@ -33,10 +33,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id`` and the digests of each document's tokens and of what they decode to."""
+    """``doc_id`` and the digests of each document's tokens and of what they decode to; written, as small Arrow batches hold for jobs run here only."""
     import public_tokenizers as P
 
-    return bpe.encode_documents(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"))
+    return materialize(bpe.encode_documents(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256")), "encoded")
 
 
 STAGES = [
@@ -55,7 +55,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each one's result written to the shared folder and read again.
 
     What a stage wrote on its way is deleted when its result is written, and a result when
-    the next one is; only what the last, lazy one reads stays.
+    the next one is; only what the last one wrote stays.
     """
     docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
@@ -65,4 +65,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before is not None:
             discard(before)
         before = docs
-    return STAGES[-1][1](spark, docs, sf_dir)
+    result = STAGES[-1][1](spark, docs, sf_dir)
+    discard(docs)
+    return result

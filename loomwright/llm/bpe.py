@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-All new words of a batch of up to 10,000 documents form one corpus. Their bytes lie in
+All new words of a batch of about 4 MB of documents form one corpus. Their bytes lie in
 one linked list; an inverted index leads from each mergeable token pair (keyed by the
 rank of the pair's merge) to its places in all words. Merges are replayed in rank
 order over the whole index, all places of a rank at once, and each touches only its two
@@ -23,14 +23,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import MEMO_WORDS, map_texts
+from .common import MEMO_WORDS, kept, map_texts
 from .letters import Splitter, kinds_of_tiktoken
 
 #: Bytes of a word of usual length, words that are worth arrays, and places of a rank that aren't;
 #: symbols that are replayed together and documents that are taken up at once, which bound the
 #: memory. Results don't depend on them.
 USUAL, MANY, FEW, SYMBOLS = 64, 2000, 12, 1 << 19
-CORPUS_ROWS, CORPUS_BYTES = 10_000, 32 << 20
+CORPUS_ROWS, CORPUS_BYTES = 10_000, 4 << 20
 
 #: What ``encode_documents`` can return of a document.
 OUTPUTS = {
@@ -245,14 +245,14 @@ class ByteBpe:
         self.replay = MergeReplay(read_ranks(ranks_path))
         self.find = Splitter(pattern, kinds_of_tiktoken(pattern))
         self.place: dict[str, int] = {}  # word -> its place among the values
-        self.values: list[tuple[int, ...]] = []
+        self.values: list[bytes] = []  # ids of 4 bytes each: a third of what numbers in a tuple take
         self.memo = memo
 
-    def _encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
+    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
         whole, corpus = self.replay.ranks, [w.encode() for w in words]
         done = iter(self.replay.encode([w for w in corpus if w not in whole]))
         # a word that is a token takes its id, as the library does
-        return [(whole[w],) if w in whole else tuple(next(done)) for w in corpus]
+        return (array("I", (whole[w],) if w in whole else next(done)).tobytes() for w in corpus)
 
     def encode_batch(self, texts: Iterable[str]) -> Iterator[list[int]]:
         """The ids of each text; the new words of all of them are one corpus."""
@@ -277,25 +277,19 @@ class ByteBpe:
         values += self._encode_words(new)
         get = values.__getitem__
         for at in cut:
-            yield list(chain.from_iterable(map(get, at)))
+            yield array("I", b"".join(map(get, at))).tolist()
         for k, word in enumerate(new, first):
             if len(word) > 200:  # not kept after its batch
                 del place[word]
-                values[k] = ()
+                values[k] = b""
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.replay.bytes_of.__getitem__, ids))
 
 
-_OPEN: dict[tuple, ByteBpe] = {}
-
-
 def codec(ranks_path: str, pattern: str) -> ByteBpe:
     """One codec a worker process, kept from task to task."""
-    key = (ranks_path, pattern)
-    if key not in _OPEN:
-        _OPEN[key] = ByteBpe(ranks_path, pattern)
-    return _OPEN[key]
+    return kept(("bpe", ranks_path, pattern), lambda: ByteBpe(ranks_path, pattern))
 
 
 def encode_documents(

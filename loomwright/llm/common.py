@@ -152,6 +152,20 @@ def give_back() -> None:
         pass
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make: Callable[[], object]):
+    """What ``make`` gives, one a worker process; kept from task to task until another key is asked for.
+
+    A worker serves the stages of a pipeline one after another and holds the model of the last one only.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def map_texts(
     df: DataFrame,
     id_col: str,

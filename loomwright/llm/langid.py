@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BATCH_ROWS, broadcast_if_small, discard, give_back, materialize
+from .common import BATCH_ROWS, broadcast_if_small, discard, give_back, kept, materialize
 
 UNKNOWN = "und"
 #: Bound of the text model: labelled documents it is fitted on.
@@ -202,17 +202,6 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     return TextModel(counted._shared_folder, totals, counted.select("gram").distinct().count())
 
 
-_OPEN: dict[str, TextModel] = {}
-
-
-def _opened(model: TextModel) -> TextModel:
-    """One copy of a model a worker process, kept from task to task."""
-    if model.path not in _OPEN:
-        _OPEN.clear()
-        _OPEN[model.path] = model
-    return _OPEN[model.path]
-
-
 def text_evidence(model: TextModel, text: Column, is_html: bool = False) -> Column:
     """struct(n, ll, p): trigrams, tempered log-likelihoods and posteriors of each whole text (null: empty)."""
     numbers = T.ArrayType(T.DoubleType())
@@ -220,7 +209,7 @@ def text_evidence(model: TextModel, text: Column, is_html: bool = False) -> Colu
 
     @F.pandas_udf(schema)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = _opened(model)
+        own = kept(("language", model.path), lambda: model)
         for texts in batches:
             parts = [own.score([visible_text(t or "") if is_html else t or "" for t in texts[k : k + BATCH_ROWS]]) for k in range(0, len(texts), BATCH_ROWS)]
             n, ll, p = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, "i8"), [], [])

@@ -30,6 +30,23 @@ def test_stages_take_odd_tables(spark):
             stage(spark, table, SF).collect()
 
 
+def test_encoding_takes_small_arrow_batches(spark, monkeypatch):
+    """While texts are encoded, Arrow batches are as small as those of the other stages; only what the last stage wrote stays."""
+    from pathlib import Path
+
+    from pyspark.sql import DataFrameWriter
+
+    from loomwright.llm import common
+
+    seen, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **b: seen.append((path, spark.conf.get(common._BYTES_SETTING))) or write(self, path, *a, **b))
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.glob("*"))
+    result = corpus_pipeline.run(spark, SF)
+    assert "ids_sha256" in result.columns and "/encoded-" in seen[-1][0] and {x for _, x in seen} == {str(common.ARROW_BYTES)}
+    assert [p.name.split("-")[0] for p in set(shared.glob("*")) - before] == ["encoded"] and result.count() > 0
+
+
 def test_run_equals_brute_force(spark):
     """From the first stage's output on: rules with exact quantiles, all pairs, all windows, the library's tokens."""
     import hashlib

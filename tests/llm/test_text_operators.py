@@ -75,6 +75,47 @@ def test_merge_replay_lower_rank_first(monkeypatch):
     assert replay.encode(words) == expected
 
 
+def test_bpe_worker_stays_small():
+    """One large Arrow batch of words that are all new: what a worker holds at its peak, and for each word after it."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    class Docs:  # a frame that hands out the workers' function
+        schema = {"doc_id": SimpleNamespace(dataType=T.LongType())}
+        select = lambda self, *a: self
+        mapInArrow = lambda self, run, out: run
+
+    own = random.Random(3)
+    texts = ["".join(" " + "".join(own.choices("abcdefghijklmnop", k=11)) for _ in range(350)) for _ in range(300)]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array([t * 4 for t in texts])], ["doc_id", "text"])
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    codec = bpe.codec(path, public_tokenizers.PATTERN)
+    codec.place.clear()
+    codec.values.clear()
+    list(codec.encode_batch(["some words"]))
+    common.F, columns = SimpleNamespace(col=lambda c: c), common.F
+    try:
+        run = bpe.encode_documents(Docs(), path, public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"))
+    finally:
+        common.F = columns
+    tracemalloc.start()
+    try:
+        rows = sum(len(b) for b in run(iter([batch])))
+        after, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert rows == 300 and len(codec.place) > 100_000 and after < 300 * len(codec.place) and peak < 90e6
+
+
+def test_worker_keeps_one_model():
+    """Of the models that stages ask for one after another the last one stays."""
+    first, second = common.kept("a", list), common.kept("b", dict)
+    assert common.kept("b", list) is second and common.kept("a", list) is not first and list(common._KEPT) == ["a"]
+
+
 def test_counts_equal_library(spark):
     import sentencepiece
 
