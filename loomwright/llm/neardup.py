@@ -10,10 +10,11 @@ pivot distance table (Hamming distances of the fingerprint to fixed references)
 the exact similarity of their shingle sets.
 
 A crowded key isn't paired with itself: its rows are compared with a few heads, and those found
-similar become one group. Then rows outside the key's largest group are heads, four times as many a
-round, against all rows of other groups, until one group is left or few rows are, which
-are compared in full. No pair of different groups stays untried, and a group of near copies
-costs about one comparison a copy, whatever its size.
+similar become one group. Of the rows outside the key's largest group those stay that may be similar to a row
+of another group, and of the largest group those that may be to one of them: two semi-joins, which make no pairs. What is left
+is compared in full if it is little, else by four times as many heads, and so on. No pair of different groups that
+may be similar stays untried, a group of near copies costs about one comparison a copy, whatever its size,
+and only new links between groups are put into components.
 
 Copies that were changed too much belong to none, and would be compared with every row of their key. What
 keeps them apart is known beforehand: shingles of their own, which no other text of the crowded keys
@@ -131,8 +132,8 @@ def _own_allow(x: str, y: str, least: float):
     return allowed(owned) & allowed(left(x, y)) & allowed(left(y, x))
 
 
-def _own_shingles(live: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """``number``, ``own`` and ``map`` of every text with a crowded key: how many of its shingles no other such text has, and the bits of the others."""
+def _own_shingles(some: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """``number``, ``own`` and ``map`` of the texts in ``some``: how many of its shingles no other of them has, and the bits of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in pieces(b)):
@@ -143,50 +144,88 @@ def _own_shingles(live: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), number, "i8")), pa.array(some)], ["number", "hash"])
         give_back()
 
-    keys = materialize(live.groupBy("key").count().where(F.col("count") > FULL).select("key"), "crowded-keys")
-    some = materialize(live.join(broadcast_if_small(keys), "key", "left_semi").select("number").distinct(), "crowded-texts")
     hashes = texts.join(broadcast_if_small(some), "number", "left_semi").select("number", "text").mapInArrow(run, "number long, hash long")
     hashes = materialize(hashes, "crowded-shingles")
-    single = hashes.groupBy("hash").agg(F.count("*").alias("many"), F.min("number").alias("number")).where("many = 1")
-    own = single.groupBy("number").agg(F.count("*").cast("int").alias("own"))
-    # a shingle of its own may have a bit here: it would count twice, so those are left out
-    place = F.pmod(F.col("hash"), F.lit(64 * MAP_WORDS))
-    shared = hashes.groupBy("hash").agg(F.count("*").alias("many")).where("many > 1").select("hash")
-    common = hashes.join(shared, "hash").select("number", F.floor(place / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit"))
-    words = common.groupBy("number", "word").agg(F.bit_or("bit").alias("bits")).groupBy("number").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
-    filled = F.transform(F.sequence(F.lit(0), F.lit(MAP_WORDS - 1)), lambda k: F.coalesce(F.element_at("words", k), F.lit(0).cast("long"))).alias("map")
-    out = materialize(some.join(own, "number", "left").join(words, "number", "left").select("number", F.coalesce("own", F.lit(0)).alias("own"), filled), "own-shingles")
-    discard(keys, some, hashes)
+    single = hashes.groupBy("hash").agg(F.count("*").alias("many"), F.min("number").alias("number")).where("many = 1").select("number", "hash")
+    # all are counted by bit, and those of their own taken off again: they would count twice if they had a bit
+    place = F.pmod(F.col("hash"), F.lit(64 * MAP_WORDS)).alias("place")
+    marks = hashes.select("number", place, F.lit(1).alias("all"), F.lit(0).alias("alone")).union(single.select("number", place, F.lit(0), F.lit(1)))
+    counted = marks.groupBy("number", "place").agg(F.sum("all").alias("all"), F.sum("alone").alias("alone"))
+    bit = F.when(F.col("all") > F.col("alone"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % 64).cast("int"))).otherwise(F.lit(0).cast("long"))
+    words = [F.bit_or(F.when(F.floor(F.col("place") / 64) == k, bit).otherwise(F.lit(0).cast("long"))) for k in range(MAP_WORDS)]
+    out = materialize(counted.groupBy("number").agg(F.sum("alone").cast("int").alias("own"), F.array(*words).alias("map")), "own-shingles")
+    discard(hashes)
     return out
 
 
-def _with_own(crowded: DataFrame, own: DataFrame | None, least: float) -> DataFrame:
-    """Rows of crowded keys with ``own`` (None: they have it), without those that it leaves too few common shingles for any similarity."""
-    if own is None:
-        return crowded
-    return crowded.join(broadcast_if_small(own), "number").where(F.col("n") - F.col("own") + 1e-6 >= least * F.col("n"))
+def _crowded_rows(live: DataFrame, sizes: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Rows of crowded keys with ``own`` and ``map``, without those that ``own`` leaves too few common shingles for any similarity; all are ``outside``."""
+    rows = materialize(live.join(broadcast_if_small(sizes.where(F.col("count") > FULL).select("key")), "key", "left_semi"), "crowded-keys")
+    some = materialize(rows.select("number").distinct(), "crowded-texts")
+    own = _own_shingles(some, texts, shingle)
+    allowed = rows.join(broadcast_if_small(own), "number").where(F.col("n") - F.col("own") + 1e-6 >= least * F.col("n"))
+    out = materialize(allowed.withColumn("outside", F.lit(True)), "crowded-rows")
+    discard(rows, some, own)
+    return out
+
+
+def _full_pairs(rows: DataFrame, near) -> DataFrame:
+    """The pairs (``a`` < ``b``) of each key's rows that are of different groups and ``near`` (a condition on ``x`` and ``y``)."""
+    x, y = rows.alias("x"), rows.alias("y")
+    both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.number") < F.col("y.number")) & (F.col("x.group") != F.col("y.group")) & near)
+    return both.select(F.col("x.number").alias("a"), F.col("y.number").alias("b"))
+
+
+def _may_link(least: float):
+    """Whether rows ``x`` and ``y`` of crowded keys are of one key and different groups, and may be similar."""
+    return (F.col("x.key") == F.col("y.key")) & (F.col("x.group") != F.col("y.group")) & _own_allow("x", "y", least) & _near("x", "y", least)
+
+
+def _heads(crowded: DataFrame, n_heads: int) -> DataFrame:
+    """So many rows of each key outside its largest group, those first of which the least are their own."""
+    salt = F.pmod(F.xxhash64("number"), F.lit(n_heads)).alias("salt")
+    heads = crowded.where("outside").groupBy("key", salt).agg(F.min(F.struct("own", "number", "group", "fp", "n", "map")).alias("h"))
+    return materialize(heads.select("key", "h.*"), "key-heads")
+
+
+def _head_pairs(crowded: DataFrame, heads: DataFrame, least: float) -> DataFrame:
+    """The pairs (``a`` < ``b``) of heads and all rows of other groups of their key."""
+    large = crowded.alias("x").join(broadcast_if_small(heads).alias("y"), _may_link(least))
+    return large.select(F.least("x.number", "y.number").alias("a"), F.greatest("x.number", "y.number").alias("b"))
 
 
-def _pairs(live: DataFrame, own: DataFrame | None, least: float, n_heads: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (``a`` < ``b``) of a round, and the heads (``key``, ``number``) of crowded keys, compared with all rows of other groups.
+def _open_rows(crowded: DataFrame, heads: DataFrame, groups: DataFrame, least: float) -> DataFrame:
+    """What is left to compare: the rows that may be similar to one of another group of their key, heads left out.
 
-    ``own`` holds for crowded keys. In the first round, where it isn't None, rows of others may share such shingles.
+    Of two rows of different groups one at least is ``outside`` the key's largest group. Whether such a row has a partner is a
+    semi-join, which makes one row at most of each; partners in the largest group are looked up from the few that have.
     """
-    sizes = materialize(live.groupBy("key").count().where("count > 1"), "key-sizes")
-    full = live.join(broadcast_if_small(sizes.where(F.col("count") <= FULL).select("key")), "key")
-    x, y = full.alias("x"), full.alias("y")
-    other = F.col("x.group") != F.col("y.group")
-    near = _near("x", "y", least) if own is not None else _near("x", "y", least) & _own_allow("x", "y", least)
-    small = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.number") < F.col("y.number")) & other & near).select(F.col("x.number").alias("a"), F.col("y.number").alias("b"))
-    crowded = _with_own(live.join(broadcast_if_small(sizes.where(F.col("count") > FULL).select("key")), "key"), own, least)
-    main = crowded.groupBy("key", "group").count().groupBy("key").agg(F.max_by("group", F.struct("count", "group")).alias("main"))
-    outside = crowded.join(broadcast_if_small(materialize(main, "main-groups")), "key").where(F.col("group") != F.col("main"))
-    heads = outside.groupBy("key", F.pmod(F.xxhash64("number"), F.lit(n_heads)).alias("salt")).agg(F.min(F.struct("own", "number", "group", "fp", "n", "map")).alias("h")).select("key", "h.*")
-    heads = materialize(heads, "key-heads")
-    x, y = crowded.alias("x"), broadcast_if_small(heads).alias("y")
-    large = x.join(y, (F.col("x.key") == F.col("y.key")) & other & _near("x", "y", least) & _own_allow("x", "y", least))
-    large = large.select(F.least("x.number", "y.number").alias("a"), F.greatest("x.number", "y.number").alias("b"))
-    return small.union(large).distinct(), heads.select("key", "number")
+    rest = crowded.drop("group", "outside").join(broadcast_if_small(heads.select("key", "number")), ["key", "number"], "left_anti")
+    rest = rest.join(broadcast_if_small(groups), rest["number"] == groups["node"], "left")
+    rest = materialize(rest.select("key", "number", "fp", "n", "own", "map", F.coalesce("root", "number").alias("group")), "crowded-rest")
+    main = rest.groupBy("key", "group").count().groupBy("key").agg(F.max_by("group", F.struct("count", "group")).alias("main"), F.count("*").alias("many"))
+    main = materialize(main.where("many > 1").select("key", "main"), "main-groups")
+    mixed = rest.join(broadcast_if_small(main), "key").withColumn("outside", F.col("group") != F.col("main")).drop("main")
+    mixed = materialize(mixed, "mixed-rows")
+    some = materialize(mixed.where("outside").alias("x").join(broadcast_if_small(mixed).alias("y"), _may_link(least), "left_semi"), "open-rows")
+    partners = mixed.where("NOT outside").alias("x").join(broadcast_if_small(some).alias("y"), _may_link(least), "left_semi")
+    out = materialize(some.union(partners), "crowded-rows")
+    discard(rest, main, mixed, some)
+    return out
+
+
+def _merged(groups: DataFrame | None, found: DataFrame) -> DataFrame:
+    """``groups`` (``node``, ``root``) with new links: only the roots of what they link are put into components."""
+    if groups is None:
+        return components(found)
+    for side in ("a", "b"):
+        found = found.join(broadcast_if_small(groups), found[side] == groups["node"], "left").withColumn(side, F.coalesce("root", side)).select("a", "b")
+    new = components(found)
+    moved = broadcast_if_small(new.select(F.col("node").alias("before"), F.col("root").alias("after")))
+    kept = groups.join(moved, groups["root"] == F.col("before"), "left").select("node", F.coalesce("after", "root").alias("root"))
+    out = materialize(kept.union(new), "groups")
+    discard(groups, new)
+    return out
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -214,36 +253,33 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
 
 
 def similar_groups(distinct: DataFrame, texts: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """``node`` and ``root`` (its least member) of every number that is similar to another.
+    """``node`` and ``root`` (its least member) of every number that is similar to a smaller one.
 
     ``distinct``: ``number``, ``fp``, ``n``, ``keys``, one row for each different text; ``texts``:
     ``number``, ``text``.
     """
     live = materialize(distinct.select(F.explode("keys").alias("key"), "number", F.col("number").alias("group"), "fp", "n"), "band-keys")
-    own = _own_shingles(live, texts, shingle)
-    tried = links = groups = None
+    sizes = materialize(live.groupBy("key").count().where("count > 1"), "key-sizes")
+    crowded = _crowded_rows(live, sizes, texts, shingle, least)
+    near = _near("x", "y", least)
+    full = live.join(broadcast_if_small(sizes.where(F.col("count") <= FULL).select("key")), "key")
+    tried = groups = None
     n_heads = HEADS
     while True:
-        pairs, heads = _pairs(live, own, least, n_heads)
+        heads = _heads(crowded, n_heads)
+        pairs = _full_pairs(full, near).union(_head_pairs(crowded, heads, least)).distinct()
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
-        found = materialize(_verified(pairs, texts, shingle, least), "links")
         tried = pairs if tried is None else tried.union(pairs)
-        links = found if links is None else links.union(found)
-        if groups is not None:
-            discard(groups)
-        groups = components(links)
-        crowded = broadcast_if_small(heads.select("key").distinct())
-        rest = _with_own(live.drop("group").join(crowded, "key", "left_semi"), own, least)
-        rest = rest.join(broadcast_if_small(heads), ["key", "number"], "left_anti")
-        rest = rest.join(groups, rest["number"] == groups["node"], "left").select("key", "number", F.coalesce("root", "number").alias("group"), "fp", "n", "own", "map")
-        before, live = live, materialize(rest, "band-keys")
-        discard(before)
-        own = None  # from now on all keys were crowded ones, and their rows have it
-        mixed = live.groupBy("key").agg((F.min("group") != F.max("group")).alias("mixed")).where("mixed").select("key")
-        mixed = materialize(mixed, "mixed-keys")
-        if not mixed.limit(1).count():
+        groups = _merged(groups, materialize(_verified(pairs, texts, shingle, least), "links"))
+        rows = _open_rows(crowded, heads, groups, least)
+        discard(crowded, heads)
+        sizes = materialize(rows.groupBy("key").count(), "key-sizes")
+        if not sizes.limit(1).count():
             return groups
-        live, n_heads = materialize(live.join(broadcast_if_small(mixed), "key", "left_semi"), "band-keys"), 4 * n_heads
+        few = F.col("count") <= FULL
+        full, near = rows.join(broadcast_if_small(sizes.where(few).select("key")), "key"), _may_link(least)
+        crowded = materialize(rows.join(broadcast_if_small(sizes.where(~few).select("key")), "key"), "crowded-rows")
+        n_heads *= 4
 
 
 def keep_one(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

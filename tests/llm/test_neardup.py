@@ -88,6 +88,27 @@ def test_changed_copies_are_not_compared_in_full(spark, monkeypatch):
     assert sum(tried) < 12 * len(rows), tried  # 10,404 without the bound
 
 
+def test_rounds_do_not_repeat_work(spark, monkeypatch):
+    """Two groups of near copies in the same keys, and copies that belong to neither: few rounds, and every link is put into components once."""
+    edges, links = [], []
+    components, verified = neardup.components, neardup._verified
+
+    def counted(pairs, *rest):
+        links.append(verified(pairs, *rest).count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(neardup, "components", lambda found: edges.append(found.count()) or components(found))
+    monkeypatch.setattr(neardup, "_verified", counted)
+    monkeypatch.setattr(neardup, "FULL", 8)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    other = edited(rng, base, 6).split()
+    rows = [edited(rng, b, rng.choice((0, 1, 2, 3, 5, 8))) for b in (base, other) for _ in range(110)]
+    rows = list(enumerate(rows))
+    assert kept(spark, rows) == brute_kept(rows)
+    assert len(links) <= 3 and sum(edges) == sum(links) > 0, (edges, links)
+
+
 def test_pivot_tables_discard(spark):
     """A pair goes whose pivot distances differ too much, and none whose fingerprints are near enough."""
     rng = random.Random(6)
